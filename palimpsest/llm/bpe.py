@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 
 from palimpsest.llm import words as W
 from palimpsest.llm.frames import arrow_map, text_rows
+from palimpsest.llm.suffix_automaton import SuffixAutomaton
 
 CACHE = 1 << 18
 SPACE_CLASS = r"\t-\r\x20\x85\xa0  -     　"
@@ -42,54 +43,6 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-class SuffixAutomaton:
-    """All substrings of a set of byte strings; ``ends`` marks the states of whole strings."""
-
-    def __init__(self, strings: list[bytes]):
-        self.next: list[dict[int, int]] = [{}]
-        self.link = [-1]
-        self.length = [0]
-        for s in strings:
-            last = 0
-            for c in s:
-                last = self._add(last, c)
-
-    def _new(self, length: int, link: int, edges: dict[int, int]) -> int:
-        self.next.append(edges)
-        self.link.append(link)
-        self.length.append(length)
-        return len(self.link) - 1
-
-    def _split(self, p: int, c: int, q: int) -> int:
-        """q, or a copy of it that only holds what c leads to from p."""
-        if self.length[p] + 1 == self.length[q]:
-            return q
-        copy = self._new(self.length[p] + 1, self.link[q], dict(self.next[q]))
-        self.link[q] = copy
-        while p != -1 and self.next[p].get(c) == q:
-            self.next[p][c] = copy
-            p = self.link[p]
-        return copy
-
-    def _add(self, last: int, c: int) -> int:
-        if (q := self.next[last].get(c)) is not None:
-            return self._split(last, c, q)
-        new = self._new(self.length[last] + 1, 0, {})
-        p = last
-        while p != -1 and c not in self.next[p]:
-            self.next[p][c] = new
-            p = self.link[p]
-        if p != -1:
-            self.link[new] = self._split(p, c, self.next[p][c])
-        return new
-
-    def state(self, s: bytes) -> int:
-        at = 0
-        for c in s:
-            at = self.next[at][c]
-        return at
-
-
 class Vocabulary:
     """Tokens, merges and the automaton of one byte-level tokenizer file."""
 

@@ -2,6 +2,22 @@
 
 from __future__ import annotations
 
+OP2 = r"""
+WITH words AS (
+  SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), wins AS (
+  SELECT row, doc_id, i, hash(array_to_string(w[i:i + 12], ' ')) AS h, array_to_string(w[i:i + 12], ' ') AS win
+  FROM words, unnest(range(1, len(w) - 11)) AS t(i) WHERE len(w) >= 13
+), firsts AS (SELECT h, win, min(doc_id) AS first FROM wins GROUP BY h, win HAVING count(*) > 1),
+hits AS (SELECT row, i FROM wins JOIN firsts USING (h, win) WHERE first < doc_id),
+gone AS (SELECT DISTINCT row, unnest(range(i, i + 13)) AS p FROM hits),
+lists AS (SELECT row, list(p) AS ps FROM gone GROUP BY row),
+kept AS (SELECT row, string_agg(word, ' ' ORDER BY p) AS text FROM (SELECT row, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM words) a
+  ANTI JOIN gone g USING (row, p) GROUP BY row)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(ps), 0)::BIGINT AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM words LEFT JOIN lists USING (row) LEFT JOIN kept USING (row)
+"""
+
 OP6 = """
 WITH rows AS (
   SELECT conv_id::BIGINT AS conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -61,4 +77,4 @@ FROM filed WINDOW f AS (PARTITION BY file ORDER BY page_id NULLS FIRST, digest)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_chat_formatting": OP6, "op7_decontamination": OP7, "op9_warc_fixity": OP9}
+    return {"op2_substring_dedup": OP2, "op6_chat_formatting": OP6, "op7_decontamination": OP7, "op9_warc_fixity": OP9}

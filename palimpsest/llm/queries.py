@@ -25,6 +25,12 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extracted(table(spark, sf_dir, "pages"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from palimpsest.llm.substring_dedup import removals
+
+    return removals(table(spark, sf_dir, "documents"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from palimpsest.llm.toxicity import toxicity
 
@@ -78,5 +84,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_html_extraction, op3_toxicity, op4_bpe, op5_sharding, op6_chat_formatting, op7_decontamination, op9_warc_fixity, op10_quality_rules]
+    found = [op1_html_extraction, op2_substring_dedup, op3_toxicity, op4_bpe, op5_sharding, op6_chat_formatting, op7_decontamination, op9_warc_fixity, op10_quality_rules]
     return {f.__name__: f for f in found}
