@@ -58,6 +58,28 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM words LEFT JOIN marked USING (row) LEFT JOIN named USING (row)
 """
 
+OP8 = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), grams AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS g FROM words, unnest(range(1, greatest(len(w) - 2, 2))) AS t(i) WHERE len(w) > 0
+), sizes AS (SELECT doc_id, count(*)::BIGINT AS n FROM grams GROUP BY doc_id),
+shared AS (SELECT g FROM grams GROUP BY g HAVING count(*) > 1),
+inter AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM (SELECT * FROM grams SEMI JOIN shared USING (g)) x JOIN (SELECT * FROM grams SEMI JOIN shared USING (g)) y USING (g)
+  WHERE x.doc_id < y.doc_id GROUP BY ALL
+), links AS (
+  SELECT a, b FROM inter JOIN sizes s ON s.doc_id = a JOIN sizes t ON t.doc_id = b WHERE 100 * c >= 85 * (s.n + t.n - c)
+), both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (
+  SELECT doc_id AS node, doc_id AS root FROM sizes
+  UNION
+  SELECT e.b, r.root FROM reach r JOIN both_ways e ON e.a = r.node
+), roots AS (SELECT node, min(root) AS root FROM reach GROUP BY node)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(root, d.doc_id)::BIGINT AS component_id
+FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN roots ON node = d.doc_id
+"""
+
 OP9 = r"""
 WITH records AS (
   SELECT page_id::BIGINT AS page_id,
@@ -77,4 +99,4 @@ FROM filed WINDOW f AS (PARTITION BY file ORDER BY page_id NULLS FIRST, digest)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_substring_dedup": OP2, "op6_chat_formatting": OP6, "op7_decontamination": OP7, "op9_warc_fixity": OP9}
+    return {"op2_substring_dedup": OP2, "op6_chat_formatting": OP6, "op7_decontamination": OP7, "op8_jaccard_join": OP8, "op9_warc_fixity": OP9}

@@ -67,6 +67,12 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans", "items")
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from palimpsest.llm.jaccard_join import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Audits a replica in which every record whose digest starts with 00 lost its first character."""
     from palimpsest.llm.fixity import audit, placed, record_bytes
@@ -84,5 +90,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_html_extraction, op2_substring_dedup, op3_toxicity, op4_bpe, op5_sharding, op6_chat_formatting, op7_decontamination, op9_warc_fixity, op10_quality_rules]
+    found = [op1_html_extraction, op2_substring_dedup, op3_toxicity, op4_bpe, op5_sharding, op6_chat_formatting, op7_decontamination, op8_jaccard_join, op9_warc_fixity, op10_quality_rules]
     return {f.__name__: f for f in found}
