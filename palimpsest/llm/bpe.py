@@ -20,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Iterator
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -71,14 +72,16 @@ class Vocabulary:
         for s, i in self.ids.items():
             found.setdefault(self.automaton.state(s), []).append((len(s), i))
         self.at = {k: sorted(v, reverse=True) for k, v in found.items()}
-        # the next state on the suffix chain that holds a token
+        # of each state, the tokens that end there, its own and those of the states behind it
         order = sorted(range(len(self.automaton.link)), key=self.automaton.length.__getitem__)
-        self.up = [-1] * len(order)
+        self.ending: list[tuple[tuple[int, int], ...]] = [()] * len(order)
         for k in order[1:]:
-            above = self.automaton.link[k]
-            self.up[k] = above if above in self.at else self.up[above]
-        self.pairs: dict[tuple[int, int], bool] = {}
+            behind = self.ending[self.automaton.link[k]]
+            self.ending[k] = (*self.at[k], *behind) if k in self.at else behind
+        self.pairs: dict[int, bool] = {}
+        # pieces seen lately, and those seen before them: what is used again moves back to the front
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         sizes = np.zeros(self.size + 1, np.int64)
         spelled = [self.bytes.get(i, b"") for i in range(self.size)]
         for content, i in self.added.items():
@@ -93,9 +96,7 @@ class Vocabulary:
         boundary that comes before the merges that made its neighbours would have
         happened first, and then the two tokens would never have stood there.
         """
-        key = (one, two)
-        if (known := self.pairs.get(key)) is not None:
-            return known
+        key = one << 32 | two
         limit, ok = 1 << 62, True
         while True:
             if (hit := self.merge.get((one, two))) and hit[0] < limit:
@@ -117,30 +118,40 @@ class Vocabulary:
                 limit = b
             else:
                 break
-        if len(self.pairs) < CACHE:
-            self.pairs[key] = ok
+        if len(self.pairs) >= CACHE:
+            self.pairs.clear()
+        self.pairs[key] = ok
         return ok
 
     def encode_piece(self, piece: bytes) -> list[int]:
         """Ids of a piece, from the unique last token of every prefix."""
-        step, link, length, at, up = self.automaton.next, self.automaton.link, self.automaton.length, self.at, self.up
-        last = [0] * len(piece)
+        step, link, length, ending = self.automaton.next, self.automaton.link, self.automaton.length, self.ending
+        pairs, compatible = self.pairs, self.compatible
+        last: list[int] = []
         state = matched = 0
         for i, c in enumerate(piece):
-            while state and c not in step[state]:
+            q = step[state].get(c)
+            while q is None:
+                if not state:
+                    raise ValueError("the vocabulary lacks a byte of this text")
                 state = link[state]
                 matched = length[state]
-            state = step[state].get(c, 0)
-            matched = matched + 1 if state else 0
-            k, found = (state if state in at else up[state]), False
-            while k > 0 and not found:
-                for n, token in at[k]:
-                    if n <= matched and (n == i + 1 or self.compatible(last[i - n], token)):
-                        last[i] = token
-                        found = True
-                        break
-                k = up[k]
-            if not found:
+                q = step[state].get(c)
+            state, matched = q, matched + 1
+            for n, token in ending[state]:
+                if n > matched:
+                    continue
+                if n > i:
+                    last.append(token)
+                    break
+                key = last[i - n] << 32 | token
+                ok = pairs.get(key)
+                if ok is None:
+                    ok = compatible(last[i - n], token)
+                if ok:
+                    last.append(token)
+                    break
+            else:
                 raise ValueError("the vocabulary lacks a byte of this text")
         out, i = [], len(piece) - 1
         while i >= 0:
@@ -155,17 +166,27 @@ class Vocabulary:
             if k % 2:
                 found.append(self.added[part].to_bytes(4, "little"))
                 continue
-            for piece in _PIECES.findall(part):
-                ids = cache.get(piece)
-                if ids is None:
-                    ids = np.array(self.encode_piece(piece.encode()), "<u4").tobytes()
-                    if len(piece) <= 64:
-                        if len(cache) >= CACHE:
-                            cache.clear()
-                        cache[piece] = ids
-                found.append(ids)
+            pieces = _PIECES.findall(part)
+            ids = list(map(cache.get, pieces))
+            if None in ids:
+                for i, piece in enumerate(pieces):
+                    if ids[i] is None:
+                        ids[i] = self._seen(piece)
+                cache = self.cache
+            found += ids
         return b"".join(found)
 
+    def _seen(self, piece: str) -> bytes:
+        """The ids of a piece that is not in the cache, which then has it if it is short."""
+        if (ids := self.cache.get(piece) or self.older.get(piece)) is None:
+            out = self.encode_piece(piece.encode())
+            ids = pack(f"<{len(out)}I", *out)
+        if len(piece) <= 64:
+            if len(self.cache) >= CACHE:
+                self.older, self.cache = self.cache, {}
+            self.cache[piece] = ids
+        return ids
+
     def decode(self, ids: np.ndarray) -> bytes:
         """The bytes of the ids, special tokens written out; invalid UTF-8 becomes U+FFFD."""
         first, size = self.offsets[ids], self.offsets[ids + 1] - self.offsets[ids]
