@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,7 +28,9 @@ def query(sql: str | None = None, name: str | None = None) -> Callable[[Query],
 
 
 def _load() -> None:
-    pass
+    """Import the modules that register."""
+    for module in ("memory_queries", "signal_queries", "graph_queries", "state_queries"):
+        import_module(f"palimpsest.plans.{module}")
 
 
 def queries() -> dict[str, Query]:
