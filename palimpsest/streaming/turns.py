@@ -29,7 +29,7 @@ def prepared(turns: DataFrame) -> DataFrame:
     return S.norepinephrine(turns).select("session_id", "turn", F.col("embedding").cast("array<double>").alias("embedding"), "norepinephrine", S.topic(F.col("message")).alias("topic"))
 
 
-def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState, expiring: bool = True) -> Iterator[pd.DataFrame]:
     """One micro-batch of a session: turns in order, each against what came before."""
     if state.hasTimedOut:
         state.remove()
@@ -53,13 +53,23 @@ def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Itera
         before = before if v is None else v.tolist()
         pending = r.norepinephrine
     state.update((before, pending, ["" if t is None else t for t in topics]))
-    state.setTimeoutDuration(IDLE_MS)
+    if expiring:
+        state.setTimeoutDuration(IDLE_MS)
     yield pd.DataFrame(out, columns=["session_id", "turn", "topic_shift", "top_k", "relevance_threshold", "caution", "is_sustained"])
 
 
-def watched(turns: DataFrame) -> DataFrame:
-    """The configuration of every turn of a stream of (session_id, turn, message, embedding)."""
-    return prepared(turns).groupBy("session_id").applyInPandasWithState(fold, OUTPUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+def watched(turns: DataFrame, expiring: bool = True) -> DataFrame:
+    """The configuration of every turn of a stream of (session_id, turn, message, embedding).
+
+    Sessions expire by processing time, which keeps a query running for ever; a run
+    over what is available, that must end, keeps its sessions.
+    """
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        return fold(key, frames, state, expiring)
+
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if expiring else GroupStateTimeout.NoTimeout
+    return prepared(turns).groupBy("session_id").applyInPandasWithState(step, OUTPUT, STATE, "append", timeout)
 
 
 def habits(turns: DataFrame) -> DataFrame:
