@@ -18,7 +18,9 @@ documents hold, and pivots work inside these regions:
    regions whose members all are have been joined.  The others go on, recursively,
    with the next pivot, and in the end compare what is left; a pair is left out
    when its members are connected already, when sizes forbid a link, or when the
-   distances to a pivot differ by more than the radius (triangle inequality).
+   distances to a pivot differ by more than the radius (triangle inequality), or when
+   the parities of their n-grams in a fixed number of cells differ in more places
+   than linked sets could (each n-gram that only one set has flips one place).
 
 Nothing is sampled or capped: the order of n-grams uses counted frequencies, but
 any order gives the same links.
@@ -51,6 +53,8 @@ PERCENT = 85
 FREQUENT = 1 << 16
 #: Rounds with one pivot for each region, before what is left is compared.
 PIVOT_ROUNDS = 3
+#: 64-bit words of the parities that a set is told apart by.
+PARITY_WORDS = 16
 
 _OTHER = np.uint64(0xA0761D6478BD642F)
 
@@ -87,6 +91,11 @@ class Sets:
             out.append(W.mix(total[self.first[1:]] - total[self.first[:-1]] + self.n.astype(np.uint64)))
         return out[0], out[1]
 
+    def parities(self, i: int) -> list[int]:
+        """Whether an odd number of n-grams falls into each cell, 64 cells a word."""
+        cell = (W.mix(self.value[self.first[i] : self.first[i + 1]]) % np.uint64(64 * PARITY_WORDS)).astype(np.int64)
+        return np.packbits((np.bincount(cell, minlength=64 * PARITY_WORDS) & 1).astype(np.uint8)).view(np.int64).tolist()
+
     def ranked(self, frequent: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """N-grams of each set from rare to frequent, and their places in it."""
         late = np.zeros(len(self.value), np.int64)
@@ -134,7 +143,7 @@ def set_rows(docs: DataFrame, size: int = SIZE) -> DataFrame:
 
 
 def candidates(docs: DataFrame, firsts: DataFrame, frequent: tuple[np.ndarray, np.ndarray], groups: int, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
-    """Sets that may link with another: doc_id, n, grams (packed, ascending) and regions (hashes)."""
+    """Sets that may link with another: doc_id, n, lack (first n-grams that no other set offers), parities, grams (packed, ascending) and regions (hashes)."""
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast(frequent)
     grouped = docs.where("doc_id IS NOT NULL").select(group_of(F.col("doc_id"), groups=groups).alias(GROUP), "doc_id", "text")
@@ -182,7 +191,7 @@ def candidates(docs: DataFrame, firsts: DataFrame, frequent: tuple[np.ndarray, n
 
     # chosen documents and shared n-grams of a group in one table
     both = wanted.select(GROUP, "doc_id", "k1", F.lit(None).cast("int").alias("bucket"), F.lit(None).cast("binary").alias("shared")).unionByName(shared.select(GROUP, F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("k1"), "bucket", "shared"))
-    found, found_arrow = rows_schema("doc_id long, n long, grams binary, regions array<bigint>")
+    found, found_arrow = rows_schema("doc_id long, n long, lack int, parities array<bigint>, grams binary, regions array<bigint>")
 
     def choose(group: pa.Table, rows: pa.Table) -> pa.Table:
         chosen, answers = rows.filter(pc.is_valid(rows["doc_id"])), rows.filter(pc.is_valid(rows["bucket"]))
@@ -204,6 +213,8 @@ def candidates(docs: DataFrame, firsts: DataFrame, frequent: tuple[np.ndarray, n
                 out["doc_id"].append(int(ids[i]))
                 out["n"].append(int(sets.n[i]))
                 out["grams"].append(packed(sets.value[a:b]))
+                out["lack"].append(int(base[i] - region[a:b].sum()))
+                out["parities"].append(sets.parities(i))
                 out["regions"].append(value[a:b][region[a:b]].view(np.int64))
         return table(out, found_arrow)
 
@@ -235,42 +246,45 @@ def _distance(common: Column, n: Column, m: Column) -> Column:
 def joined_links(sets: DataFrame, percent: int = PERCENT, rounds: int = PIVOT_ROUNDS) -> DataFrame:
     """a, b: links that connect all linked sets of the candidates, found region by region."""
     radius = (100 - percent) / 100 + 1e-9
-    members = staged(sets.select(F.explode("regions").alias("region"), "doc_id", "n"), "regions")
-    place = F.xxhash64("doc_id")
-    known = None  # measured pairs with pivots
+    members = staged(sets.select(F.explode("regions").alias("region"), "doc_id", "n", "lack"), "regions")
+    # the member with the fewest n-grams of its own is most likely in the middle of the others
+    order = F.struct("lack", F.xxhash64("doc_id").alias("place"), "doc_id", "n", "root")
+    known = None  # measured pairs
     roots = None
     for k in range(rounds + 1):
         if roots is None:
             rows = members.withColumn("root", F.col("doc_id"))
         else:
             rows = members.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
-        # regions whose members are all connected are done; the others shrink to one line for each member
-        split = rows.groupBy("region").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.struct(place.alias("place"), "doc_id", "n", "root")).alias("first"), F.max(F.struct(place.alias("place"), "doc_id", "n", "root")).alias("last")).where("low <> high")
-        rows = rows.join(staged(split.select("region", "first", "last"), "split-regions"), "region")
+        # regions whose members are all connected are done
+        split = rows.groupBy("region").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min(order).alias("first")).where("low <> high")
+        rows = rows.join(staged(split.select("region", "first"), "split-regions"), "region")
         if k < rounds:
-            pivot = F.col("first") if k % 2 == 0 else F.col("last")
-            if k >= 2:  # one more pivot, out of the part that is not connected with the first
-                other = rows.where(F.col("root") != F.col("first")["root"]).groupBy("region").agg(F.min(F.struct(F.xxhash64("doc_id", F.lit(k)).alias("place"), "doc_id", "n", "root")).alias("other"))
-                rows, pivot = rows.join(other, "region"), F.col("other")
+            pivot = F.col("first")
+            if k:  # a pivot out of the part that is not connected with the first
+                apart = rows.where(F.col("root") != F.col("first")["root"])
+                chosen = F.min(order) if k == 1 else F.min(F.struct(F.xxhash64("doc_id", F.lit(k)).alias("place"), "doc_id", "n", "root"))
+                rows, pivot = rows.join(staged(apart.groupBy("region").agg(chosen.alias("other")), "pivots"), "region"), F.col("other")
             pairs = rows.where((F.col("root") != pivot["root"]) & _size_allows(F.col("n"), pivot["n"], percent)).select(pivot["doc_id"].alias("p"), F.col("doc_id").alias("q"))
         else:
-            pivot = F.col("first")["doc_id"]
-            one = rows.select("region", pivot.alias("pivot"), F.col("doc_id").alias("p"), F.col("n").alias("np"), F.col("root").alias("rp"))
-            two = rows.select("region", pivot.alias("pivot"), F.col("doc_id").alias("q"), F.col("n").alias("nq"), F.col("root").alias("rq"))
+            cells = [f"c{i}" for i in range(PARITY_WORDS)]
+            told = sets.select("doc_id", *[F.get("parities", F.lit(i)).alias(c) for i, c in enumerate(cells)])
+            rows = staged(rows.join(told, "doc_id").select("region", F.col("first")["doc_id"].alias("pivot"), "doc_id", "n", "root", *cells), "split-members")
             seen = known.select(F.col("a").alias("x"), F.col("b").alias("y"), _distance(F.col("common"), F.col("na"), F.col("nb")).alias("d"))
             seen = seen.unionByName(seen.select(F.col("y").alias("x"), F.col("x").alias("y"), "d"))
-            one = one.join(seen.select(F.col("x").alias("pivot"), F.col("y").alias("p"), F.col("d").alias("dp")), ["pivot", "p"], "left").drop("pivot")
-            two = two.join(seen.select(F.col("x").alias("pivot"), F.col("y").alias("q"), F.col("d").alias("dq")), ["pivot", "q"], "left").drop("pivot")
-            near = F.col("dp").isNull() | F.col("dq").isNull() | (F.abs(F.col("dp") - F.col("dq")) <= radius)
-            pairs = one.join(two, "region").where((F.col("p") < F.col("q")) & (F.col("rp") != F.col("rq")) & _size_allows(F.col("np"), F.col("nq"), percent) & near).select("p", "q")
+            rows = rows.join(seen.select(F.col("x").alias("pivot"), F.col("y").alias("doc_id"), "d"), ["pivot", "doc_id"], "left").drop("pivot")
+            one, two = (rows.select("region", *[F.col(c).alias(f"{c}{i}") for c in ("doc_id", "n", "root", "d", *cells)]) for i in "12")
+            near = F.col("d1").isNull() | F.col("d2").isNull() | (F.abs(F.col("d1") - F.col("d2")) <= radius)
+            flips = sum((F.bit_count(F.col(f"{c}1").bitwiseXOR(F.col(f"{c}2"))) for c in cells), F.lit(0))
+            alike = (100 + percent) * flips <= (100 - percent) * (F.col("n1") + F.col("n2"))
+            met = (one["region"] == two["region"]) & (F.col("doc_id1") < F.col("doc_id2")) & (F.col("root1") != F.col("root2")) & _size_allows(F.col("n1"), F.col("n2"), percent) & near & alike
+            pairs = one.join(two, met).select(F.col("doc_id1").alias("p"), F.col("doc_id2").alias("q"))
         pairs = pairs.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).where("a <> b").distinct()
         if known is not None:
             pairs = pairs.join(known.select("a", "b"), ["a", "b"], "left_anti")
         now = staged(measured(pairs, sets, percent), "measured")
         known = now if known is None else known.unionByName(now)
         if k < rounds:
-            if roots is not None and now.isEmpty():
-                break
             roots = staged(components(known.where("linked")), "roots")
     return known.where("linked").select("a", "b")
 
