@@ -146,8 +146,7 @@ def significant_words(text: Column) -> Column:
     """Lower-cased tokens of three letters or more, stripped of marks, that are no stop words."""
     long = F.filter(words(F.lower(text)), lambda w: F.length(w) > 2)
     bare = F.transform(long, lambda w: F.regexp_replace(w, _EDGES, ""))
-    stop = literal_array(L.STOPWORDS)
-    return F.filter(bare, lambda w: (w != "") & ~F.array_contains(stop, w))
+    return F.filter(bare, lambda w: (w != "") & ~w.isin(*L.STOPWORDS))
 
 
 def proper_nouns(text: Column) -> Column:

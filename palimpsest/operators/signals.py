@@ -156,13 +156,25 @@ def switched(rules: DataFrame, keys: DataFrame, active: bool) -> DataFrame:
 # topics and clusters
 
 
-def topic(message: Column) -> Column:
-    """The most frequent pair of significant words, the first on ties; a single word if there is no pair; null without any."""
-    w = T.significant_words(message)
-    pairs = F.when(F.size(w) > 1, F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda i: F.concat(F.get(w, i), F.lit(" "), F.get(w, i + 1)))).otherwise(w)
-    distinct = F.array_distinct(pairs)
-    counted = F.transform(distinct, lambda p: F.struct((-F.size(F.filter(pairs, lambda x: x == p))).alias("n"), F.array_position(pairs, p).alias("at"), p.alias("p")))
-    return F.when(F.size(w) > 0, F.array_min(counted)["p"])
+def with_topic(turns: DataFrame, message: str = "message") -> DataFrame:
+    """``topic``: the most frequent pair of significant words, the first on ties; a single word if there is no pair; null without any.
+
+    The words and the sorted pairs are columns of their own on the way, so each is
+    made once; equal pairs are then neighbours and one fold finds the longest run.
+    """
+    w = F.col("_w")
+    pairs = F.when(F.size(w) > 1, F.zip_with(F.slice(w, F.lit(1), F.size(w) - 1), F.slice(w, F.lit(2), F.size(w) - 1), lambda a, b: F.concat(a, F.lit(" "), b))).otherwise(w)
+    nothing = F.struct(F.lit("").alias("seen"), F.lit(0).alias("run"), F.lit(0).alias("start"), F.lit(0).alias("n"), F.lit(0).alias("place"), F.lit(None).cast("string").alias("best"))
+
+    def count(a: Column, e: Column) -> Column:
+        same = a["seen"] == e["p"]
+        run, start = F.when(same, a["run"] + 1).otherwise(1), F.when(same, a["start"]).otherwise(e["i"])
+        better = (run > a["n"]) | ((run == a["n"]) & (start < a["place"]))
+        return F.struct(e["p"].alias("seen"), run.alias("run"), start.alias("start"), F.when(better, run).otherwise(a["n"]).alias("n"), F.when(better, start).otherwise(a["place"]).alias("place"), F.when(better, e["p"]).otherwise(a["best"]).alias("best"))
+
+    rows = turns.withColumn("_w", T.significant_words(F.col(message)))
+    rows = rows.withColumn("_p", F.array_sort(F.transform(pairs, lambda p, i: F.struct(p.alias("p"), i.alias("i")))))
+    return rows.withColumn("topic", F.when(F.size("_p") > 0, F.aggregate("_p", nothing, count)["best"])).drop("_w", "_p")
 
 
 def sustained(turns: DataFrame) -> DataFrame:
@@ -176,7 +188,7 @@ def sustained(turns: DataFrame) -> DataFrame:
 
 def focus(turns: DataFrame) -> DataFrame:
     """Turns that open or feed a cluster: a sustained topic, or a wish for depth."""
-    rows = sustained(turns.withColumn("topic", topic(F.col("message"))))
+    rows = sustained(with_topic(turns))
     rows = rows.withColumn("is_depth_request", F.coalesce(T.contains_any(F.lower("message"), L.DEPTH), F.lit(False)))
     return rows.where("topic IS NOT NULL AND (is_sustained OR is_depth_request)")
 

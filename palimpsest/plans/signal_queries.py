@@ -178,7 +178,7 @@ def every(spark: Spark, sf: str) -> DF:
 
 @query(f"WITH {_EVERY}, {_TOPIC} SELECT session_id, turn, topic FROM topics", "sig_9_agg_7_topic")
 def sig_9(spark: Spark, sf: str) -> DF:
-    return every(spark, sf).select("session_id", "turn", S.topic(F.col("message")).alias("topic"))
+    return S.with_topic(every(spark, sf)).select("session_id", "turn", "topic")
 
 
 _SUSTAINED = (
@@ -189,7 +189,7 @@ _SUSTAINED = (
 
 @query(f"WITH {_EVERY}, {_TOPIC}, {_SUSTAINED} SELECT session_id, turn, is_sustained FROM sustained", "win_3_sustained_topic")
 def win_3(spark: Spark, sf: str) -> DF:
-    rows = every(spark, sf).withColumn("topic", S.topic(F.col("message")))
+    rows = S.with_topic(every(spark, sf))
     return S.sustained(rows).select("session_id", "turn", "is_sustained")
 
 

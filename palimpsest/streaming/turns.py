@@ -26,7 +26,7 @@ IDLE_MS = 6 * 3600 * 1000
 
 def prepared(turns: DataFrame) -> DataFrame:
     """session_id, turn, embedding, norepinephrine, topic: what the fold needs, by built-in functions."""
-    return S.norepinephrine(turns).select("session_id", "turn", F.col("embedding").cast("array<double>").alias("embedding"), "norepinephrine", S.topic(F.col("message")).alias("topic"))
+    return S.with_topic(S.norepinephrine(turns)).select("session_id", "turn", F.col("embedding").cast("array<double>").alias("embedding"), "norepinephrine", "topic")
 
 
 def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState, expiring: bool = True) -> Iterator[pd.DataFrame]:

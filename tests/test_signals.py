@@ -42,9 +42,7 @@ def test_crystallises_only_across_sessions(spark):
 
 
 def test_topics(spark):
-    from pyspark.sql import functions as F
-
-    rows = turns(spark, ["Tell me about rust ownership, rust ownership!", "weather", "the of", None]).withColumn("topic", S.topic(F.col("message"))).orderBy("turn").collect()
+    rows = S.with_topic(turns(spark, ["Tell me about rust ownership, rust ownership!", "weather", "the of", None])).orderBy("turn").collect()
     assert [r["topic"] for r in rows] == ["rust ownership", "weather", None, None]
 
 

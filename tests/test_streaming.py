@@ -2,7 +2,6 @@ import numpy as np
 
 from palimpsest.operators import signals as S
 from palimpsest.streaming import turns as ST
-from pyspark.sql import functions as F
 
 DDL = "session_id long, turn long, message string, embedding array<double>"
 
@@ -19,7 +18,7 @@ def test_stream_equals_batch(spark, tmp_path):
     assert q.awaitTermination(90)
     got = {(x["session_id"], x["turn"]): x for x in spark.sql("SELECT * FROM watched").collect()}
     flags = S.norepinephrine(S.topic_shifts(batch))
-    want = S.sustained(S.retrieval_config(flags).withColumn("topic", S.topic(F.col("message")))).collect()
+    want = S.sustained(S.with_topic(S.retrieval_config(flags))).collect()
     assert len(got) == len(want) == 32
     for w in want:
         g = got[w["session_id"], w["turn"]]
