@@ -15,17 +15,31 @@ from pyspark.sql import functions as F
 from palimpsest.functions import vector as V
 from palimpsest.operators import memory as M
 from palimpsest.operators import propagation as P
+from palimpsest.sources.tables import checkpointed
 
 DIM, MARGIN, RATE, EPOCHS, CORRUPTED = 32, 1.0, 0.01, 200, 5
 LEAST_TRIPLES, PER_RELATION, NEAR = 15, 3, 2.0
 
 
+def numbered(values: DataFrame, column: str, blocks: int = 64) -> DataFrame:
+    """The distinct values in order with ``n`` from 0.
+
+    Values are range-partitioned and numbered inside their partition; only the sizes
+    of the partitions meet in one task.
+    """
+    rows = values.select(column).distinct().repartitionByRange(blocks, column).withColumn("_b", F.spark_partition_id())
+    rows = checkpointed(rows)
+    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    first = rows.groupBy("_b").agg(F.count("*").alias("_n")).withColumn("_first", F.coalesce(F.sum("_n").over(before), F.lit(0))).select("_b", "_first")
+    place = F.row_number().over(Window.partitionBy("_b").orderBy(column)) - 1
+    return rows.withColumn("_p", place).join(F.broadcast(first), "_b").select(column, (F.col("_first") + F.col("_p")).cast("int").alias("n"))
+
+
 def index(entities: DataFrame, relations: DataFrame) -> DataFrame:
     """s, p, o: dense numbers of the ends and predicates of explicit relations, by id and by the alphabet."""
     rows = relations.where("NOT is_inferred")
     ids = entities.join(rows.select(F.explode(F.array("subject_id", "object_id")).alias("id")).distinct(), "id", "left_semi").select("id")
-    e = ids.withColumn("n", F.row_number().over(Window.orderBy("id")) - 1)
-    p = rows.select("predicate").distinct().withColumn("n", F.row_number().over(Window.orderBy("predicate")) - 1)
+    e, p = numbered(ids, "id"), numbered(rows, "predicate", 1)
     return rows.join(e.select(F.col("id").alias("subject_id"), F.col("n").alias("s")), "subject_id").join(e.select(F.col("id").alias("object_id"), F.col("n").alias("o")), "object_id").join(p.select("predicate", F.col("n").alias("p")), "predicate").select("s", "p", "o")
 
 

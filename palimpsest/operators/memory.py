@@ -5,8 +5,6 @@ A transition takes a snapshot and gives the next one; nothing is changed in plac
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -169,6 +167,3 @@ def corrected(memories: DataFrame, query: Column, content: str, k: int = 5, spar
         hits = hits.where("NOT is_priority")
     return suppress(memories, hits, "contradicted")
 
-
-def columns(memories: DataFrame, names: Sequence[str]) -> DataFrame:
-    return memories.select(*names)

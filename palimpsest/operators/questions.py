@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from palimpsest import lexicon as L
 from palimpsest.functions import text as T
 from palimpsest.operators import graph as G
 from palimpsest.operators import inference as I
@@ -101,6 +100,3 @@ def answers(questions: DataFrame, entities: DataFrame, relations: DataFrame, mos
     yes = rows.where("mode = 'boolean'").groupBy("question_id").agg(F.when(F.count("object_id") > 0, "yes").otherwise("no").alias("answer")).withColumn("rank", F.lit(1))
     return ranked.unionByName(count).unionByName(yes)
 
-
-def family_words() -> list[str]:
-    return list(L.FAMILY)
