@@ -30,8 +30,9 @@ from pyspark.sql import DataFrame
 from palimpsest.llm import words as W
 from palimpsest.llm.frames import arrow_map, text_rows
 from palimpsest.llm.suffix_automaton import SuffixAutomaton
+from palimpsest.llm.workers import resident
 
-CACHE = 1 << 18
+CACHE = 1 << 17
 SPACE_CLASS = r"\t-\r\x20\x85\xa0  -     　"
 #: The pieces of the byte-level pre-tokenizer, its white space spelled out.
 PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE_CLASS}\p{{L}}\p{{N}}]+|[{SPACE_CLASS}]+(?![^{SPACE_CLASS}])|[{SPACE_CLASS}]+"
@@ -201,14 +202,11 @@ class Vocabulary:
 
 
 _PIECES = regex.compile(PIECES)
-_vocabularies: dict[str, Vocabulary] = {}
 
 
 def vocabulary(path: str) -> Vocabulary:
-    """The vocabulary of a file, built once per worker."""
-    if path not in _vocabularies:
-        _vocabularies[path] = Vocabulary(path)
-    return _vocabularies[path]
+    """The vocabulary of a file, built once per worker and stage."""
+    return resident(path, lambda: Vocabulary(path))
 
 
 def encoded(docs: DataFrame, path: str) -> DataFrame:
@@ -220,7 +218,7 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
             ids = [np.frombuffer(v.encode(t), "<u4") if t else np.empty(0, "<u4") for t in texts.to_pylist()]
             yield {"doc_id": batch.column("doc_id").slice(a, b - a), "ids": pa.array([x.astype(np.int64) for x in ids], pa.list_(pa.int64())), "decoded": pa.array([v.decode(x.astype(np.int64)).decode() for x in ids])}
 
-    return arrow_map(text_rows(docs), run, "doc_id long, ids array<bigint>, decoded string")
+    return arrow_map(text_rows(docs), run, "doc_id long, ids array<bigint>, decoded string", keeps=True)
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
@@ -237,4 +235,4 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
                 of_text.append(hashlib.sha256(v.decode(np.frombuffer(raw, "<u4").astype(np.int64))).hexdigest())
             yield {"doc_id": batch.column("doc_id").slice(a, b - a), "n_tokens": np.array(n, np.int64), "ids_sha256": pa.array(of_ids, pa.string()), "decoded_sha256": pa.array(of_text, pa.string())}
 
-    return arrow_map(text_rows(docs), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return arrow_map(text_rows(docs), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", keeps=True)

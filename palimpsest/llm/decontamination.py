@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm import words as W
+from palimpsest.llm.workers import tidy
 
 WINDOW = 10
 GRAM = 4
@@ -188,6 +189,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int
         def run(batches: Iterator[pa.RecordBatch], held=held, later=bool(k), schema=schema) -> Iterator[pa.RecordBatch]:
             from pyspark.sql.pandas.types import to_arrow_schema
 
+            tidy()
             to = to_arrow_schema(schema)
             for batch in batches:
                 for a, b, new in _scan(batch, held.value, window, gram, text):

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.llm.workers import tidy
+
 #: Sizes that Spark gives when it knows nothing about a frame are far above this.
 _UNKNOWN_BYTES = 1 << 52
 
@@ -29,11 +31,16 @@ def text_rows(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
 
 
-def arrow_map(df: DataFrame, function: Callable[[pa.RecordBatch], Iterator[dict]], schema: str) -> DataFrame:
-    """Apply a function from a record batch to dictionaries of columns, in Arrow batches."""
+def arrow_map(df: DataFrame, function: Callable[[pa.RecordBatch], Iterator[dict]], schema: str, keeps: bool = False) -> DataFrame:
+    """Apply a function from a record batch to dictionaries of columns, in Arrow batches.
+
+    Unless it ``keeps`` something for its next task, the worker is tidied first.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
+        if not keeps:
+            tidy()
         to = to_arrow_schema(fields)
         for batch in batches:
             if batch.num_rows:

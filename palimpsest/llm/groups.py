@@ -9,15 +9,20 @@ of all documents hold costs a bucket one entry per group, not one per document.
 
 from __future__ import annotations
 
+import functools
+import inspect
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.frames import fan_out
+from palimpsest.llm.workers import tidy
 
-#: Bytes of input as stored that a group should hold: about twice that in text.
-GROUP_BYTES = 5 << 20
+#: Bytes of input as stored that a group should hold: about twice that in text, and some
+#: thirty times that in a worker's arrays.  Larger executors can do with fewer groups.
+GROUP_BYTES = 2 << 20
 GROUP = "__group__"
 
 _LOW = np.uint64(0xFFFFFFFF)
@@ -62,6 +67,19 @@ def table(columns: dict[str, list | np.ndarray | pa.Array], schema: pa.Schema) -
     return pa.Table.from_arrays([c if isinstance(c := columns[f.name], (pa.Array, pa.ChunkedArray)) and c.type == f.type else (c.cast(f.type) if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c, f.type)) for f in schema], schema=schema)
 
 
+def tidied(function):
+    """The same function of tables, which gives the worker's freed memory back before each group."""
+
+    @functools.wraps(function)
+    def run(*tables: pa.Table) -> pa.Table:
+        tidy()
+        return function(*tables)
+
+    # Spark tells functions of groups from those of keys and groups by their parameters
+    run.__signature__ = inspect.signature(function)
+    return run
+
+
 def rows_schema(ddl: str) -> tuple[object, pa.Schema]:
     """A schema for Spark and the same for Arrow."""
     from pyspark.sql.pandas.types import to_arrow_schema

@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from palimpsest.llm import words as W
 from palimpsest.llm.components import components
 from palimpsest.llm.frames import arrow_map, text_rows
-from palimpsest.llm.groups import GROUP, bucket_of, group_count, group_of, joined, packed, rows_schema, short, table, unpacked
+from palimpsest.llm.groups import GROUP, bucket_of, group_count, group_of, joined, packed, rows_schema, short, table, tidied, unpacked
 from palimpsest.llm.staging import staged
 
 SIZE = 4
@@ -53,6 +53,8 @@ PERCENT = 85
 FREQUENT = 1 << 16
 #: Rounds with one pivot for each region, before what is left is compared.
 PIVOT_ROUNDS = 3
+#: Pairs of sets that a worker holds at once.
+SETS_AT_ONCE = 1024
 #: 64-bit words of the parities that a set is told apart by.
 PARITY_WORDS = 16
 
@@ -167,6 +169,7 @@ def candidates(docs: DataFrame, firsts: DataFrame, frequent: tuple[np.ndarray, n
 
     sent, sent_arrow = rows_schema("bucket int, grp int, one binary, more binary")
 
+    @tidied
     def offer(group: pa.Table, chosen: pa.Table) -> pa.Table:
         every = []
         for _, use, sets in members(group, chosen):
@@ -180,6 +183,7 @@ def candidates(docs: DataFrame, firsts: DataFrame, frequent: tuple[np.ndarray, n
 
     told, told_arrow = rows_schema(f"{GROUP} int, bucket int, shared binary")
 
+    @tidied
     def meet(part: pa.Table) -> pa.Table:
         one, more = unpacked(part["one"], "u4"), unpacked(part["more"], "u4")
         low, count = np.unique(joined([*one, *more, *more], "u4"), return_counts=True)
@@ -193,6 +197,7 @@ def candidates(docs: DataFrame, firsts: DataFrame, frequent: tuple[np.ndarray, n
     both = wanted.select(GROUP, "doc_id", "k1", F.lit(None).cast("int").alias("bucket"), F.lit(None).cast("binary").alias("shared")).unionByName(shared.select(GROUP, F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("k1"), "bucket", "shared"))
     found, found_arrow = rows_schema("doc_id long, n long, lack int, parities array<bigint>, grams binary, regions array<bigint>")
 
+    @tidied
     def choose(group: pa.Table, rows: pa.Table) -> pa.Table:
         chosen, answers = rows.filter(pc.is_valid(rows["doc_id"])), rows.filter(pc.is_valid(rows["bucket"]))
         lows = dict(zip(answers["bucket"].to_pylist(), unpacked(answers["shared"], "u4"), strict=True))
@@ -282,7 +287,7 @@ def joined_links(sets: DataFrame, percent: int = PERCENT, rounds: int = PIVOT_RO
         pairs = pairs.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).where("a <> b").distinct()
         if known is not None:
             pairs = pairs.join(known.select("a", "b"), ["a", "b"], "left_anti")
-        now = staged(measured(pairs, sets, percent), "measured")
+        now = staged(measured(pairs, sets, percent), "measured", batch_rows=SETS_AT_ONCE)
         known = now if known is None else known.unionByName(now)
         if k < rounds:
             roots = staged(components(known.where("linked")), "roots")

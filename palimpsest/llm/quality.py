@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from palimpsest.llm import words as W
 from palimpsest.llm.boosting import Forest, fit
 from palimpsest.llm.frames import arrow_map, text_rows
+from palimpsest.llm.workers import tidy
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -174,6 +175,7 @@ def good_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     forest = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels, sample))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         for batch in batches:
             for a, b, texts in W.slices(batch.column("text")):
                 counts, x = statistics(texts)

@@ -11,11 +11,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import ExitStack, contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def folder(spark: SparkSession) -> str:
@@ -33,27 +34,37 @@ def folder(spark: SparkSession) -> str:
 
 
 @contextmanager
-def early_cleanup(spark: SparkSession) -> Iterator[None]:
-    """Shuffle files go when the write that made them ends, where this Spark has such a setting."""
-    before = spark.conf.get(_CLEANUP, None)
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A session setting for as long as some jobs run; releases without such a setting go without."""
+    before = spark.conf.get(key, None)
     try:
-        spark.conf.set(_CLEANUP, "true")
-    except Exception as e:  # a static setting in some releases: then files wait for the cleaner
+        spark.conf.set(key, value)
+    except Exception as e:
         if "CANNOT_MODIFY" not in str(e):
             raise
-        before = None
+        yield
+        return
     try:
         yield
     finally:
-        if before is not None:
-            spark.conf.set(_CLEANUP, before)
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
 
+def staged(df: DataFrame, name: str, partition_by: list[str] | None = None, batch_rows: int | None = None) -> DataFrame:
+    """Write a frame to the shared folder and give back a frame that reads it.
 
-def staged(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Write a frame to the shared folder and give back a frame that reads it."""
+    Shuffle files go when the write that made them ends.  ``batch_rows`` bounds the
+    rows that go to a Python worker at once, for rows that hold whole sets.
+    """
     spark = df.sparkSession
     path = f"{folder(spark)}/palimpsest/{name}-{uuid.uuid4().hex}"
-    with early_cleanup(spark):
+    with ExitStack() as held:
+        held.enter_context(setting(spark, _CLEANUP, "true"))
+        if batch_rows:
+            held.enter_context(setting(spark, _BATCH, str(batch_rows)))
         writer = df.write.option("compression", "zstd")
         (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from palimpsest.llm import words as W
-from palimpsest.llm.groups import GROUP, bucket_of, group_count, group_of, joined, packed, parts_of, rows_schema, short, table, unpacked
+from palimpsest.llm.groups import GROUP, bucket_of, group_count, group_of, joined, packed, parts_of, rows_schema, short, table, tidied, unpacked
 from palimpsest.llm.staging import staged
 from palimpsest.llm.suffix_automaton import SuffixAutomaton
 
@@ -218,6 +218,7 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: i
     # 1. which anchors do two documents hold
     sent, sent_arrow = rows_schema("bucket int, grp int, one binary, more binary, count binary")
 
+    @tidied
     def anchors(group: pa.Table) -> pa.Table:
         runs = _runs(group, "id", "text", window, gram)
         pairs = np.unique(np.stack([runs.anchor, runs.ids[runs.doc].view(np.uint64)]), axis=1)[0] if len(runs.anchor) else np.empty(0, np.uint64)
@@ -239,6 +240,7 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: i
 
     told, told_arrow = rows_schema(f"{GROUP} int, bucket int, kind int, one binary, two binary")
 
+    @tidied
     def meet(part: pa.Table) -> pa.Table:
         one, more, count = unpacked(part["one"], "u4"), unpacked(part["more"], "u4"), unpacked(part["count"], "u4")
         every = joined([*one, *more], "u4")
@@ -259,6 +261,7 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: i
         types = ("u4", "u4") if kind == 0 else ("i8", "i8")
         return dict(zip(rows["bucket"].to_pylist(), zip(unpacked(rows["one"], types[0]), unpacked(rows["two"], types[1]), strict=True), strict=True))
 
+    @tidied
     def send(group: pa.Table, rows: pa.Table) -> pa.Table:
         if not len(group):
             return fragments_arrow.empty_table()
@@ -292,6 +295,7 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: i
                 out[name].append(value)
         return table(out, fragments_arrow)
 
+    @tidied
     def shard(part: pa.Table) -> pa.Table:
         vocab = unpacked(part["vocab"], "u8")
         code = [np.frombuffer(x, np.uint32 if len(v) > 1 << 16 else np.uint16) for x, v in zip(part["code"].to_pylist(), vocab, strict=True)]
@@ -312,6 +316,7 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: i
     arrow = _arrow_schema(schema)
     names = docs.columns
 
+    @tidied
     def remove(group: pa.Table, rows: pa.Table) -> pa.Table:
         if not len(group):
             return arrow.empty_table()
