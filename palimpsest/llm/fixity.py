@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from palimpsest.llm.staging import staged
+
 FILES = 1024
 FANOUT = 16
 
@@ -113,7 +115,11 @@ def descend(one: list[DataFrame], other: list[DataFrame], fanout: int = FANOUT)
 
 
 def audit(records: DataFrame, fanout: int = FANOUT) -> DataFrame:
-    """Every record with its place and whether the replica's copy is intact, as found by descending."""
+    """Every record with its place and whether the replica's copy is intact, as found by descending.
+
+    Digests and places are written first, so the archive is read and hashed once.
+    """
+    records = staged(records, "archive-records")
     levels = levels_of(records, fanout)
     damaged = descend(tree(records, "digest", levels, fanout), tree(records, "replica_digest", levels, fanout), fanout)
     return records.join(damaged.withColumn("damaged", F.lit(True)), ["file", "ordinal"], "left").select("page_id", "file", "ordinal", "offset", "length", "copies", "digest", F.col("damaged").isNull().alias("intact"))
