@@ -32,7 +32,7 @@ from palimpsest.llm.frames import arrow_map, text_rows
 from palimpsest.llm.suffix_automaton import SuffixAutomaton
 from palimpsest.llm.workers import resident
 
-CACHE = 1 << 17
+CACHE = 1 << 18
 SPACE_CLASS = r"\t-\r\x20\x85\xa0  -     　"
 #: The pieces of the byte-level pre-tokenizer, its white space spelled out.
 PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE_CLASS}\p{{L}}\p{{N}}]+|[{SPACE_CLASS}]+(?![^{SPACE_CLASS}])|[{SPACE_CLASS}]+"
