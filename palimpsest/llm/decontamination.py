@@ -181,12 +181,13 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int
     names = [prefix + x for x in ("n_words", "spans", "items")]
     if clash := set(names) & set(docs.columns):
         raise ValueError(f"columns exist already: {sorted(clash)}")
+    kinds = ("long", "array<struct<start:int,end:int>>", "array<string>")
+    out = docs.withColumns({n: F.lit(None).cast(t) for n, t in zip(names, kinds, strict=True)})
+    schema = out.schema
     for k, index in enumerate(indexes):
         held = spark.sparkContext.broadcast(index)
-        out = docs.withColumns({names[0]: F.lit(None).cast("long"), names[1]: F.lit(None).cast("array<struct<start:int,end:int>>"), names[2]: F.lit(None).cast("array<string>")}) if not k else out  # noqa: F821
-        schema = out.schema
 
-        def run(batches: Iterator[pa.RecordBatch], held=held, later=bool(k), schema=schema) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], held=held, later=bool(k)) -> Iterator[pa.RecordBatch]:
             from pyspark.sql.pandas.types import to_arrow_schema
 
             tidy()

@@ -121,8 +121,6 @@ def blocks_of(page: str) -> tuple[list[tuple[str, Block]], bool]:
             say(" ")
             continue
         if name in INLINE:
-            if not closing and name not in VOID and named_aside(attributes):
-                pass
             continue
         if closing:
             for k in range(len(stack) - 1, -1, -1):
