@@ -36,11 +36,16 @@ def numbered(values: DataFrame, column: str, blocks: int = 64) -> DataFrame:
 
 
 def index(entities: DataFrame, relations: DataFrame) -> DataFrame:
-    """s, p, o: dense numbers of the ends and predicates of explicit relations, by id and by the alphabet."""
+    """s, p, o: dense numbers of the ends and predicates of explicit relations, by id and by the alphabet; user_id goes along."""
     rows = relations.where("NOT is_inferred")
     ids = entities.join(rows.select(F.explode(F.array("subject_id", "object_id")).alias("id")).distinct(), "id", "left_semi").select("id")
     e, p = numbered(ids, "id"), numbered(rows, "predicate", 1)
-    return rows.join(e.select(F.col("id").alias("subject_id"), F.col("n").alias("s")), "subject_id").join(e.select(F.col("id").alias("object_id"), F.col("n").alias("o")), "object_id").join(p.select("predicate", F.col("n").alias("p")), "predicate").select("s", "p", "o")
+    return rows.join(e.select(F.col("id").alias("subject_id"), F.col("n").alias("s")), "subject_id").join(e.select(F.col("id").alias("object_id"), F.col("n").alias("o")), "object_id").join(p.select("predicate", F.col("n").alias("p")), "predicate").select(*_own(relations), "s", "p", "o")
+
+
+def _own(rows: DataFrame) -> list[str]:
+    """The key that keeps users apart, if the table has more than one."""
+    return ["user_id"] if "user_id" in rows.columns else []
 
 
 def corrupted(triples: DataFrame, entities: DataFrame, times: int = CORRUPTED) -> DataFrame:
@@ -80,10 +85,14 @@ def transe(s: np.ndarray, p: np.ndarray, o: np.ndarray, dim: int = DIM, epochs:
     return e, q
 
 
-def embedded(triples: DataFrame, epochs: int = EPOCHS) -> DataFrame:
-    """user_id, kind (entity or predicate), n, vector for each user's triples (user_id, s, p, o)."""
+def embedded(triples: DataFrame, epochs: int = EPOCHS, blocks: int = 64) -> DataFrame:
+    """user_id, kind (entity or predicate), n, vector for each user's triples (user_id, s, p, o).
+
+    Triples are few bytes and long work, so the number of tasks is not left to their size.
+    """
 
     def train(part: pa.Table) -> pa.Table:
+        part = part.sort_by([(c, "ascending") for c in "spo"])
         s, p, o = (part[c].to_numpy().astype(np.int64) for c in "spo")
         names, codes = np.unique(np.concatenate([s, o]), return_inverse=True)
         kinds, pc = np.unique(p, return_inverse=True)
@@ -91,7 +100,7 @@ def embedded(triples: DataFrame, epochs: int = EPOCHS) -> DataFrame:
         rows = [("entity", int(n), v) for n, v in zip(names, e, strict=True)] + [("predicate", int(n), v) for n, v in zip(kinds, q, strict=True)]
         return pa.table({"user_id": [part["user_id"][0].as_py()] * len(rows), "kind": [r[0] for r in rows], "n": [r[1] for r in rows], "vector": pa.array([r[2].tolist() for r in rows], pa.list_(pa.float64()))})
 
-    return triples.groupBy("user_id").applyInArrow(train, "user_id string, kind string, n long, vector array<double>")
+    return triples.repartition(blocks, "user_id").groupBy("user_id").applyInArrow(train, "user_id string, kind string, n long, vector array<double>")
 
 
 def distance(h: Column, r: Column, t: Column) -> Column:
@@ -99,24 +108,30 @@ def distance(h: Column, r: Column, t: Column) -> Column:
 
 
 def tails(heads: DataFrame, vectors: DataFrame, k: int = PER_RELATION) -> DataFrame:
-    """s, p, o, distance, rank: the nearest ends for pairs (s, p); ``vectors``: kind, n, vector."""
+    """s, p, o, distance, rank: the nearest ends for pairs (s, p); ``vectors``: kind, n, vector.
+
+    With a user_id in ``heads`` and ``vectors`` the ends are those of the same user.
+    """
+    own = _own(heads)
     e = vectors.where("kind = 'entity'")
-    rows = heads.join(e.select(F.col("n").alias("s"), F.col("vector").alias("vs")), "s").join(vectors.where("kind = 'predicate'").select(F.col("n").alias("p"), F.col("vector").alias("vp")), "p")
-    rows = rows.join(e.select(F.col("n").alias("o"), F.col("vector").alias("vo"))).where("s <> o").withColumn("distance", F.round(distance(F.col("vs"), F.col("vp"), F.col("vo")), 6))
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("s", "p").orderBy("distance", "o"))).where(F.col("rank") <= k).select("s", "p", "o", "distance", "rank")
+    rows = heads.join(e.select(*own, F.col("n").alias("s"), F.col("vector").alias("vs")), [*own, "s"]).join(vectors.where("kind = 'predicate'").select(*own, F.col("n").alias("p"), F.col("vector").alias("vp")), [*own, "p"])
+    rows = rows.join(e.select(*own, F.col("n").alias("o"), F.col("vector").alias("vo")), own or None).where("s <> o").withColumn("distance", F.round(distance(F.col("vs"), F.col("vp"), F.col("vo")), 6))
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*own, "s", "p").orderBy("distance", "o"))).where(F.col("rank") <= k).select(*own, "s", "p", "o", "distance", "rank")
 
 
 def predicted(triples: DataFrame, vectors: DataFrame, accept: str = "near", k: int = PER_RELATION) -> DataFrame:
     """s, p, o, confidence of new links; ``accept`` near takes those within the limit, reference those beyond it.
 
-    Graphs with few triples give none.
+    Graphs with few triples give none.  With a user_id each user is a graph.
     """
+    own = _own(triples)
     near = F.col("distance") <= NEAR if accept == "near" else F.col("distance") > NEAR
-    enough = triples.agg((F.count("*") >= LEAST_TRIPLES).alias("_ok"))
-    rows = tails(triples.select("s", "p").distinct(), vectors, k).where(near).join(triples, ["s", "p", "o"], "left_anti")
+    enough = triples.groupBy(*own).agg((F.count("*") >= LEAST_TRIPLES).alias("_ok")).where("_ok")
+    rows = tails(triples.select(*own, "s", "p").distinct(), vectors, k).where(near).join(triples, [*own, "s", "p", "o"], "left_anti")
     d = F.col("distance") / 3.0
     confidence = F.least(F.lit(0.65), F.greatest(F.lit(0.3), 1.0 - d if accept == "near" else d))
-    return rows.join(F.broadcast(enough)).where("_ok").select("s", "p", "o", F.round(confidence, 6).alias("confidence"))
+    rows = rows.join(enough, own) if own else rows.join(F.broadcast(enough))
+    return rows.select(*own, "s", "p", "o", F.round(confidence, 6).alias("confidence"))
 
 
 def typed(links: DataFrame, types: DataFrame, allowed: DataFrame) -> DataFrame:

@@ -343,6 +343,21 @@ def ctx_9(spark: Spark, sf: str) -> DF:
     return I.relevant(e, r, scores)
 
 
+_ALL_SCORES = "scores AS (SELECT q.id % 3 AS query_id, q.id, 0.2::DOUBLE + (q.id % 7) / 10.0::DOUBLE AS sim, q.id % 11 = 0 AS in_query FROM entities q)"
+
+
+@query(
+    GR + f", {_ALL_SCORES}, lifted AS (SELECT query_id, id, CASE WHEN in_query THEN greatest(sim, 0.95::DOUBLE) ELSE sim END AS sim FROM scores), top AS (SELECT * FROM lifted QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, id) <= 5), "
+    f"n AS (SELECT DISTINCT t.query_id, r.*, coalesce(s.name, '?') AS s, coalesce(o.name, '?') AS o FROM relations r JOIN top t ON t.sim > 0.3 AND t.id IN (r.subject_id, r.object_id) LEFT JOIN entities s ON s.id = subject_id LEFT JOIN entities o ON o.id = object_id), "
+    f"d AS (SELECT query_id, CASE WHEN predicate = 'father_in_law' THEN s || ' father in law ' || o ELSE {_case('predicate', 's', 'o')} END AS d, row_number() OVER (PARTITION BY query_id ORDER BY confidence DESC, seq, subject_id) AS k FROM n) SELECT query_id, string_agg(d, '; ' ORDER BY k) || '.' AS context FROM d WHERE k <= 10 GROUP BY query_id",
+    "ctx_9_all_entities",
+)
+def ctx_9_all(spark: Spark, sf: str) -> DF:
+    e, r = graph(spark, sf)
+    scores = e.select((F.col("id") % 3).alias("query_id"), "id", (0.2 + (F.col("id") % 7) / 10.0).alias("sim"), (F.col("id") % 11 == 0).alias("in_query"))
+    return I.relevant(e, r, scores)
+
+
 #: Questions about the messy graph's first entity.
 QUESTIONS = [(1, "What's my father's name?"), (2, "Who is my sister's husband"), (3, "who is Bob to Ann"), (4, "tell me about carl"), (5, "who is my uncle"), (6, "How is Carl related to Ann?"), (7, "Who is Bob to my friend"), (8, "what time is it")]
 

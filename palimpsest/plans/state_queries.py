@@ -19,6 +19,7 @@ from palimpsest.plans.graph_queries import graph
 from palimpsest.plans.memory_queries import MEM, VEC, placed, query_vector
 from palimpsest.plans.registry import query
 from palimpsest.sources import adapters as A
+from palimpsest.sources.tables import checkpointed
 
 Spark, DF = SparkSession, DataFrame
 
@@ -302,18 +303,43 @@ _COST = r"greatest(1, floor(len(list_filter(regexp_split_to_array(text, '\s+'),
 _SECTIONS = f"sections AS (SELECT doc_id % 40 AS query_id, (doc_id // 40)::INT AS pos, CASE WHEN doc_id // 40 = 0 THEN 'fact' ELSE 'more' END AS name, text, {_COST} AS cost FROM documents WHERE doc_id < 1000), lists AS (SELECT query_id, list({{'pos': pos, 'name': name, 'cost': cost}} ORDER BY pos) AS parts FROM sections GROUP BY query_id)"
 
 
-def sections(spark: Spark, sf: str) -> DF:
+def first_sections(spark: Spark, sf: str) -> DF:
+    """The sections of ``ctx_2_budget``'s SQL: documents below 1000 in forty queries."""
     docs = A.table(spark, sf, "documents").where("doc_id < 1000")
     return docs.select((F.col("doc_id") % 40).alias("query_id"), F.floor(F.col("doc_id") / 40).cast("int").alias("pos"), F.when(F.floor(F.col("doc_id") / 40) == 0, "fact").otherwise("more").alias("name"), "text")
 
 
+#: Sections of a query over all documents.
+SECTIONS = 25
+
+
+def sections(spark: Spark, sf: str) -> DF:
+    """Every document as a section; the number of queries grows with the documents."""
+    pos = F.pmod("doc_id", F.lit(SECTIONS))
+    return A.table(spark, sf, "documents").select(F.floor(F.col("doc_id") / SECTIONS).alias("query_id"), pos.cast("int").alias("pos"), F.when(pos == 0, "fact").otherwise("more").alias("name"), "text")
+
+
+_ALL_SECTIONS = f"sections AS (SELECT doc_id // {SECTIONS} AS query_id, (doc_id % {SECTIONS})::INT AS pos, CASE WHEN doc_id % {SECTIONS} = 0 THEN 'fact' ELSE 'more' END AS name, text, {_COST} AS cost FROM documents)"
+
+
+@query(
+    f"WITH RECURSIVE {_ALL_SECTIONS}, must AS (SELECT query_id, coalesce(sum(cost) FILTER (name = 'fact'), 0)::INT AS used, count(*) FILTER (name = 'fact') AS kept, count(*) AS sections FROM sections GROUP BY query_id), walk AS (SELECT query_id, -1 AS pos, used, kept, sections FROM must UNION ALL SELECT w.query_id, w.pos + 1, CASE WHEN s.name = 'more' AND w.used + s.cost <= 1500 THEN w.used + s.cost ELSE w.used END, CASE WHEN s.name = 'more' AND w.used + s.cost <= 1500 THEN w.kept + 1 ELSE w.kept END, w.sections FROM walk w LEFT JOIN sections s ON s.query_id = w.query_id AND s.pos = w.pos + 1 WHERE w.pos < {SECTIONS}) "
+    "SELECT query_id, max(used)::INT AS used_tokens, max(kept)::INT AS kept, max(sections) AS sections FROM walk GROUP BY query_id",
+    "ctx_2_budget_all_documents",
+)
+def ctx_2_all(spark: Spark, sf: str) -> DF:
+    rows = sections(spark, sf)
+    of_query = rows.groupBy("query_id").agg(F.count("*").alias("sections"))
+    return C.budgeted(rows).select("query_id", "used_tokens", F.size("kept").alias("kept")).join(of_query, "query_id")
+
+
 @query(
     f"WITH RECURSIVE {_SECTIONS}, must AS (SELECT query_id, coalesce(sum(cost) FILTER (name = 'fact'), 0)::INT AS used, count(*) FILTER (name = 'fact') AS kept FROM sections GROUP BY query_id), walk AS (SELECT query_id, -1 AS pos, used, kept FROM must UNION ALL SELECT w.query_id, w.pos + 1, CASE WHEN s.name = 'more' AND w.used + s.cost <= 1500 THEN w.used + s.cost ELSE w.used END, CASE WHEN s.name = 'more' AND w.used + s.cost <= 1500 THEN w.kept + 1 ELSE w.kept END FROM walk w LEFT JOIN sections s ON s.query_id = w.query_id AND s.pos = w.pos + 1 WHERE w.pos < 25) "
     "SELECT query_id, max(used)::INT AS used_tokens, max(kept)::INT AS kept FROM walk GROUP BY query_id",
     "ctx_2_budget",
 )
 def ctx_2(spark: Spark, sf: str) -> DF:
-    return C.budgeted(sections(spark, sf)).select("query_id", "used_tokens", F.size("kept").alias("kept"))
+    return C.budgeted(first_sections(spark, sf)).select("query_id", "used_tokens", F.size("kept").alias("kept"))
 
 
 @query(
@@ -401,10 +427,11 @@ def gr_22b(spark: Spark, sf: str) -> DF:
 
 @query(None, "gr_18_19_20_21_link_prediction")
 def gr_20(spark: Spark, sf: str) -> DF:
+    """Links inside each chain of families, the graph of one user."""
     e, r = graph(spark, sf)
-    small = LE.index(e.where("id < 400"), r.where("subject_id < 400 AND object_id < 400"))
-    vectors = LE.embedded(small.withColumn("user_id", F.lit("u")), epochs=60)
-    return LE.predicted(small, vectors.select("kind", "n", "vector"))
+    triples = LE.index(e, r.withColumn("user_id", A.chain("subject_id").cast("string")))
+    # vectors are read three times, trained once
+    return LE.predicted(triples, checkpointed(LE.embedded(triples))).select("s", "p", "o", "confidence")
 
 
 @query(None, "agg_8_term_vectors")

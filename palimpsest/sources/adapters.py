@@ -6,7 +6,7 @@ next to it is what the registered queries are checked against.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Vectors that memories are given in turn.
@@ -102,6 +102,13 @@ def relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.unionByName(far).select(F.col("seq").alias("id"), "subject_id", "predicate", "object_id", "confidence", F.lit(False).alias("is_inferred"), "seq")
 
 
+
+
+def chain(id: str) -> Column:
+    """The chain of families that an entity is in; relations stay inside one."""
+    return F.floor(F.col(id) / 24)
+
+
 GRAPH = """entities AS (
   SELECT c_custkey * 8 + k AS id, CASE WHEN k = 0 THEN c_name ELSE 'Kin' || c_custkey::VARCHAR || ' ' || (['A', 'B', 'C', 'D', 'E'])[greatest(k, 1)] END AS name, 'person' AS entity_type, c_custkey * 8 + k AS seq
   FROM customer, unnest(range(0, 6)) AS t(k)
