@@ -71,15 +71,29 @@ def co_parents(relations: DataFrame, existing: DataFrame) -> DataFrame:
     return rows.join(known, ["_low", "_high"], "left_anti").drop("_low", "_high")
 
 
+def _own(relations: DataFrame) -> list[str]:
+    """The key that keeps users apart; a table without it is one user's."""
+    return ["user_id"] if "user_id" in relations.columns else []
+
+
+def _capped(rows: DataFrame, cap: int | None, own: list[str]) -> DataFrame:
+    """The first ``cap`` triples of each user."""
+    order = ["start", "seq_1", "seq_2", "object_id", "subject_id", "predicate"]
+    if cap is None or not own:
+        return rows if cap is None else rows.orderBy(*order[:4]).limit(cap)
+    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*own).orderBy(*order))).where(F.col("_n") <= cap).drop("_n")
+
+
 def multi_hops(relations: DataFrame, cap: int | None = CAP) -> DataFrame:
-    """A to B to C: (C, rule, A); the first ``cap`` of a user, in order of A's first relation and the two hops."""
+    """A to B to C: (C, rule, A); the first ``cap`` of a user (user_id, if there), in order of A's first relation and the two hops."""
+    own = _own(relations)
     start = F.min("seq").over(Window.partitionBy("subject_id"))
     a, b = _two(relations)
-    a = a.join(relations.withColumn("start", start).select(F.col("subject_id").alias("subject_id_1"), "start").distinct(), "subject_id_1")
+    a = a.join(relations.withColumn("start", start).select(F.col("subject_id").alias("subject_id_1"), "start", *own).distinct(), "subject_id_1")
     pairs = a.join(b, F.col("object_id_1") == F.col("subject_id_2")).where("object_id_2 <> subject_id_1")
     pairs = pairs.join(F.broadcast(rule_table(relations, L.MULTI_HOP_RULES)), (F.col("predicate_1") == F.col("p1")) & (F.col("predicate_2") == F.col("p2")))
-    rows = _first(_told(pairs, "object_id_2", "subject_id_1", "multi_hop", ["start"]))
-    return rows if cap is None else rows.orderBy("start", "seq_1", "seq_2", "object_id").limit(cap)
+    rows = _first(_told(pairs, "object_id_2", "subject_id_1", "multi_hop", ["start", *own]))
+    return _capped(rows, cap, own)
 
 
 def unknown(rows: DataFrame, existing: DataFrame) -> DataFrame:
@@ -92,6 +106,7 @@ def full(entities: DataFrame, relations: DataFrame, gate: float | None = GATE, c
 
     Rules fire on the gated explicit relations only; whether a triple is new is asked
     of all relations and of what earlier rules have added.  There is no fixpoint.
+    ``cap`` bounds the multi-hop triples of each user_id, if relations have it.
     """
     known = G.explicit(relations).select(*G.RELATION)
     base = gated(entities, relations, gate)
@@ -106,8 +121,8 @@ def full(entities: DataFrame, relations: DataFrame, gate: float | None = GATE, c
         else:
             rows = multi_hops(base, None)
         rows = unknown(rows, known)
-        if stage == "multi_hop" and cap is not None:
-            rows = rows.orderBy("start", "seq_1", "seq_2", "object_id").limit(cap)
+        if stage == "multi_hop":
+            rows = _capped(rows, cap, _own(relations))
         rows = rows.select(*_OUT)
         out = rows if out is None else out.unionByName(rows)
         known = known.unionByName(rows.select(*G.RELATION))

@@ -72,6 +72,9 @@ _FULL = (
     "inferred AS (SELECT * FROM s1 UNION ALL SELECT * FROM s2 UNION ALL SELECT * FROM s3 UNION ALL SELECT * FROM s4)"
 )
 
+#: The same with the cap on multi-hop triples for each chain of families.
+_FULL_BY_USER = _FULL.replace("FROM hop_new ORDER BY start, q1, q2, object_id LIMIT 20", "FROM hop_new QUALIFY row_number() OVER (PARTITION BY object_id // 24 ORDER BY start, q1, q2, object_id, subject_id, predicate) <= 20")
+
 
 def gated(spark: Spark, sf: str) -> DF:
     return I.gated(*graph(spark, sf))
@@ -102,6 +105,17 @@ def gr_4(spark: Spark, sf: str) -> DF:
     return I.full(*graph(spark, sf))
 
 
+def by_user(spark: Spark, sf: str) -> tuple[DF, DF]:
+    """The graph with a chain of families as a user's."""
+    e, r = graph(spark, sf)
+    return e, r.withColumn("user_id", A.chain("subject_id").cast("string"))
+
+
+@query(f"WITH {_FULL_BY_USER} SELECT subject_id, predicate, object_id, confidence, stage FROM inferred", "gr_4_inference_by_user")
+def gr_4_by_user(spark: Spark, sf: str) -> DF:
+    return I.full(*by_user(spark, sf))
+
+
 @query(GR + f", rules AS (SELECT * FROM (VALUES {_RULES['in_law']}) AS t(p1, p2, res)) SELECT a.object_id AS subject_id, res AS predicate, b.object_id AS object_id, round(least(a.confidence, b.confidence) * 0.9::DOUBLE, 6) AS confidence FROM relations a JOIN relations b ON a.subject_id = b.subject_id AND a.object_id <> b.object_id JOIN rules ON p1 = a.predicate AND p2 = b.predicate WHERE a.subject_id = 8", "jn_9_user_rules")
 def jn_9(spark: Spark, sf: str) -> DF:
     return I.of_user(A.relations(spark, sf), F.lit(8)).select(*REL)
@@ -113,6 +127,12 @@ def agg_2(spark: Spark, sf: str) -> DF:
     return G.stats(e, I.with_inferred(r, I.full(e, r)))
 
 
+@query(f"WITH {_FULL_BY_USER}, every AS (SELECT is_inferred FROM relations UNION ALL SELECT true FROM inferred) SELECT (SELECT count(*) FROM entities) AS entities, count(*) FILTER (NOT is_inferred) AS explicit_relations, count(*) FILTER (is_inferred) AS inferred_relations FROM every", "agg_2_graph_stats_by_user")
+def agg_2_by_user(spark: Spark, sf: str) -> DF:
+    e, r = graph(spark, sf)
+    return G.stats(e, I.with_inferred(r, I.full(*by_user(spark, sf))))
+
+
 @query(GR + "SELECT id, subject_id, predicate, object_id FROM relations WHERE subject_id % 24 <> 8 AND object_id % 24 <> 8", "dml_9_delete_entities")
 def dml_9(spark: Spark, sf: str) -> DF:
     e, r = graph(spark, sf)

@@ -2,6 +2,7 @@
 
 import numpy as np
 
+from palimpsest.operators import inference as I
 from palimpsest.operators import learned as LE
 from palimpsest.plans.registry import queries
 from palimpsest.sources import adapters as A
@@ -43,3 +44,18 @@ def test_links_are_predicted_in_every_chain_of_families(spark, tmp_path):
             near = sorted((x, o) for x, o in zip(d, names, strict=True) if o != s)[:3]
             want |= {(s, p, o) for x, o in near if x <= LE.NEAR and (s, p, o) not in told}
     assert triples.user_id.nunique() == 5 and set(zip(got.s, got.p, got.o, strict=True)) == want
+
+
+def test_the_cap_on_hops_is_each_user_s(spark, tmp_path):
+    names = [(100 * u + k, f"Name{u}x{k}", "person", 100 * u + k) for u in (1, 2) for k in range(60)]
+    told = [(1000 * u + 2 * k + far, 100 * u + (k if far else 0), "father", 100 * u + (k + 25 if far else k), 1.0, False, 1000 * u + 2 * k + far, str(u)) for u in (1, 2) for k in range(1, 25) for far in (0, 1)]
+    e = spark.createDataFrame(names, "id int, name string, entity_type string, seq int")
+    r = spark.createDataFrame(told, "id int, subject_id int, predicate string, object_id int, confidence double, is_inferred boolean, seq int, user_id string")
+    got = I.full(e, r).where("stage = 'multi_hop'").collect()
+    assert [sum(x["object_id"] // 100 == u for x in got) for u in (1, 2)] == [20, 20]
+    # no chain of families has twenty, so nothing is lost
+    sf = tables(spark, tmp_path, customer=("c_custkey long, c_name string", [(i, f"Customer {i}") for i in range(1, 61)]))
+    e, r = A.entities(spark, sf), A.relations(spark, sf)
+    want = {tuple(x) for x in I.full(e, r, cap=None).collect()}
+    assert {tuple(x) for x in queries()["gr_4_inference_by_user"](spark, sf).collect()} == want
+    assert queries()["agg_2_graph_stats_by_user"](spark, sf).first()["inferred_relations"] == len(want)
