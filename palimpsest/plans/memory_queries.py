@@ -151,6 +151,17 @@ def placed(spark: Spark, sf: str) -> DF:
     return A.memories(spark, sf).join(A.vectors(spark, sf).select(F.col("id").alias("vec_id"), "embedding"), "vec_id")
 
 
+ATTACHED = "vecs AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings), placed AS (SELECT m.*, v FROM memories m LEFT JOIN vecs ON vecs.id = m.id % (SELECT count(*) FROM embeddings))"
+
+
+def attached(spark: Spark, sf: str) -> DF:
+    """Every memory with the vector of its id modulo the number of vectors, null if there is none."""
+    vectors = A.vectors(spark, sf).select(F.col("id").alias("vec_id"), "embedding")
+    n = F.broadcast(vectors.agg(F.count("*").alias("_n")))
+    rows = A.memories(spark, sf).drop("vec_id").join(n).withColumn("vec_id", F.expr("try_mod(id, _n)")).drop("_n")
+    return rows.join(vectors, "vec_id", "left")
+
+
 def query_vector(spark: Spark, sf: str, n: int = 0):
     """A stored vector as a literal: one row by its key."""
     row = A.vectors(spark, sf).where(F.col("id") == n).first()

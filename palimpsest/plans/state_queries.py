@@ -16,7 +16,7 @@ from palimpsest.operators import propagation as P
 from palimpsest.operators import retrieval as R
 from palimpsest.operators import state as ST
 from palimpsest.plans.graph_queries import graph
-from palimpsest.plans.memory_queries import MEM, VEC, placed, query_vector
+from palimpsest.plans.memory_queries import ATTACHED, MEM, VEC, attached, placed, query_vector
 from palimpsest.plans.registry import query
 from palimpsest.sources import adapters as A
 from palimpsest.sources.tables import checkpointed
@@ -207,10 +207,21 @@ def gr_7(spark: Spark, sf: str) -> DF:
     return P.activations(rows, 0.3)
 
 
+_ATTACHED_PAIRS = ATTACHED.replace("vecs AS", "stored AS").replace("LEFT JOIN vecs ON vecs", "LEFT JOIN stored ON stored") + ", vecs AS (SELECT id, v FROM placed WHERE v IS NOT NULL), sims AS (SELECT a.id AS i, b.id AS j, round(list_cosine_similarity(a.v, b.v), 9) AS sim FROM vecs a JOIN vecs b ON a.id < b.id)"
+
+
+@query(
+    MEM + f", {_ATTACHED_PAIRS}, live AS (SELECT v.id, m.confidence * 0.4::DOUBLE + 1.0::DOUBLE / (1.0 + greatest(m.session_count, 1) * 0.1::DOUBLE) * 0.2::DOUBLE + least(1.0::DOUBLE, m.access_count / 20.0::DOUBLE) * 0.2::DOUBLE + CASE WHEN m.is_priority THEN 0.2::DOUBLE ELSE 0.0 END AS activation FROM vecs v JOIN memories m ON m.id = v.id WHERE NOT m.is_suppressed), "
+    f"links AS (SELECT i AS src, j AS dst, sim AS w FROM sims WHERE sim > 0.3 AND i IN (SELECT id FROM live) AND j IN (SELECT id FROM live) UNION ALL SELECT j, i, sim FROM sims WHERE sim > 0.3 AND i IN (SELECT id FROM live) AND j IN (SELECT id FROM live)), a0 AS (SELECT id, activation FROM live), {_steps(3)} SELECT id, round(activation, 6) AS activation FROM a3",
+    "gr_7_activations_all",
+)
+def gr_7_all(spark: Spark, sf: str) -> DF:
+    return P.activations(attached(spark, sf), 0.3)
+
+
 @query(None, "gr_5_11_upkeep")
 def gr_5(spark: Spark, sf: str) -> DF:
-    rows = A.memories(spark, sf).drop("vec_id").join(A.vectors(spark, sf).select("id", "embedding"), "id")
-    return P.cycle(rows, 0.4).select("id", F.round("confidence", 6).alias("confidence"), "is_suppressed", "suppression_reason")
+    return P.cycle(attached(spark, sf), 0.4).select("id", F.round("confidence", 6).alias("confidence"), "is_suppressed", "suppression_reason")
 
 
 @query(MEM + "SELECT id, CASE WHEN is_priority THEN 2 ELSE 1 END AS quality, round(least(1.0::DOUBLE, CASE WHEN is_suppressed THEN 0.02::DOUBLE ELSE confidence * 0.3::DOUBLE + 0.2::DOUBLE / (1.0 + session_count * 0.1::DOUBLE) + least(1.0::DOUBLE, access_count / 20.0::DOUBLE) * 0.2::DOUBLE + CASE WHEN is_priority THEN 0.3::DOUBLE ELSE 0.0 END END), 6) AS activation FROM memories", "fn_23_24_labels")

@@ -1,5 +1,7 @@
 """Queries see the whole of their tables, however many rows those have."""
 
+import random
+
 import numpy as np
 
 from palimpsest.operators import inference as I
@@ -59,3 +61,18 @@ def test_the_cap_on_hops_is_each_user_s(spark, tmp_path):
     want = {tuple(x) for x in I.full(e, r, cap=None).collect()}
     assert {tuple(x) for x in queries()["gr_4_inference_by_user"](spark, sf).collect()} == want
     assert queries()["agg_2_graph_stats_by_user"](spark, sf).first()["inferred_relations"] == len(want)
+
+
+def vectored(spark, folder, docs=900, vectors=700):
+    r = random.Random(3)
+    rows = [(i, [r.gauss(0, 1) for _ in range(8)], "a") for i in range(vectors)]
+    texts = [(i, "Conversation started from scratch" if i % 9 == 0 else f"t{i}", "s") for i in range(docs)]
+    return tables(spark, folder, documents=("doc_id long, text string, source string", texts), labels=("doc_id long, quality int, toxic int", [(1, 1, 0)]), embeddings=("vec_id long, embedding array<float>, label string", rows))
+
+
+def test_upkeep_and_activation_of_every_memory(spark, tmp_path):
+    sf = vectored(spark, tmp_path)
+    rows = queries()["gr_5_11_upkeep"](spark, sf).collect()
+    assert sorted(r["id"] for r in rows) == list(range(900))
+    assert {r["id"] for r in rows if r["suppression_reason"] == "noise_detected"} == set(range(0, 900, 9))
+    assert sorted(r["id"] for r in queries()["gr_7_activations_all"](spark, sf).collect()) == list(range(900))
