@@ -162,6 +162,11 @@ def attached(spark: Spark, sf: str) -> DF:
     return rows.join(vectors, "vec_id", "left")
 
 
+def query_set(spark: Spark, sf: str) -> DF:
+    """The stated queries: every row whose id is divisible by 50."""
+    return A.vectors(spark, sf).where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("query"))
+
+
 def query_vector(spark: Spark, sf: str, n: int = 0):
     """A stored vector as a literal: one row by its key."""
     row = A.vectors(spark, sf).where(F.col("id") == n).first()
@@ -182,6 +187,14 @@ def top_2(spark: Spark, sf: str) -> DF:
     return M.search_many(placed(spark, sf), q, M.over_fetch(10)).select("query_id", "id", "similarity", "rank")
 
 
+@query(
+    MEM + f", {ATTACHED}, q AS (SELECT id AS query_id, v AS q FROM vecs WHERE id % 50 = 0), s AS (SELECT query_id, id, round(list_cosine_similarity(v, q), 6) AS similarity FROM placed, q WHERE NOT is_suppressed), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id)::INT AS rank FROM s WHERE similarity > 0) SELECT query_id, id, similarity, rank FROM r WHERE rank <= 30",
+    "top_2_over_fetch_all",
+)
+def top_2_all(spark: Spark, sf: str) -> DF:
+    return M.search_many(attached(spark, sf), query_set(spark, sf), M.over_fetch(10)).select("query_id", "id", "similarity", "rank")
+
+
 @query(MEM + f", {VEC}, q AS (SELECT v AS q FROM vecs WHERE id = 3), top AS (SELECT id, is_priority, content FROM placed, q WHERE NOT is_suppressed AND round(list_cosine_similarity(v, q), 6) > 0 ORDER BY round(list_cosine_similarity(v, q), 6) DESC, id LIMIT 5) SELECT id, is_suppressed OR id IN (SELECT id FROM top WHERE NOT is_priority) AS is_suppressed FROM memories", "dml_21_correction_suppresses_near")
 def dml_21(spark: Spark, sf: str) -> DF:
     return M.corrected(placed(spark, sf), query_vector(spark, sf, 3), "a correction").select("id", "is_suppressed")

@@ -16,7 +16,7 @@ from palimpsest.operators import propagation as P
 from palimpsest.operators import retrieval as R
 from palimpsest.operators import state as ST
 from palimpsest.plans.graph_queries import graph
-from palimpsest.plans.memory_queries import ATTACHED, MEM, VEC, attached, placed, query_vector
+from palimpsest.plans.memory_queries import ATTACHED, MEM, VEC, attached, placed, query_set, query_vector
 from palimpsest.plans.registry import query
 from palimpsest.sources import adapters as A
 from palimpsest.sources.tables import checkpointed
@@ -363,6 +363,15 @@ def ctx_1(spark: Spark, sf: str) -> DF:
     return C.relevant(M.search_many(placed(spark, sf), q, 10))
 
 
+@query(
+    MEM + f", {ATTACHED}, q AS (SELECT id AS query_id, v AS q FROM vecs WHERE id % 50 = 0), s AS (SELECT query_id, id, confidence, content, round(list_cosine_similarity(v, q), 6) AS similarity FROM placed, q WHERE NOT is_suppressed), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM s WHERE similarity > 0) "
+    "SELECT query_id, '[Relevant memories from previous conversations]' || chr(10) || string_agg('  - [' || round_even(confidence * 100, 0)::BIGINT::VARCHAR || '% confidence] ' || content, chr(10) ORDER BY rank) AS relevant FROM r WHERE rank <= 5 GROUP BY query_id",
+    "ctx_1_relevant_section_all",
+)
+def ctx_1_all(spark: Spark, sf: str) -> DF:
+    return C.relevant(M.search_many(attached(spark, sf), query_set(spark, sf), 10))
+
+
 @query(None, "ctx_1_3_context")
 def ctx_built(spark: Spark, sf: str) -> DF:
     return C.built(sections(spark, sf))

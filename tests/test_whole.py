@@ -76,3 +76,11 @@ def test_upkeep_and_activation_of_every_memory(spark, tmp_path):
     assert sorted(r["id"] for r in rows) == list(range(900))
     assert {r["id"] for r in rows if r["suppression_reason"] == "noise_detected"} == set(range(0, 900, 9))
     assert sorted(r["id"] for r in queries()["gr_7_activations_all"](spark, sf).collect()) == list(range(900))
+
+
+def test_searches_take_all_queries_and_vectors(spark, tmp_path):
+    sf = vectored(spark, tmp_path)
+    rows = queries()["top_2_over_fetch_all"](spark, sf).collect()
+    assert {r["query_id"] for r in rows} == set(range(0, 700, 50))
+    assert all({q, q + 700} - set(range(900, 2000)) <= {r["id"] for r in rows if r["query_id"] == q} for q in range(0, 700, 50))
+    assert queries()["ctx_1_relevant_section_all"](spark, sf).count() == 14
