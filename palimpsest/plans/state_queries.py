@@ -303,6 +303,12 @@ def fn_19(spark: Spark, sf: str) -> DF:
     return A.table(spark, sf, "documents").where("lang = 'en'").select(F.col("doc_id").alias("id"), F.array_join(F.slice(T.question_tokens(F.col("text")), 1, 20), " ").alias("tokens"))
 
 
+@query(None, "fn_19_question_tokens_all")
+def fn_19_all(spark: Spark, sf: str) -> DF:
+    """All tokens of every text; the engines differ in lower() of some scripts, so it has no SQL."""
+    return A.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.array_join(T.question_tokens(F.col("text")), " ").alias("tokens"))
+
+
 @query("SELECT p_partkey AS id, levenshtein(p_name, p_type) AS distance FROM part", "fn_5_levenshtein")
 def fn_5(spark: Spark, sf: str) -> DF:
     return A.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.levenshtein("p_name", "p_type").cast("long").alias("distance"))

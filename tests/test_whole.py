@@ -1,6 +1,7 @@
 """Queries see the whole of their tables, however many rows those have."""
 
 import random
+import re
 
 import numpy as np
 
@@ -84,3 +85,10 @@ def test_searches_take_all_queries_and_vectors(spark, tmp_path):
     assert {r["query_id"] for r in rows} == set(range(0, 700, 50))
     assert all({q, q + 700} - set(range(900, 2000)) <= {r["id"] for r in rows if r["query_id"] == q} for q in range(0, 700, 50))
     assert queries()["ctx_1_relevant_section_all"](spark, sf).count() == 14
+
+
+def test_question_tokens_of_whole_texts_in_all_languages(spark, tmp_path):
+    texts = {1: ("en", "Who's there? " * 15), 2: ("fr", "Les mots sont l\u00e0, et apr\u00e8s?"), 3: ("de", ""), 4: (None, " ".join(f"W{i}" for i in range(500)))}
+    sf = tables(spark, tmp_path, documents=("doc_id long, lang string, text string", [(i, *v) for i, v in texts.items()]))
+    got = {r["id"]: r["tokens"] for r in queries()["fn_19_question_tokens_all"](spark, sf).collect()}
+    assert got == {i: " ".join(re.findall(r"'s|[a-z0-9_]+|\?", t.lower())) for i, (_, t) in texts.items()}
