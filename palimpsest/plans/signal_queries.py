@@ -66,6 +66,29 @@ def sig_3(spark: Spark, sf: str) -> DF:
     return S.norepinephrine(phrases(spark)).select("session_id", "turn", "norepinephrine")
 
 
+#: The phrases and all user turns, which have no feedback.
+EVERY_SQL = f"{PHRASES_SQL}, {A.TURNS}, every AS (SELECT * FROM phrases UNION ALL SELECT session_id, turn, message, NULL FROM turns), observed AS (SELECT *, {DOPAMINE} AS dopamine, {GABA} AS gaba, {NOREPINEPHRINE} AS norepinephrine FROM every)"
+
+
+def every_turn(spark: Spark, sf: str) -> DF:
+    return phrases(spark).unionByName(A.turns(spark, sf).withColumn("feedback", F.lit(None).cast("string")))
+
+
+@query(f"WITH {EVERY_SQL} SELECT session_id, turn, dopamine FROM observed", "sig_1_dopamine_all_turns")
+def sig_1_all(spark: Spark, sf: str) -> DF:
+    return S.dopamine(every_turn(spark, sf)).select("session_id", "turn", "dopamine")
+
+
+@query(f"WITH {EVERY_SQL} SELECT session_id, turn, gaba FROM observed", "sig_2_gaba_all_turns")
+def sig_2_all(spark: Spark, sf: str) -> DF:
+    return S.gaba(every_turn(spark, sf)).select("session_id", "turn", "gaba")
+
+
+@query(f"WITH {EVERY_SQL} SELECT session_id, turn, norepinephrine FROM observed", "sig_3_norepinephrine_all_turns")
+def sig_3_all(spark: Spark, sf: str) -> DF:
+    return S.norepinephrine(every_turn(spark, sf)).select("session_id", "turn", "norepinephrine")
+
+
 _SHIFT = f"vecs AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings), {A.TURNS}, t AS (SELECT session_id, turn, v FROM turns JOIN vecs ON vecs.id = (session_id * 7 + turn) % {A.VECTORS}), s AS (SELECT *, lag(v) OVER (PARTITION BY session_id ORDER BY turn) AS b FROM t), shifts AS (SELECT session_id, turn, CASE WHEN b IS NOT NULL THEN round(list_cosine_similarity(v, b), 6) END AS similarity, coalesce(round(list_cosine_similarity(v, b), 6) < 0.3, false) AS topic_shift FROM s)"
 
 

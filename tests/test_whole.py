@@ -92,3 +92,12 @@ def test_question_tokens_of_whole_texts_in_all_languages(spark, tmp_path):
     sf = tables(spark, tmp_path, documents=("doc_id long, lang string, text string", [(i, *v) for i, v in texts.items()]))
     got = {r["id"]: r["tokens"] for r in queries()["fn_19_question_tokens_all"](spark, sf).collect()}
     assert got == {i: " ".join(re.findall(r"'s|[a-z0-9_]+|\?", t.lower())) for i, (_, t) in texts.items()}
+
+
+def test_signals_of_every_user_turn(spark, tmp_path):
+    said = [(50 + i, 1, role, "I never said that") for i, role in enumerate(["user", "assistant", "user"])] + [(60, 1, "user", "plain")]
+    sf = tables(spark, tmp_path, conversations=("conv_id long, turn long, role string, text string", said))
+    for name, column in (("sig_1_dopamine", "dopamine"), ("sig_2_gaba", "gaba"), ("sig_3_norepinephrine", "norepinephrine")):
+        rows = queries()[f"{name}_all_turns"](spark, sf).where("session_id >= 50").collect()
+        assert sorted(r["session_id"] for r in rows) == [50, 52, 60], name
+        assert column != "gaba" or {r["session_id"] for r in rows if r["gaba"]} == {50, 52}
