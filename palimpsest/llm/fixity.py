@@ -114,12 +114,29 @@ def descend(one: list[DataFrame], other: list[DataFrame], fanout: int = FANOUT)
     return differing.withColumnRenamed("up", "ordinal")
 
 
-def audit(records: DataFrame, fanout: int = FANOUT) -> DataFrame:
+def _counted(records: DataFrame) -> DataFrame:
+    """With ``held``: the digest of a record and how many copies of it there are."""
+    return records.withColumn("held", F.concat_ws("|", "digest", F.col("copies").cast("string")))
+
+
+def audit(records: DataFrame, fanout: int = FANOUT, replica: DataFrame | None = None) -> DataFrame:
     """Every record with its place and whether the replica's copy is intact, as found by descending.
 
-    Digests and places are written first, so the archive is read and hashed once.
+    ``replica`` is an archive with places of its own (file, ordinal, offset, length,
+    digest, copies if not one); what only it has is returned without a digest.  Without it the replica
+    is the column ``replica_digest``.  Digests and places are written first, so the
+    archive is read and hashed once.
     """
     records = staged(records, "archive-records")
     levels = levels_of(records, fanout)
-    damaged = descend(tree(records, "digest", levels, fanout), tree(records, "replica_digest", levels, fanout), fanout)
-    return records.join(damaged.withColumn("damaged", F.lit(True)), ["file", "ordinal"], "left").select("page_id", "file", "ordinal", "offset", "length", "copies", "digest", F.col("damaged").isNull().alias("intact"))
+    if replica is None:
+        other = tree(records, "replica_digest", levels, fanout)
+    else:
+        copies = "copies" if "copies" in replica.columns else F.lit(1).alias("copies")
+        replica = staged(replica.select("file", "ordinal", "offset", "length", "digest", copies), "replica-records")
+        levels = max(levels, levels_of(replica, fanout))
+        other = tree(_counted(replica), "held", levels, fanout)
+    one = tree(records, "digest", levels, fanout) if replica is None else tree(_counted(records), "held", levels, fanout)
+    damaged = descend(one, other, fanout)
+    how = "left" if replica is None else "full_outer"
+    return records.join(damaged.withColumn("damaged", F.lit(True)), ["file", "ordinal"], how).select("page_id", "file", "ordinal", "offset", "length", "copies", "digest", F.col("damaged").isNull().alias("intact"))
