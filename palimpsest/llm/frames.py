@@ -31,6 +31,14 @@ def text_rows(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
 
 
+def free_name(name: str, *frames: DataFrame) -> str:
+    """The name, or the name with underscores, such that no frame has a column of that name in any case."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def arrow_map(df: DataFrame, function: Callable[[pa.RecordBatch], Iterator[dict]], schema: str, keeps: bool = False) -> DataFrame:
     """Apply a function from a record batch to dictionaries of columns, in Arrow batches.
 

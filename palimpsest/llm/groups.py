@@ -1,10 +1,16 @@
 """Exchange of packed numbers between groups of documents and buckets of hashes.
 
-Documents are dealt into groups of a bounded size by a hash of the row.  A group
-works on its documents in numpy and sends each bucket one packed row; buckets,
-which are ranges of hashes, answer every group with one packed row.  Whatever many
-documents of a group share is sent once by that group, so a passage that a third
-of all documents hold costs a bucket one entry per group, not one per document.
+Documents are dealt into groups of a bounded size by a hash of id and text, so a
+repeated id does not make a hot group.  A group works on its documents in numpy and
+sends each bucket one packed row; buckets, which are ranges of hashes, answer every
+group with one packed row.  Whatever many documents of a group share is sent once by
+that group, so a passage that a third of all documents hold costs a bucket one entry
+per group, not one per document.
+
+A bucket serves the hashes of ``GROUPS_PER_BUCKET`` groups.  There are never more
+packed rows than hashes, so their number is bounded by the input; the share of
+buckets only sets how well they fill before that bound is met.  Both sides are dealt
+into a number of partitions that grows with the input, so no task does.
 """
 
 from __future__ import annotations
@@ -23,6 +29,10 @@ from palimpsest.llm.workers import tidy
 #: Bytes of input as stored that a group should hold: about twice that in text, and some
 #: thirty times that in a worker's arrays.  Larger executors can do with fewer groups.
 GROUP_BYTES = 2 << 20
+#: Groups whose hashes a bucket can hold at once.
+GROUPS_PER_BUCKET = 4
+#: Groups that one task works on, one after another.
+GROUPS_PER_TASK = 4
 GROUP = "__group__"
 
 _LOW = np.uint64(0xFFFFFFFF)
@@ -32,6 +42,15 @@ def group_count(docs: DataFrame, each: int = GROUP_BYTES) -> int:
     return fan_out(docs, each)
 
 
+def bucket_count(groups: int) -> int:
+    return -(-groups // GROUPS_PER_BUCKET)
+
+
+def dealt(df: DataFrame, key: str, count: int, each: int = 1) -> DataFrame:
+    """Partitions by a key of ``count`` values, about ``each`` of them in one; cogroups of frames dealt alike shuffle no more."""
+    return df.repartition(max(1, -(-count // each)), F.col(key))
+
+
 def group_of(*keys: Column, groups: int) -> Column:
     return F.pmod(F.xxhash64(*keys), F.lit(groups)).cast("int")
 

@@ -1,34 +1,41 @@
-"""Exact Jaccard join of documents as sets of word n-grams, by pivots and regions.
+"""Exact Jaccard join of documents as sets of word n-grams, by pivots and Voronoi regions.
 
 Documents link when their sets have a Jaccard similarity of ``percent`` or more.
-The Jaccard distance is a metric, so a pivot's distances bound all others; but
+The Jaccard distance is a metric, so distances to pivots bound all others; but
 documents that share nothing are all at distance one of each other, where the
 triangle inequality says nothing.  The space is therefore first cut by what the
-documents hold, and pivots work inside these regions:
+documents hold, and pivots divide these first regions further:
 
-1. Equal sets become one (a digest of the set); only its first document goes on.
+1. Equal sets become one (a digest of the set); only one row of it goes on.
 2. N-grams have a global order: rare before frequent, long before short.  Two
    linked sets share an n-gram among the first ``n - ceil(t n) + 1`` of each, and
    several among a few more.  Sets whose first n-grams are hardly shared by any
    other set can't link and leave.  What is left is small.
-3. Each shared n-gram among the first of a set is a region; a set is replicated to
-   all regions of its own, so linked sets meet in one at least.
-4. A region takes its first member as pivot.  Distances to the pivot are computed
-   exactly.  Members within the radius are linked to it and thereby to one another;
-   regions whose members all are have been joined.  The others go on, recursively,
-   with the next pivot, and in the end compare what is left; a pair is left out
-   when its members are connected already, when sizes forbid a link, or when the
-   distances to a pivot differ by more than the radius (triangle inequality), or when
-   the parities of their n-grams in a fixed number of cells differ in more places
-   than linked sets could (each n-gram that only one set has flips one place).
+3. Each shared n-gram among the first of a set is a first region; a set is put into
+   all regions of its own, so linked sets meet in one at least.  The first member of
+   a region is its first pivot: members within the radius are linked to it and
+   thereby to one another.  Regions whose members are all connected are done, and of
+   regions with the same members one goes on.
+4. A region of at most ``leaf`` members is joined: pairs that are not connected, whose
+   sizes allow a link and whose parities of n-grams in a fixed number of cells differ
+   in no more places than linked sets could (each n-gram that only one set has
+   flips one place) are measured.
+5. A larger region takes ``pivots`` pivots.  Distances of all members to them are
+   measured.  A member's cell is that of its nearest pivot, and it is replicated to
+   every cell whose pivot is no more than two radii farther (the triangle inequality:
+   a member within the radius of it may have its home there).  Cells are the regions
+   of the next round.
+6. Where the pivots do not divide a region, since all its members are about as far
+   from one another, it is cut into blocks of half a leaf, and each two blocks are a
+   region of the next round.  So no task ever holds a region above ``leaf``.
 
 Nothing is sampled or capped: the order of n-grams uses counted frequencies, but
-any order gives the same links.
+any order gives the same links, and rounds go on until no region is open.
 
-Null and empty texts have an empty set and no links.  Rows with a null id have a
-null component and link with nothing.  Rows that share an id but not a text
-have sets of their own, which count as linked if both are first of their kind under
-that id.  Repeated rows repeat.
+Each row is a document of its own, whatever rows share its id: it has the component
+of its own text, the least id that any row of linked sets has.  A null id is never
+the least; a component of null ids only is null.  Null and empty texts have an empty
+set, link with nothing and are their own component.  Repeated rows repeat.
 """
 
 from __future__ import annotations
@@ -38,21 +45,25 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.llm import words as W
 from palimpsest.llm.components import components
-from palimpsest.llm.frames import arrow_map, text_rows
-from palimpsest.llm.groups import GROUP, bucket_of, group_count, group_of, joined, packed, rows_schema, short, table, tidied, unpacked
-from palimpsest.llm.staging import staged
+from palimpsest.llm.frames import arrow_map, free_name, text_rows
+from palimpsest.llm.groups import GROUP, GROUPS_PER_TASK, bucket_count, bucket_of, dealt, group_count, group_of, joined, packed, rows_schema, short, table, tidied, unpacked
+from palimpsest.llm.staging import discard, staged
 
 SIZE = 4
 PERCENT = 85
 #: Frequent n-grams that the order knows of: the bound of what is broadcast.
 FREQUENT = 1 << 16
-#: Rounds with one pivot for each region, before what is left is compared.
-PIVOT_ROUNDS = 3
+#: Members that a region may have to be joined; larger ones are divided.
+LEAF = 128
+#: Pivots of a region that is divided.
+PIVOTS = 8
+#: A division that leaves a cell with more than this share of its region is none.
+DIVIDED = 0.75
 #: Pairs of sets that a worker holds at once.
 SETS_AT_ONCE = 1024
 #: 64-bit words of the parities that a set is told apart by.
@@ -128,44 +139,53 @@ def _size_allows(a: Column, b: Column, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
+def placed_column(which: int) -> Column:
+    key, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    return F.xxhash64(key, text) if which == 1 else F.xxhash64(text, F.lit(1), key)
+
+
+def placed(docs: DataFrame) -> DataFrame:
+    """Id and text with two hashes of both: rows with the same ``place`` and ``place2`` are repeated rows."""
+    return text_rows(docs).withColumns({"place": placed_column(1), "place2": placed_column(2)})
+
+
 def set_rows(docs: DataFrame, size: int = SIZE) -> DataFrame:
-    """kind 0: doc_id, n, k1, k2 of each document; kind 1: n-gram k1 found in n documents of a slice."""
+    """kind 0: doc_id, places, n, k1, k2 of each document; kind 1: n-gram k1 found in n documents of a slice."""
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
         for a, b, texts in W.slices(batch.column("text")):
             sets = Sets(W.split(texts, lower=True), size)
             k1, k2 = sets.digest()
-            yield {"kind": np.zeros(b - a, np.int32), "doc_id": batch.column("doc_id").slice(a, b - a), "n": sets.n, "k1": k1.view(np.int64), "k2": k2.view(np.int64)}
+            own = {c: batch.column(c).slice(a, b - a) for c in ("doc_id", "place", "place2")}
+            yield own | {"kind": np.zeros(b - a, np.int32), "n": sets.n, "k1": k1.view(np.int64), "k2": k2.view(np.int64)}
             value, count = np.unique(sets.value, return_counts=True)
             often = count >= 3
             k = int(often.sum())
-            yield {"kind": np.ones(k, np.int32), "doc_id": pa.nulls(k, pa.int64()), "n": count[often], "k1": value[often].view(np.int64), "k2": np.zeros(k, np.int64)}
+            yield {"kind": np.ones(k, np.int32), **{c: pa.nulls(k, pa.int64()) for c in own}, "n": count[often], "k1": value[often].view(np.int64), "k2": np.zeros(k, np.int64)}
 
-    return arrow_map(docs, run, "kind int, doc_id long, n long, k1 long, k2 long")
+    return arrow_map(docs, run, "kind int, doc_id long, place long, place2 long, n long, k1 long, k2 long")
 
 
 def candidates(docs: DataFrame, firsts: DataFrame, frequent: tuple[np.ndarray, np.ndarray], groups: int, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
-    """Sets that may link with another: doc_id, n, lack (first n-grams that no other set offers), parities, grams (packed, ascending) and regions (hashes)."""
+    """Sets that may link with another: node, n, lack (first n-grams that no other set offers), parities, grams (packed, ascending) and regions (hashes)."""
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast(frequent)
-    grouped = docs.where("doc_id IS NOT NULL").select(group_of(F.col("doc_id"), groups=groups).alias(GROUP), "doc_id", "text")
-    wanted = firsts.select(group_of(F.col("doc_id"), groups=groups).alias(GROUP), "doc_id", "k1")
-    buckets = groups
-
-    def members(group: pa.Table, chosen: pa.Table) -> Iterator[tuple[np.ndarray, Sets]]:
-        """Ids and sets of the group's chosen documents, slice by slice."""
-        keys = {(d, k) for d, k in zip(chosen["doc_id"].to_pylist(), chosen["k1"].to_pylist(), strict=True)}
-        rows = group.filter(pc.is_in(group["doc_id"], pa.array(chosen["doc_id"].to_pylist(), pa.int64())))
-        ids = rows["doc_id"].to_pylist()
+    buckets = bucket_count(groups)
+    group = group_of(F.col("place"), groups=groups).alias(GROUP)
+    grouped = dealt(docs.select(group, "place", "text"), GROUP, groups, GROUPS_PER_TASK)
+    wanted = firsts.select(group, "place", "k1", "node")
+
+    def members(group: pa.Table, chosen: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, Sets]]:
+        """Nodes of the group's chosen sets, which texts they are, and all sets, slice by slice."""
+        nodes = {(p, k): n for p, k, n in zip(chosen["place"].to_pylist(), chosen["k1"].to_pylist(), chosen["node"].to_pylist(), strict=True)}
+        rows = group.filter(pc.is_in(group["place"], pa.array(chosen["place"].to_pylist(), pa.int64())))
+        places = rows["place"].to_pylist()
         for a, _, texts in W.slices(rows["text"]):
             sets = Sets(W.split(texts, lower=True), size)
-            k1 = sets.digest()[0].view(np.int64).tolist()
-            use = np.zeros(len(k1), bool)
-            for i, k in enumerate(k1):
-                if (ids[a + i], k) in keys:
-                    keys.discard((ids[a + i], k))
-                    use[i] = sets.n[i] > 0
-            yield np.array(ids[a : a + len(k1)], np.int64), use, sets
+            # a set is taken from the first row that has it
+            found = [nodes.pop((places[a + i], k), -1) for i, k in enumerate(sets.digest()[0].view(np.int64).tolist())]
+            node = np.array(found, np.int64)
+            yield node, (node >= 0) & (sets.n > 0), sets
 
     sent, sent_arrow = rows_schema("bucket int, grp int, one binary, more binary")
 
@@ -190,21 +210,22 @@ def candidates(docs: DataFrame, firsts: DataFrame, frequent: tuple[np.ndarray, n
         shared = low[count > 1]
         return table({GROUP: part["grp"], "bucket": part["bucket"], "shared": [packed(np.concatenate([x[np.isin(x, shared)], y])) for x, y in zip(one, more, strict=True)]}, told_arrow)
 
-    met = grouped.groupBy(GROUP).cogroup(wanted.groupBy(GROUP)).applyInArrow(offer, sent)
-    shared = staged(met.groupBy("bucket").applyInArrow(meet, told), "shared-grams")
+    met = grouped.groupBy(GROUP).cogroup(dealt(wanted, GROUP, groups, GROUPS_PER_TASK).groupBy(GROUP)).applyInArrow(offer, sent)
+    shared = staged(dealt(met, "bucket", buckets).groupBy("bucket").applyInArrow(meet, told), "shared-grams")
 
     # chosen documents and shared n-grams of a group in one table
-    both = wanted.select(GROUP, "doc_id", "k1", F.lit(None).cast("int").alias("bucket"), F.lit(None).cast("binary").alias("shared")).unionByName(shared.select(GROUP, F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("k1"), "bucket", "shared"))
-    found, found_arrow = rows_schema("doc_id long, n long, lack int, parities array<bigint>, grams binary, regions array<bigint>")
+    none = F.lit(None)
+    both = wanted.withColumns({"bucket": none.cast("int"), "shared": none.cast("binary")}).unionByName(shared.withColumns({c: none.cast("long") for c in ("place", "k1", "node")}))
+    found, found_arrow = rows_schema("node long, n long, lack int, parities array<bigint>, grams binary, regions array<bigint>")
 
     @tidied
     def choose(group: pa.Table, rows: pa.Table) -> pa.Table:
-        chosen, answers = rows.filter(pc.is_valid(rows["doc_id"])), rows.filter(pc.is_valid(rows["bucket"]))
+        chosen, answers = rows.filter(pc.is_valid(rows["node"])), rows.filter(pc.is_valid(rows["bucket"]))
         lows = dict(zip(answers["bucket"].to_pylist(), unpacked(answers["shared"], "u4"), strict=True))
         # the bucket and the low bits as one number
         known = np.sort(joined([(np.uint64(b) << np.uint64(32)) | x.astype(np.uint64) for b, x in lows.items()], "u8"))
         out: dict[str, list] = {f.name: [] for f in found_arrow}
-        for ids, use, sets in members(group, chosen):
+        for nodes, use, sets in members(group, chosen):
             value, place = sets.ranked(*held.value)
             mine = (bucket_of(value, buckets).astype(np.uint64) << np.uint64(32)) | short(value).astype(np.uint64)
             at = np.minimum(np.searchsorted(known, mine), max(0, len(known) - 1))
@@ -215,7 +236,7 @@ def candidates(docs: DataFrame, firsts: DataFrame, frequent: tuple[np.ndarray, n
             region = common & (place < base[sets.owner])
             for i in np.flatnonzero(use).tolist():
                 a, b = sets.first[i], sets.first[i + 1]
-                out["doc_id"].append(int(ids[i]))
+                out["node"].append(int(nodes[i]))
                 out["n"].append(int(sets.n[i]))
                 out["grams"].append(packed(sets.value[a:b]))
                 out["lack"].append(int(base[i] - region[a:b].sum()))
@@ -223,13 +244,16 @@ def candidates(docs: DataFrame, firsts: DataFrame, frequent: tuple[np.ndarray, n
                 out["regions"].append(value[a:b][region[a:b]].view(np.int64))
         return table(out, found_arrow)
 
-    return grouped.groupBy(GROUP).cogroup(both.groupBy(GROUP)).applyInArrow(choose, found)
+    met = grouped.groupBy(GROUP).cogroup(dealt(both, GROUP, groups, GROUPS_PER_TASK).groupBy(GROUP)).applyInArrow(choose, found)
+    met = staged(met, "candidates")
+    discard(shared)
+    return met
 
 
 def measured(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Pairs with their intersection, exactly: a, b, na, nb, common, linked."""
-    one = sets.select(F.col("doc_id").alias("a"), F.col("grams").alias("ga"))
-    two = sets.select(F.col("doc_id").alias("b"), F.col("grams").alias("gb"))
+    one = sets.select(F.col("node").alias("a"), F.col("grams").alias("ga"))
+    two = sets.select(F.col("node").alias("b"), F.col("grams").alias("gb"))
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
         a, b = unpacked(batch.column("ga"), "u8"), unpacked(batch.column("gb"), "u8")
@@ -244,79 +268,137 @@ def measured(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
     return arrow_map(pairs.join(one, "a").join(two, "b").select("a", "b", "ga", "gb"), run, "a long, b long, na long, nb long, common long, linked boolean")
 
 
-def _distance(common: Column, n: Column, m: Column) -> Column:
-    return 1.0 - common / (n + m - common)
+def _pairs(pairs: DataFrame, known: DataFrame | None) -> DataFrame:
+    """Pairs of two nodes, each once, without those that are measured."""
+    pairs = pairs.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).where("a <> b").distinct()
+    return pairs if known is None else pairs.join(known.select("a", "b"), ["a", "b"], "left_anti")
+
+
+def _rooted(members: DataFrame, roots: DataFrame) -> DataFrame:
+    return members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def _differing(members: DataFrame) -> DataFrame:
+    """Members of regions that are not all connected, and of regions with the same members only one."""
+    low, high = (F.sum(F.xxhash64("node", F.lit(i)).cast("decimal(38,0)")) for i in (1, 2))
+    regions = members.groupBy("region").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("size"), low.alias("low"), high.alias("high")).where("least <> most")
+    return members.join(regions.groupBy("size", "low", "high").agg(F.min("region").alias("region")).select("region", "size"), "region")
+
+
+def leaf_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs p, q within regions of a bounded size that may link and are not connected."""
+    cells = [f"c{i}" for i in range(PARITY_WORDS)]
+    rows = members.join(sets.select("node", *[F.get("parities", F.lit(i)).alias(c) for i, c in enumerate(cells)]), "node")
+    rows = staged(rows.select("region", "node", "n", "root", *cells), "leaves")
+    one, two = (rows.select("region", *[F.col(c).alias(f"{c}{i}") for c in ("node", "n", "root", *cells)]) for i in "12")
+    flips = sum((F.bit_count(F.col(f"{c}1").bitwiseXOR(F.col(f"{c}2"))) for c in cells), F.lit(0))
+    alike = (100 + percent) * flips <= (100 - percent) * (F.col("n1") + F.col("n2"))
+    met = (one["region"] == two["region"]) & (F.col("node1") < F.col("node2")) & (F.col("root1") != F.col("root2")) & _size_allows(F.col("n1"), F.col("n2"), percent) & alike
+    return one.join(two, met).select(F.col("node1").alias("p"), F.col("node2").alias("q"))
+
 
+def pivots_of(members: DataFrame, pivots: int, turn: int) -> DataFrame:
+    """region and pivot: about ``pivots`` members of each region by a hash, one at least."""
+    place = F.xxhash64("node", "region", F.lit(turn))
+    share = F.least(F.lit(1.0), 2.0 * pivots / F.col("size"))
+    some = members.withColumn("place", place).where(F.pmod("place", F.lit(1 << 30)) <= share * (1 << 30))
+    # should the hash spare a region, its least member serves
+    least = members.groupBy("region").agg(F.min(F.struct(place, "node"))["node"].alias("pivot"))
+    return some.select("region", F.col("node").alias("pivot")).unionByName(least).distinct()
 
-def joined_links(sets: DataFrame, percent: int = PERCENT, rounds: int = PIVOT_ROUNDS) -> DataFrame:
+
+def voronoi(members: DataFrame, pivots: DataFrame, known: DataFrame, radius: float) -> DataFrame:
+    """Members of the cells of each region: region (the cell), parent, node, n.
+
+    ``known`` holds the distance of each member to each pivot of its region.
+    """
+    d = 1.0 - F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))
+    far = known.select("a", "b", d.alias("d"))
+    far = far.unionByName(far.select(F.col("b").alias("a"), F.col("a").alias("b"), "d")).select(F.col("a").alias("node"), F.col("b").alias("pivot"), "d")
+    rows = members.select("region", "node", "n").join(pivots, "region")
+    rows = rows.join(far, ["node", "pivot"], "left").withColumn("d", F.when(F.col("node") == F.col("pivot"), 0.0).otherwise(F.col("d")))
+    home = rows.groupBy("region", "node").agg(F.min("d").alias("home"))
+    rows = rows.join(home, ["region", "node"]).where(F.col("d") <= F.col("home") + 2 * radius)
+    return rows.select(F.xxhash64("region", "pivot").alias("region"), F.col("region").alias("parent"), "node", "n")
+
+
+def blocks(members: DataFrame, leaf: int) -> DataFrame:
+    """Regions cut into blocks of half a leaf; each two blocks are a region."""
+    count = F.ceil(2 * F.col("size") / leaf).cast("int")
+    rows = members.withColumn("count", count).withColumn("own", F.pmod(F.xxhash64("node", "region"), F.col("count")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("count") - 1)).alias("other")
+    rows = rows.select("region", "node", "n", "own", other)
+    return rows.select(F.xxhash64("region", F.least("own", "other"), F.greatest("own", "other")).alias("region"), "node", "n")
+
+
+def joined_links(sets: DataFrame, percent: int = PERCENT, leaf: int = LEAF, pivots: int = PIVOTS) -> DataFrame:
     """a, b: links that connect all linked sets of the candidates, found region by region."""
     radius = (100 - percent) / 100 + 1e-9
-    members = staged(sets.select(F.explode("regions").alias("region"), "doc_id", "n", "lack"), "regions")
+    members = staged(sets.select(F.explode("regions").alias("region"), "node", "n", "lack"), "regions")
     # the member with the fewest n-grams of its own is most likely in the middle of the others
-    order = F.struct("lack", F.xxhash64("doc_id").alias("place"), "doc_id", "n", "root")
-    known = None  # measured pairs
-    roots = None
-    for k in range(rounds + 1):
-        if roots is None:
-            rows = members.withColumn("root", F.col("doc_id"))
-        else:
-            rows = members.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
-        # regions whose members are all connected are done
-        split = rows.groupBy("region").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min(order).alias("first")).where("low <> high")
-        rows = rows.join(staged(split.select("region", "first"), "split-regions"), "region")
-        if k < rounds:
-            pivot = F.col("first")
-            if k:  # a pivot out of the part that is not connected with the first
-                apart = rows.where(F.col("root") != F.col("first")["root"])
-                chosen = F.min(order) if k == 1 else F.min(F.struct(F.xxhash64("doc_id", F.lit(k)).alias("place"), "doc_id", "n", "root"))
-                rows, pivot = rows.join(staged(apart.groupBy("region").agg(chosen.alias("other")), "pivots"), "region"), F.col("other")
-            pairs = rows.where((F.col("root") != pivot["root"]) & _size_allows(F.col("n"), pivot["n"], percent)).select(pivot["doc_id"].alias("p"), F.col("doc_id").alias("q"))
-        else:
-            cells = [f"c{i}" for i in range(PARITY_WORDS)]
-            told = sets.select("doc_id", *[F.get("parities", F.lit(i)).alias(c) for i, c in enumerate(cells)])
-            rows = staged(rows.join(told, "doc_id").select("region", F.col("first")["doc_id"].alias("pivot"), "doc_id", "n", "root", *cells), "split-members")
-            seen = known.select(F.col("a").alias("x"), F.col("b").alias("y"), _distance(F.col("common"), F.col("na"), F.col("nb")).alias("d"))
-            seen = seen.unionByName(seen.select(F.col("y").alias("x"), F.col("x").alias("y"), "d"))
-            rows = rows.join(seen.select(F.col("x").alias("pivot"), F.col("y").alias("doc_id"), "d"), ["pivot", "doc_id"], "left").drop("pivot")
-            one, two = (rows.select("region", *[F.col(c).alias(f"{c}{i}") for c in ("doc_id", "n", "root", "d", *cells)]) for i in "12")
-            near = F.col("d1").isNull() | F.col("d2").isNull() | (F.abs(F.col("d1") - F.col("d2")) <= radius)
-            flips = sum((F.bit_count(F.col(f"{c}1").bitwiseXOR(F.col(f"{c}2"))) for c in cells), F.lit(0))
-            alike = (100 + percent) * flips <= (100 - percent) * (F.col("n1") + F.col("n2"))
-            met = (one["region"] == two["region"]) & (F.col("doc_id1") < F.col("doc_id2")) & (F.col("root1") != F.col("root2")) & _size_allows(F.col("n1"), F.col("n2"), percent) & near & alike
-            pairs = one.join(two, met).select(F.col("doc_id1").alias("p"), F.col("doc_id2").alias("q"))
-        pairs = pairs.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).where("a <> b").distinct()
-        if known is not None:
-            pairs = pairs.join(known.select("a", "b"), ["a", "b"], "left_anti")
-        now = staged(measured(pairs, sets, percent), "measured", batch_rows=SETS_AT_ONCE)
-        known = now if known is None else known.unionByName(now)
-        if k < rounds:
-            roots = staged(components(known.where("linked")), "roots")
-    return known.where("linked").select("a", "b")
-
-
-def classes(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """(sets of all documents, component of each distinct set)."""
-    docs = text_rows(docs)
+    first = F.min(F.struct("lack", F.xxhash64("node").alias("place"), "node", "n")).alias("first")
+    starred = members.join(members.groupBy("region").agg(first), "region").where(_size_allows(F.col("n"), F.col("first")["n"], percent))
+    known = staged(measured(_pairs(starred.select(F.col("first")["node"].alias("p"), F.col("node").alias("q")), None), sets, percent), "measured", batch_rows=SETS_AT_ONCE)
+    members, turn = members.drop("lack"), 0
+    while True:
+        roots = staged(components(known.where("linked")), "roots")
+        here = staged(_differing(_rooted(members, roots)), "open-regions")
+        large = here.where(F.col("size") > leaf)
+        divided = large.limit(1).count() > 0
+        pairs = leaf_pairs(here.where(F.col("size") <= leaf), sets, percent)
+        if divided:
+            chosen = staged(pivots_of(large, pivots, turn), "pivots")
+            pairs = pairs.unionByName(large.join(chosen, "region").select(F.col("pivot").alias("p"), F.col("node").alias("q")))
+        known = known.unionByName(staged(measured(_pairs(pairs, known), sets, percent), "measured", batch_rows=SETS_AT_ONCE))
+        if not divided:
+            return known.where("linked").select("a", "b")
+        cells = staged(voronoi(large, chosen, known, radius), "cells")
+        # regions with a cell almost as large as themselves are cut into blocks instead
+        whole = large.groupBy("region").agg(F.first("size").alias("size"))
+        stuck = cells.groupBy("parent", "region").count().join(whole.withColumnRenamed("region", "parent"), "parent").where(F.col("count") > DIVIDED * F.col("size")).select("parent").distinct()
+        rest = large.join(stuck.withColumnRenamed("parent", "region"), "region", "left_semi")
+        members = staged(cells.join(stuck, "parent", "left_anti").select("region", "node", "n").unionByName(blocks(rest, leaf)).distinct(), "regions")
+        turn += 1
+
+
+def classes(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, **options) -> tuple[DataFrame, DataFrame]:
+    """(sets of all documents, component and first row of each distinct set)."""
+    docs = placed(docs)
     groups = group_count(docs)
     rows = staged(set_rows(docs, size), "sets", ["kind"])
     sets = rows.where("kind = 0")
     often = rows.where("kind = 1").groupBy("k1").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "k1").limit(FREQUENT).toArrow()
     value, rank = often["k1"].to_numpy().astype(np.int64).view(np.uint64), np.argsort(np.argsort(often["n"].to_numpy(), kind="stable"), kind="stable")
     order = np.argsort(value)
-    firsts = staged(sets.where("n > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n")), "distinct-sets")
-    found = staged(candidates(docs, firsts, (value[order], rank[order]), groups, size, percent), "candidates")
-    roots = components(joined_links(found, percent))
-    named = firsts.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("k1", "k2", F.coalesce("root", "doc_id").alias("component_id"))
-    return sets, staged(named, "classes")
-
-
-def near_duplicates(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
+    # of each distinct set the row with the least id, null last
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "place", "place2")
+    firsts = sets.where("n > 0").groupBy("k1", "k2").agg(F.min(row).alias("row"), F.first("n").alias("n"))
+    firsts = staged(firsts.select("k1", "k2", "n", "row.doc_id", "row.place", "row.place2", F.monotonically_increasing_id().alias("node")), "distinct-sets")
+    found = candidates(docs, firsts, (value[order], rank[order]), groups, size, percent)
+    roots = components(joined_links(found, percent, **options))
+    rooted = firsts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node"))
+    named = rooted.join(rooted.groupBy("root").agg(first.alias("first")), "root")
+    return sets, staged(named.select("k1", "k2", "place", "place2", F.col("first.doc_id").alias("component_id"), (F.col("first.node") == F.col("node")).alias("is_first")), "classes")
+
+
+def near_duplicates(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, **options) -> DataFrame:
     """doc_id, n_shingles and component_id of every document."""
-    sets, named = classes(docs, size, percent)
-    return sets.join(named, ["k1", "k2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))).alias("component_id"))
-
-
-def representatives(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
-    """``docs`` without the rows whose id is not the least of its component."""
-    gone = near_duplicates(docs, size, percent).where("component_id < doc_id").select(F.col("doc_id").alias("__gone__")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["__gone__"], "left_anti")
+    sets, named = classes(docs, size, percent, **options)
+    return sets.join(named.select("k1", "k2", "component_id"), ["k1", "k2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def representatives(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, **options) -> DataFrame:
+    """One row of each component, that of its least id, and all rows without words.
+
+    The choice is by row: rows that share an id stay or go by their own texts.  Of
+    repeated rows one stays, whichever where other columns differ.
+    """
+    _, named = classes(docs, size, percent, **options)
+    places = [free_name(c, docs) for c in ("place", "place2")]
+    rows = docs.withColumns(dict(zip(places, (placed_column(c) for c in (1, 2)), strict=True)))
+    chosen = named.where("is_first").select(F.col("place").alias(places[0]), F.col("place2").alias(places[1]))
+    number = free_name("number", rows)
+    worded = F.coalesce(F.col("text").cast("string"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    stay = rows.where(worded).join(chosen, places, "left_semi").withColumn(number, F.row_number().over(Window.partitionBy(*places).orderBy(places[0]))).where(F.col(number) == 1)
+    return stay.select(*[F.col(f"`{c}`") for c in docs.columns]).unionAll(docs.where(~worded))

@@ -4,6 +4,9 @@ A written table cuts lineage: what comes after it never recomputes what came
 before, and it survives the loss of executors.  The folder is the session's
 ``spark.checkpoint.dir``; only where that is unset, as in local tests, a folder
 of this machine is used.
+
+Tables that a job is done with are discarded at once; the others, which a result may
+still be read from, are removed when the application ends.
 """
 
 from __future__ import annotations
@@ -67,4 +70,20 @@ def staged(df: DataFrame, name: str, partition_by: list[str] | None = None, batc
             held.enter_context(setting(spark, _BATCH, str(batch_rows)))
         writer = df.write.option("compression", "zstd")
         (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    fs, where = _located(spark, path)
+    fs.deleteOnExit(where)
+    read = spark.read.schema(df.schema).parquet(path)
+    read.staged_at = path
+    return read
+
+
+def _located(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove staged tables that nothing reads any more."""
+    for table in tables:
+        fs, where = _located(table.sparkSession, table.staged_at)
+        fs.delete(where, True)

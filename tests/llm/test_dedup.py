@@ -62,30 +62,85 @@ def test_cleaned_takes_out_later_words_only(spark):
     assert rows[3]["text"] == f"z {p}" and rows[3]["n_chars"] == 9 and rows[5]["text"] == "x y" and rows[5]["n_chars"] == 3
 
 
-def brute_components(rows, size, percent):
-    sets = []
+def brute_sets(rows, size):
     for d, t in rows:
         w = words(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
-        sets.append((d, {tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set()))
-    parent = {d: d for d, _ in rows if d is not None}
+        yield d, {tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set()
+
+
+def brute_roots(sets, percent):
+    """The component of each row as the number of its first row."""
+    parent = list(range(len(sets)))
 
     def find(x):
         while parent[x] != x:
             x = parent[x]
         return x
 
-    for i, (a, x) in enumerate(sets):
-        for b, y in sets[:i]:
-            if a is not None and b is not None and x and y and 100 * len(x & y) >= percent * len(x | y):
-                lo, hi = sorted((find(a), find(b)))
+    for i, (_, x) in enumerate(sets):
+        for j, (_, y) in enumerate(sets[:i]):
+            if x and y and 100 * len(x & y) >= percent * len(x | y):
+                lo, hi = sorted((find(i), find(j)))
                 parent[hi] = lo
-    return sorted(((d, len(x), find(d) if d is not None else None) for d, x in sets), key=str)
+    return [find(i) for i in range(len(sets))]
 
 
-@pytest.mark.parametrize("size,percent", [(4, 85), (5, 80)])
-def test_jaccard_join(spark, corpus, size, percent):
-    got = J.near_duplicates(spark.createDataFrame(corpus, DDL), size, percent).collect()
-    assert sorted((tuple(r) for r in got), key=str) == brute_components(corpus, size, percent)
+def brute_components(rows, size, percent):
+    sets = list(brute_sets(rows, size))
+    roots = brute_roots(sets, percent)
+    least = {}
+    for (d, _), r in zip(sets, roots, strict=True):
+        if d is not None:
+            least[r] = min(least.get(r, d), d)
+    return sorted(((d, len(x), least.get(r) if x else d) for (d, x), r in zip(sets, roots, strict=True)), key=str)
+
+
+def with_equal_ids(corpus):
+    """The corpus with ids that several texts share, and texts that have null ids only."""
+    texts = [t for _, t in corpus if t]
+    return [*corpus, (7, texts[0]), (7, texts[3]), (7, "alone " * 9 + "in all " * 5), (7, "one two three four five six seven"), (7, "one two three four five six seven"), (None, "no id at all but these words"), (None, "no id at all but these words"), (None, texts[0])]
+
+
+@pytest.mark.parametrize("size,percent,leaf", [(4, 85, J.LEAF), (5, 80, J.LEAF), (4, 85, 3), (5, 60, 4)])
+def test_jaccard_join(spark, corpus, size, percent, leaf):
+    rows = with_equal_ids(corpus)
+    got = J.near_duplicates(spark.createDataFrame(rows, DDL), size, percent, leaf=leaf, pivots=2).collect()
+    assert sorted((tuple(r) for r in got), key=str) == brute_components(rows, size, percent)
+
+
+@pytest.mark.parametrize("leaf,pivots", [(8, 2), (16, 4)])
+def test_join_of_near_misses(spark, leaf, pivots):
+    """One region of many members just below the threshold, which pivots can't divide, and families which they can."""
+    r = random.Random(5)
+    rows, page = [], [f"p{i}" for i in range(60)]
+    for i in range(60):
+        rows.append((i, " ".join([*page, *(f"own{i}x{k}" for k in range(12))])))
+    for f in range(6):
+        head = [f"f{f}w{i}" for i in range(40)]
+        for k in range(12):
+            text = page[:30] + head
+            for _ in range(k % 4):
+                text[r.randrange(30, 70)] = f"z{r.randrange(9)}"
+            rows.append((1000 + 100 * f + k, " ".join(text)))
+    got = J.near_duplicates(spark.createDataFrame(rows, DDL), 4, 85, leaf=leaf, pivots=pivots).collect()
+    assert sorted((tuple(x) for x in got), key=str) == brute_components(rows, 4, 85)
+
+
+def test_cells_hold_all_near_pairs(spark):
+    """Voronoi cells with their windows: two members within the radius share a cell, and cells are smaller than the region."""
+    r = random.Random(2)
+    bases = [frozenset(r.sample(range(1000), 40)) for _ in range(8)]
+    sets = [frozenset(list(b)[k // 2 :]) | {5000 + k} for b in bases for k in range(10)]
+    far = lambda i, j: 1 - len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+    pivots = [0, 10, 20, 30, 40, 50]
+    known = [(min(i, p), max(i, p), len(sets[min(i, p)]), len(sets[max(i, p)]), len(sets[i] & sets[p]), False) for i in range(len(sets)) for p in pivots if i != p]
+    members = spark.createDataFrame([(1, i, len(s)) for i, s in enumerate(sets)], "region long, node long, n long")
+    cells = J.voronoi(members, spark.createDataFrame([(1, p) for p in pivots], "region long, pivot long"), spark.createDataFrame(known, "a long, b long, na long, nb long, common long, linked boolean"), 0.15).collect()
+    held = {}
+    for c in cells:
+        held.setdefault(c["region"], set()).add(c["node"])
+    assert len(held) == len(pivots) and max(map(len, held.values())) < 0.75 * len(sets)
+    assert all(any({i, j} <= m for m in held.values()) for i in range(len(sets)) for j in range(i) if far(i, j) <= 0.15)
 
 
 def test_join_of_nothing(spark):
@@ -94,10 +149,24 @@ def test_join_of_nothing(spark):
     assert sorted((tuple(r) for r in got), key=str) == [(1, 0, 1), (2, 0, 2), (None, 1, None)]
 
 
-def test_representatives_keep_the_first(spark, corpus):
-    rows = [(d, t) for d, t in corpus if d is not None]
-    want = sorted(d for d, _, c in brute_components(rows, 5, 80) if c == d)
-    assert sorted(r["doc_id"] for r in J.representatives(spark.createDataFrame(rows, DDL), 5, 80).collect()) == want
+def test_representatives_keep_one_row_of_each_component(spark, corpus):
+    rows = with_equal_ids(corpus)
+    sets = list(brute_sets(rows, 5))
+    roots = brute_roots(sets, 80)
+    df = spark.createDataFrame([(d, t, i, i, i) for i, (d, t) in enumerate(rows)], DDL + ", place int, number int, node int")
+    kept = sorted(r["node"] for r in J.representatives(df, 5, 80).collect())
+    assert [i for i in kept if not sets[i][1]] == [i for i, (_, x) in enumerate(sets) if not x]
+    kept = [i for i in kept if sets[i][1]]
+    assert sorted(roots[i] for i in kept) == sorted({r for r, (_, x) in zip(roots, sets, strict=True) if x})
+    for i in kept:  # the row has the least id of its component
+        ids = [d for (d, _), r in zip(rows, roots, strict=True) if r == roots[i] and d is not None]
+        assert rows[i][0] == (min(ids) if ids else None)
+
+
+def test_representatives_lose_no_unique_text(spark):
+    a, b = " ".join(f"a{i}" for i in range(20)), " ".join(f"b{i}" for i in range(20))
+    df = spark.createDataFrame([(3, a), (7, a), (7, b)], DDL)
+    assert sorted(tuple(r) for r in J.representatives(df, 5, 80).collect()) == [(3, a), (7, b)]
 
 
 ITEMS = [(1, "w1 w2 w3 w4 w5 w6 w7 w8 w9 w10 w11 w12"), (2, "Short One"), (3, ""), (4, None), (10, "w5 w6 w7 w8 w9 w10 w11 w12 w13 w14"), (None, "w30 w31 w32 w33 w34 w35 w36 w37 w38 w39")]
