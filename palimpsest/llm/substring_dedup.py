@@ -11,20 +11,21 @@ content instead, in such a way that a window meets all its copies in one shard:
    hashes between groups of documents and buckets of anchors.
 2. Only runs with a shared anchor are sent to the anchor's shard, each distinct
    run once per group, with the least document that holds it.  A shard adds its
-   runs to a suffix automaton in ascending order of documents; before a run is
-   added it is streamed through the automaton, and the matching statistics tell
-   for each of its windows the first document that has it.
+   runs to suffix automata of a bounded size in ascending order of documents; before
+   a run is added it is streamed through the automaton, and the matching statistics
+   tell for each of its windows the first document that has it.
 3. The answers go back to the groups, which remove the words of all windows whose
    first document has a smaller id.
 
-An anchor in more than ``hot`` documents may have any number of different runs.
-Its windows are sent one by one to shards of their own hashes, so no shard has to
-hold what surrounds a frequent phrase; nothing is left out.
+An anchor in more than ``hot`` documents may have any number of different runs, so
+its runs are sent window by window: each distinct window is a run of its own, whose
+shard is that of its own hash.  It takes the same way through an automaton; no
+shard has to hold what surrounds a frequent phrase, and nothing is left out.
 
 Null texts have no words.  A null id counts as larger than all others, and as no
 smaller id than any.  Rows with equal ids never remove each other's words.  Empty
-tables give empty results.  Columns besides id and text are carried along; the
-three that are added have free names or the call fails.
+tables give empty results.  Columns besides id and text are carried along, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -37,7 +38,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from palimpsest.llm import words as W
-from palimpsest.llm.groups import GROUP, bucket_of, group_count, group_of, joined, packed, parts_of, rows_schema, short, table, tidied, unpacked
+from palimpsest.llm.frames import free_name, text_rows
+from palimpsest.llm.groups import GROUP, GROUPS_PER_TASK, bucket_count, bucket_of, dealt, group_count, group_of, joined, packed, rows_schema, short, table, tidied, unpacked
 from palimpsest.llm.staging import staged
 from palimpsest.llm.suffix_automaton import SuffixAutomaton
 
@@ -47,7 +49,8 @@ HOT = 4096
 #: Items that one automaton holds at most, unless one anchor alone has more.
 AUTOMATON_ITEMS = 100_000
 LAST_ID = np.iinfo(np.int64).max
-ADDED = ("kept_text", "dedup_n_words", "dedup_n_removed")
+
+_ALONE = np.uint64(0x8CB92BA72F3D8DD7)
 
 
 class Runs:
@@ -80,46 +83,44 @@ class Runs:
         self.anchor = W.mix(least[self.start])
         self.doc = np.searchsorted(self.first, self.start, "right") - 1
 
-    def keys(self, rows: np.ndarray) -> np.ndarray:
+    def keys(self) -> np.ndarray:
         """A run is told by its first and its last window, which overlap."""
-        start, size = self.start[rows], self.size[rows]
-        return W.mix(self.windows[start] ^ W.mix(self.windows[start + size - 1] + size.astype(np.uint64)))
+        last = self.windows[self.start + self.size - 1] if len(self.start) else np.empty(0, np.uint64)
+        return W.mix(self.windows[self.start] ^ W.mix(last + self.size.astype(np.uint64)))
+
+    def keep(self, some: np.ndarray, apart: np.ndarray) -> None:
+        """Go on with the runs ``some``, and with the windows of the runs ``apart`` as runs of their own."""
+        n = self.size[apart]
+        start = np.repeat(self.start[apart] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        self.anchor = np.concatenate([self.anchor[some], W.mix(self.windows[start] ^ _ALONE)])
+        self.doc = np.concatenate([self.doc[some], np.repeat(self.doc[apart], n)])
+        self.start, self.size = np.concatenate([self.start[some], start]), np.concatenate([self.size[some], np.ones(len(start), np.int64)])
 
 
-def _runs(group: pa.Table, id_column: str, text_column: str, window: int, gram: int) -> Runs:
-    ids = pc.fill_null(group[id_column], LAST_ID).to_numpy().astype(np.int64)
-    return Runs(group[text_column], ids, window, gram)
+def _runs(group: pa.Table, window: int, gram: int) -> Runs:
+    ids = pc.fill_null(group["id"], LAST_ID).to_numpy().astype(np.int64)
+    return Runs(group["text"], ids, window, gram)
 
 
-def _distinct(runs: Runs, rows: np.ndarray, buckets: int):
-    """Distinct runs in the order in which they are sent: a row for each, where each occurrence is among them, their least ids, buckets and keys."""
-    keys = runs.keys(rows)
-    bucket = bucket_of(runs.anchor[rows], buckets)
+def _distinct(runs: Runs, buckets: int):
+    """Distinct runs in the order in which they are sent: a row for each, where each run is among them, their least ids, buckets and keys."""
+    keys = runs.keys()
+    bucket = bucket_of(runs.anchor, buckets)
     order = np.lexsort((keys, bucket))
     new = np.ones(len(order), bool)
     new[1:] = keys[order][1:] != keys[order][:-1]
-    number = np.cumsum(new) - 1
     where = np.empty(len(order), np.int64)
-    where[order] = number
-    least = np.minimum.reduceat(runs.ids[runs.doc[rows]][order], np.flatnonzero(new)) if len(order) else np.empty(0, np.int64)
-    return rows[order][new], where, least, bucket[order][new], keys[order][new]
-
-
-def _lone(runs: Runs, rows: np.ndarray, buckets: int):
-    """Distinct windows of hot runs, as ``_distinct`` for runs: hashes, where each window is among them, least ids and buckets."""
-    where = np.repeat(runs.start[rows] - np.cumsum(np.append(0, runs.size[rows][:-1])), runs.size[rows]) + np.arange(runs.size[rows].sum())
-    hashes, at = np.unique(runs.windows[where], return_inverse=True)
-    least = np.full(len(hashes), LAST_ID)
-    np.minimum.at(least, at, runs.ids[np.repeat(runs.doc[rows], runs.size[rows])])
-    return where, hashes, at, least, bucket_of(hashes, buckets)
+    where[order] = np.cumsum(new) - 1
+    least = np.minimum.reduceat(runs.ids[runs.doc][order], np.flatnonzero(new)) if len(order) else np.empty(0, np.int64)
+    return order[new], where, least, bucket[order][new], keys[order][new]
 
 
 def _cuts(bucket: np.ndarray, buckets: int) -> np.ndarray:
     return np.searchsorted(bucket, np.arange(buckets + 1))
 
 
-def _shared(runs: Runs, answers: dict[int, tuple[np.ndarray, np.ndarray]], buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of runs with a shared anchor, and of those with a hot one."""
+def _keep_shared(runs: Runs, answers: dict[int, tuple[np.ndarray, np.ndarray]], buckets: int) -> None:
+    """Go on with runs that have a shared anchor; those with a hot one come apart."""
     bucket, low = bucket_of(runs.anchor, buckets), short(runs.anchor)
     state = np.zeros(len(low), np.int8)
     order = np.argsort(bucket, kind="stable")
@@ -128,7 +129,7 @@ def _shared(runs: Runs, answers: dict[int, tuple[np.ndarray, np.ndarray]], bucke
         own = order[cut[b] : cut[b + 1]]
         state[own[np.isin(low[own], some)]] = 1
         state[own[np.isin(low[own], hot)]] = 2
-    return np.flatnonzero(state == 1), np.flatnonzero(state == 2)
+    runs.keep(np.flatnonzero(state == 1), np.flatnonzero(state == 2))
 
 
 def first_documents(parts: list[dict[str, np.ndarray]], window: int) -> list[np.ndarray]:
@@ -148,29 +149,24 @@ def first_documents(parts: list[dict[str, np.ndarray]], window: int) -> list[np.
     length = size[one]
     offset = np.concatenate([[0], np.cumsum(length)])
     answer = np.repeat(doc[one], length)
-    # anchors with one run need no automaton: its windows begin where it does
+    codes = joined([p["vocab"][p["code"]] for p in parts], "u8")
+    word_offset = np.concatenate([[0], np.cumsum(size + window - 1)])
+    automaton, held = SuffixAutomaton(), 0
+    # anchor by anchor; equal windows have equal anchors, so a full automaton can give way to a new one between them
     anchors = low[one]
     begins = np.flatnonzero(np.append(True, anchors[1:] != anchors[:-1]))
-    ends = np.append(begins[1:], len(anchors))
-    several = np.flatnonzero(ends - begins > 1)
-    if len(several):
-        codes = joined([p["vocab"][p["code"]] for p in parts], "u8")
-        word_offset = np.concatenate([[0], np.cumsum(size + window - 1)])
-        automaton, held = SuffixAutomaton(), 0
-        for a in several.tolist():
-            members = np.arange(begins[a], ends[a])
-            members = members[np.argsort(doc[one[members]], kind="stable")]
-            if held > AUTOMATON_ITEMS:
-                automaton, held = SuffixAutomaton(), 0
-            for m in members.tolist():
-                row = one[m]
-                words = codes[word_offset[row] : word_offset[row + 1]].tolist()
-                own = int(doc[row])
-                owners = automaton.owners(words, window)
-                answer[offset[m] : offset[m + 1]] = [own if x == -1 else x for x in owners]
-                if -1 in owners:
-                    automaton.add(words, own)
-                    held += len(words)
+    for members in np.split(np.arange(len(one)), begins[1:]):
+        if held > AUTOMATON_ITEMS:
+            automaton, held = SuffixAutomaton(), 0
+        for m in members[np.argsort(doc[one[members]], kind="stable")].tolist():
+            row = one[m]
+            words = codes[word_offset[row] : word_offset[row + 1]].tolist()
+            own = int(doc[row])
+            owners = automaton.owners(words, window)
+            answer[offset[m] : offset[m + 1]] = [own if x == -1 else x for x in owners]
+            if -1 in owners:
+                automaton.add(words, own)
+                held += len(words)
     upto = np.concatenate([[0], np.cumsum(count)])
     out = []
     for i in range(len(parts)):
@@ -208,19 +204,21 @@ def _kept(runs: Runs, gone: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarra
 
 
 def deduplicated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """All columns of ``docs`` with ``kept_text``, ``dedup_n_words`` and ``dedup_n_removed``."""
-    if clash := {*ADDED, GROUP} & {*docs.columns}:
-        raise ValueError(f"columns exist already: {sorted(clash)}")
-    groups = buckets = group_count(docs)
-    grouped = docs.withColumn(GROUP, group_of(F.col(key), F.octet_length(text), groups=groups))
-    slim = grouped.select(GROUP, F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
+    """All columns of ``docs`` with three more: the kept text, the number of words and that of removed words."""
+    groups = group_count(docs)
+    buckets = bucket_count(groups)
+    own = docs.columns
+    ids, texts = F.col(key).cast("long"), F.col(text).cast("string")
+    # the columns of docs travel in a struct, so no name of theirs can clash
+    grouped = dealt(docs.select(group_of(ids, texts, groups=groups).alias(GROUP), ids.alias("id"), texts.alias("text"), F.struct(*[F.col(f"`{c}`") for c in own if c != text]).alias("rest")), GROUP, groups, GROUPS_PER_TASK)
+    slim = dealt(docs.select(group_of(ids, texts, groups=groups).alias(GROUP), ids.alias("id"), texts.alias("text")), GROUP, groups, GROUPS_PER_TASK)
 
     # 1. which anchors do two documents hold
     sent, sent_arrow = rows_schema("bucket int, grp int, one binary, more binary, count binary")
 
     @tidied
     def anchors(group: pa.Table) -> pa.Table:
-        runs = _runs(group, "id", "text", window, gram)
+        runs = _runs(group, window, gram)
         pairs = np.unique(np.stack([runs.anchor, runs.ids[runs.doc].view(np.uint64)]), axis=1)[0] if len(runs.anchor) else np.empty(0, np.uint64)
         anchor, count = np.unique(pairs, return_counts=True)
         cut = _cuts(bucket_of(anchor, buckets), buckets)
@@ -251,46 +249,42 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: i
         own = [np.concatenate([a, b]) for a, b in zip(one, more, strict=True)]
         return table({GROUP: part["grp"], "bucket": part["bucket"], "kind": [0] * len(part), "one": [packed(x[np.isin(x, some)]) for x in own], "two": [packed(x[np.isin(x, many)]) for x in own]}, told_arrow)
 
-    shared = staged(slim.groupBy(GROUP).applyInArrow(anchors, sent).groupBy("bucket").applyInArrow(meet, told), "shared-anchors")
+    shared = staged(dealt(slim.groupBy(GROUP).applyInArrow(anchors, sent), "bucket", buckets).groupBy("bucket").applyInArrow(meet, told), "shared-anchors")
 
     # 2. runs with shared anchors meet in shards
-    fragments, fragments_arrow = rows_schema("bucket int, grp int, low binary, size binary, key binary, doc binary, vocab binary, code binary, lone binary, lone_doc binary")
+    fragments, fragments_arrow = rows_schema("bucket int, grp int, low binary, size binary, key binary, doc binary, vocab binary, code binary")
 
     def answers_of(rows: pa.Table, kind: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
         rows = rows.filter(pc.equal(rows["kind"], kind))
-        types = ("u4", "u4") if kind == 0 else ("i8", "i8")
-        return dict(zip(rows["bucket"].to_pylist(), zip(unpacked(rows["one"], types[0]), unpacked(rows["two"], types[1]), strict=True), strict=True))
+        return dict(zip(rows["bucket"].to_pylist(), zip(unpacked(rows["one"], "i8" if kind else "u4"), unpacked(rows["two"], "u4"), strict=True), strict=True))
 
     @tidied
     def send(group: pa.Table, rows: pa.Table) -> pa.Table:
         if not len(group):
             return fragments_arrow.empty_table()
-        runs = _runs(group, "id", "text", window, gram)
-        some, many = _shared(runs, answers_of(rows, 0), buckets)
-        one, _, least, bucket, keys = _distinct(runs, some, buckets)
-        _, lone, _, lone_least, lone_bucket = _lone(runs, many, buckets)
-        cut, lone_cut = _cuts(bucket, buckets), _cuts(lone_bucket, buckets)
+        runs = _runs(group, window, gram)
+        _keep_shared(runs, answers_of(rows, 0), buckets)
+        one, _, least, bucket, keys = _distinct(runs, buckets)
+        cut = _cuts(bucket, buckets)
         out: dict[str, list] = {f.name: [] for f in fragments_arrow}
         for b in range(buckets):
-            mine, single = slice(cut[b], cut[b + 1]), slice(lone_cut[b], lone_cut[b + 1])
-            if mine.start == mine.stop and single.start == single.stop:
+            mine = slice(cut[b], cut[b + 1])
+            if mine.start == mine.stop:
                 continue
             own = one[mine]
             span = runs.size[own] + window - 1
-            where = np.repeat(runs.start[own] - np.cumsum(np.append(0, span[:-1])), span) + np.arange(span.sum()) if len(own) else np.empty(0, np.int64)
+            where = np.repeat(runs.start[own] - np.cumsum(np.append(0, span[:-1])), span) + np.arange(span.sum())
             vocab, code = np.unique(runs.hashes[where], return_inverse=True)
             wide = len(vocab) > 1 << 16
             for name, value in (
                 ("bucket", b),
                 ("grp", group[GROUP][0].as_py()),
                 ("low", packed(short(runs.anchor[own]))),
-                ("size", packed(runs.size[own].astype(np.uint8))),
+                ("size", packed(runs.size[own].astype(np.uint32))),
                 ("key", packed(keys[mine])),
                 ("doc", packed(least[mine])),
                 ("vocab", packed(vocab)),
                 ("code", packed(code.astype(np.uint32 if wide else np.uint16))),
-                ("lone", packed(lone[single])),
-                ("lone_doc", packed(lone_least[single])),
             ):
                 out[name].append(value)
         return table(out, fragments_arrow)
@@ -299,52 +293,47 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: i
     def shard(part: pa.Table) -> pa.Table:
         vocab = unpacked(part["vocab"], "u8")
         code = [np.frombuffer(x, np.uint32 if len(v) > 1 << 16 else np.uint16) for x, v in zip(part["code"].to_pylist(), vocab, strict=True)]
-        columns = {n: unpacked(part[n], kind) for n, kind in (("low", "u4"), ("size", "u1"), ("key", "u8"), ("doc", "i8"), ("lone", "u8"), ("lone_doc", "i8"))}
-        parts = [{"vocab": vocab[i], "code": code[i], **{n: columns[n][i] for n in ("low", "size", "key", "doc")}} for i in range(len(part))]
+        columns = {n: unpacked(part[n], kind) for n, kind in (("low", "u4"), ("size", "u4"), ("key", "u8"), ("doc", "i8"))}
+        parts = [{"vocab": vocab[i], "code": code[i], **{n: c[i] for n, c in columns.items()}} for i in range(len(part))]
         found = first_documents(parts, window)
-        lone, at = np.unique(joined(columns["lone"], "u8"), return_inverse=True)
-        least = np.full(len(lone), LAST_ID)
-        np.minimum.at(least, at, joined(columns["lone_doc"], "i8"))
-        owner = parts_of([len(x) for x in columns["lone"]])
-        return table({GROUP: part["grp"], "bucket": part["bucket"], "kind": [1] * len(part), "one": [packed(x) for x in found], "two": [packed(least[at[owner == i]]) for i in range(len(part))]}, told_arrow)
+        return table({GROUP: part["grp"], "bucket": part["bucket"], "kind": [1] * len(part), "one": [packed(x) for x in found], "two": [b""] * len(part)}, told_arrow)
 
-    met = slim.groupBy(GROUP).cogroup(shared.groupBy(GROUP)).applyInArrow(send, fragments)
-    firsts = staged(met.groupBy("bucket").applyInArrow(shard, told), "first-documents")
+    met = slim.groupBy(GROUP).cogroup(dealt(shared, GROUP, groups, GROUPS_PER_TASK).groupBy(GROUP)).applyInArrow(send, fragments)
+    firsts = staged(dealt(met, "bucket", buckets).groupBy("bucket").applyInArrow(shard, told), "first-documents")
 
     # 3. back to the documents
-    schema = StructType([*docs.schema.fields, StructField(ADDED[0], StringType()), StructField(ADDED[1], LongType()), StructField(ADDED[2], LongType())])
+    new = ("text", "kept", "n_words", "n_removed")
+    schema = StructType([grouped.schema["rest"], StructField("text", StringType()), StructField("kept", StringType()), StructField("n_words", LongType()), StructField("n_removed", LongType())])
     arrow = _arrow_schema(schema)
-    names = docs.columns
 
     @tidied
     def remove(group: pa.Table, rows: pa.Table) -> pa.Table:
         if not len(group):
             return arrow.empty_table()
-        runs = _runs(pa.table({"id": group[key].cast(pa.int64()), "text": group[text].cast(pa.string())}), "id", "text", window, gram)
-        some, many = _shared(runs, answers_of(rows, 0), buckets)
-        one, where, _, bucket, _ = _distinct(runs, some, buckets)
+        runs = _runs(group, window, gram)
+        _keep_shared(runs, answers_of(rows, 0), buckets)
+        one, where, _, bucket, _ = _distinct(runs, buckets)
         told = answers_of(rows, 1)
         gone = np.zeros(len(runs.hashes) + 1, np.int64)
-
-        def mark(windows: np.ndarray, first: np.ndarray, doc: np.ndarray) -> None:
-            hit = windows[first < runs.ids[doc]]
-            np.add.at(gone, hit, 1)
-            np.add.at(gone, hit + window, -1)
-
         if len(one):
             answer = np.concatenate([told[b][0] for b in np.unique(bucket).tolist()])
             offset = np.concatenate([[0], np.cumsum(runs.size[one])])
-            n = runs.size[some]
+            n = runs.size
             step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            mark(np.repeat(runs.start[some], n) + step, answer[np.repeat(offset[where], n) + step], np.repeat(runs.doc[some], n))
-        if len(many):
-            windows, hashes, at, _, lone_bucket = _lone(runs, many, buckets)
-            answer = np.concatenate([told[b][1] for b in np.unique(lone_bucket).tolist()])
-            mark(windows, answer[at], np.repeat(runs.doc[many], runs.size[many]))
+            first = answer[np.repeat(offset[where], n) + step]
+            hit = (np.repeat(runs.start, n) + step)[first < runs.ids[np.repeat(runs.doc, n)]]
+            np.add.at(gone, hit, 1)
+            np.add.at(gone, hit + window, -1)
         kept, words, removed = _kept(runs, np.cumsum(gone[:-1]) > 0)
-        return table({n: group[n] for n in names} | dict(zip(ADDED, (kept, words, removed), strict=True)), arrow)
+        return table({"rest": group["rest"], **dict(zip(new, (group["text"], kept, words, removed), strict=True))}, arrow)
 
-    return grouped.groupBy(GROUP).cogroup(shared.unionByName(firsts).groupBy(GROUP)).applyInArrow(remove, schema)
+    done = grouped.groupBy(GROUP).cogroup(dealt(shared.unionByName(firsts), GROUP, groups, GROUPS_PER_TASK).groupBy(GROUP)).applyInArrow(remove, schema)
+    return done.select(*[F.col("text").alias(c) if c == text else F.col(f"rest.`{c}`").alias(c) for c in own], *[F.col(a).alias(b) for a, b in zip(new[1:], added(docs), strict=True)])
+
+
+def added(docs: DataFrame) -> tuple[str, str, str]:
+    """Names of the three columns that ``deduplicated`` adds, with underscores if ``docs`` has such columns."""
+    return tuple(free_name(n, docs) for n in ("kept_text", "dedup_n_words", "dedup_n_removed"))
 
 
 def _arrow_schema(schema: StructType) -> pa.Schema:
@@ -358,17 +347,16 @@ def cleaned(docs: DataFrame, **options) -> DataFrame:
 
     ``n_chars``, where there is such a column, follows the text.
     """
+    kept, _, removed = added(docs)
     rows = deduplicated(docs, **options)
-    text = F.when(F.col(ADDED[2]) > 0, F.col(ADDED[0])).otherwise(F.col("text"))
-    rows = rows.withColumn("text", text)
+    kinds = {f.name: f.dataType for f in docs.schema.fields}
+    changed = {"text": F.when(F.col(removed) > 0, F.col(kept)).otherwise(F.col("text")).cast(kinds["text"])}
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col(ADDED[2]) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
+        changed["n_chars"] = F.when(F.col(removed) > 0, F.length(kept).cast(kinds["n_chars"])).otherwise(F.col("n_chars"))
+    return rows.select(*[changed[c].alias(c) if c in changed else F.col(f"`{c}`") for c in docs.columns])
 
 
 def removals(docs: DataFrame, **options) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of every document."""
-    from palimpsest.llm.frames import text_rows
-
     rows = deduplicated(text_rows(docs), **options)
-    return rows.select("doc_id", F.col(ADDED[1]).alias("n_words"), F.col(ADDED[2]).alias("n_removed"), F.sha2(F.coalesce(ADDED[0], F.lit("")), 256).alias("kept_sha256"))
+    return rows.select("doc_id", F.col("dedup_n_words").alias("n_words"), F.col("dedup_n_removed").alias("n_removed"), F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"))

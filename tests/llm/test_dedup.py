@@ -3,6 +3,8 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from palimpsest.llm import decontamination as D
@@ -41,18 +43,35 @@ def brute_removals(rows, window):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("hot", [4096, 3])
-def test_substring_dedup(spark, corpus, hot):
-    got = S.removals(spark.createDataFrame(corpus, DDL), hot=hot).collect()
-    assert sorted((tuple(r) for r in got), key=str) == brute_removals(corpus, 13)
+@pytest.mark.parametrize("hot,window,gram", [(4096, 13, 7), (3, 13, 7), (1, 5, 2), (4096, 300, 7)])
+def test_substring_dedup(spark, corpus, hot, window, gram):
+    long = " ".join(f"v{i}" for i in range(900))
+    rows = [*corpus, (7, long), (7, long), (7, corpus[0][1]), (8, "x " + long), (9, long[:2000])]
+    got = S.removals(spark.createDataFrame(rows, DDL), hot=hot, window=window, gram=gram).collect()
+    assert sorted((tuple(r) for r in got), key=str) == brute_removals(rows, window)
+
+
+def test_hot_anchors_go_through_automata(spark, corpus, monkeypatch):
+    """Windows of a hot anchor are runs of one window, and shards answer them by their automata."""
+    runs = S._runs(pa.table({"id": [1, 2], "text": ["a b c d e f g h", "x b c d e y"]}), 4, 2)
+    n = int(runs.size.sum())
+    runs.keep(np.empty(0, np.int64), np.arange(len(runs.start)))
+    assert len(runs.start) == n and (runs.size == 1).all()
+    one, where, least, bucket, keys = S._distinct(runs, 1)
+    parts = [{"low": S.short(runs.anchor[one]), "size": runs.size[one].astype("u4"), "key": keys, "doc": least, "vocab": runs.hashes, "code": (runs.start[one][:, None] + np.arange(4)).ravel()}]
+    asked = []
+    monkeypatch.setattr(S.SuffixAutomaton, "owners", lambda self, words, size, owners=S.SuffixAutomaton.owners: asked.append(len(words)) or owners(self, words, size))
+    first = S.first_documents(parts, 4)[0]
+    assert len(asked) == len(one) and set(asked) == {4} and (first == least).all()
 
 
 def test_dedup_of_nothing_and_extra_columns(spark):
     assert S.removals(spark.createDataFrame([], DDL)).collect() == []
     df = spark.createDataFrame([(1, "a b", "k", 3), (2, None, "n", 0)], "doc_id long, text string, n_words string, n_chars int")
     assert sorted(S.cleaned(df).collect()) == sorted(df.collect())
-    with pytest.raises(ValueError):
-        S.deduplicated(df.withColumn("kept_text", df["text"]))
+    clash = df.selectExpr("*", "1 AS kept_text", "2 AS dedup_n_words", "3 AS __group__", "4 AS rest", "5 AS id")
+    assert sorted(S.cleaned(clash).collect()) == sorted(clash.collect()) and S.cleaned(clash).columns == clash.columns
+    assert S.deduplicated(clash).columns[-3:] == ["kept_text_", "dedup_n_words_", "dedup_n_removed"]
 
 
 def test_cleaned_takes_out_later_words_only(spark):
