@@ -1,142 +1,152 @@
 """Merkle fixity audit of WARC archives.
 
-An archive is a set of files, each a sequence of records.  Every record's bytes
-are hashed, and the hashes of ``fanout`` neighbours, with the offset range they
-cover, are hashed again, level by level, up to one root per file and one for the
-archive.  Two replicas agree if their roots do.  Where they differ the audit goes
-down: the next level is compared only below nodes that differ, so the rows it
-compares shrink to the damaged branches, and it ends at the damaged records.
-
-Everything is built-in functions: record bytes are hashed where they are read and
-never shuffled, only digests are.  Files are dealt by a hash of the record, so one
-page id or host with a third of all rows spreads over all files; equal records are
-counted, not repeated.  Null urls and payloads are empty, null ids are kept.
-An empty archive has the root of no bytes.
+An archive is a set of files, each a sequence of WARC records in the order of their
+record ids, so ranges of ids are ranges of offsets.  A record's digest covers its
+header and the hash of its block as found now; the header says what the block was when
+it was written.  Records are the leaves of one tree: a node is a prefix of (file,
+record id) and hashes, in order, its children's digests and the bytes of the range
+that each covers.  Offsets follow from these extents, so equal roots mean equal
+archives, and a record that is lost changes only the nodes above it, not all that
+come after.
+
+An audit compares two archives, which are tables of their own: the roots first, and
+if these differ the children of differing nodes, level by level, down to records that
+are damaged, missing or extra.  Every level is written once, for both archives.
+
+Everything is built-in functions: blocks are hashed where they are read and never
+shuffled, only digests are.  The number of files grows with the bytes and the depth
+with the records, so no file's window and no node's children grow.  Repeated rows are
+counted before they are shuffled and become records with ids of their own.  Null urls
+and payloads are empty, null ids are kept, other columns are ignored.  An empty
+archive has no nodes; two empty archives agree.
 """
 
 from __future__ import annotations
 
+from math import ceil, log
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.staging import staged
+from palimpsest.llm.staging import discard, staged
 
-FILES = 1024
+FILES = 16
+FILE_BYTES = 1 << 28
+#: Hexadecimal digits of a file's number; a node has 16 children, and a record's slot about so many.
+FILE_DIGITS = 5
 FANOUT = 16
+#: The crawl's date, which pages don't carry.
+DATE = "2020-01-01T00:00:00Z"
+
+
+def header(record_id: Column, url: Column, block_digest: Column, length: Column, date: str = DATE) -> Column:
+    """The header of a resource record, up to the empty line."""
+    lines = [
+        F.lit("WARC/1.1"),
+        F.lit("WARC-Type: resource"),
+        F.concat(F.lit("WARC-Record-ID: <urn:uuid:"), *[x for a, b in ((1, 8), (9, 4), (13, 4), (17, 4)) for x in (F.substring(record_id, a, b), F.lit("-"))], F.substring(record_id, 21, 12), F.lit(">")),
+        F.lit(f"WARC-Date: {date}"),
+        F.concat(F.lit("WARC-Target-URI: "), url),
+        F.concat(F.lit("WARC-Block-Digest: sha256:"), block_digest),
+        F.lit("Content-Type: text/html"),
+        F.concat(F.lit("Content-Length: "), length.cast("string")),
+    ]
+    return F.concat(F.concat_ws("\r\n", *lines), F.lit("\r\n\r\n"))
+
+
+def records(pages: DataFrame, found: Column | None = None, files: int | None = None) -> DataFrame:
+    """Records of ``pages`` as a stored table: page_id, record_id, file, length and digest.
+
+    ``found`` is the payload that an archive holds now, if not the one that was
+    written.  ``files`` should be that of the archive to compare with.
+    """
+    url, html = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("url", "html"))
+    now = html if found is None else F.coalesce(found, F.lit(""))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), url.alias("url"), F.sha2(html, 256).alias("written"), F.octet_length(html).alias("size"), F.sha2(now, 256).alias("found"), F.octet_length(now).alias("found_size"))
+    rows = staged(rows.groupBy(*rows.columns).agg(F.count("*").alias("copies")), "blocks")
+    if files is None:
+        files = max(FILES, -(-int(rows.agg(F.sum(F.col("found_size") * F.col("copies"))).first()[0] or 0) // FILE_BYTES))
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    identity = F.md5(F.concat_ws("|", F.coalesce(F.col("page_id").cast("string"), F.lit("")), "url", "written", F.col("copy").cast("string")))
+    rows = rows.withColumn("record_id", identity)
+    top = header(F.col("record_id"), F.col("url"), F.col("written"), F.col("size"))
+    file = (F.conv(F.substring("record_id", 25, 8), 16, 10).cast("long") % files).cast("int")
+    return rows.select("page_id", "record_id", file.alias("file"), (F.octet_length(top) + F.col("found_size") + 4).cast("long").alias("length"), F.sha2(F.concat(top, F.col("found")), 256).alias("digest"))
 
 
-def record_bytes(url: Column, payload: Column) -> Column:
-    """One response record in WARC layout."""
-    payload = F.coalesce(payload, F.lit(""))
-    return F.concat(
-        F.lit("WARC/1.1\r\nWARC-Type: response\r\nWARC-Target-URI: "),
-        F.coalesce(url, F.lit("")),
-        F.lit("\r\nContent-Length: "),
-        F.octet_length(payload).cast("string"),
-        F.lit("\r\n\r\n"),
-        payload,
-        F.lit("\r\n\r\n"),
-    )
+def laid_out(records: DataFrame) -> DataFrame:
+    """Records with their ``offset`` in their file."""
+    before = Window.partitionBy("file").orderBy("record_id", "digest").rowsBetween(Window.unboundedPreceding, -1)
+    return records.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long"))
 
 
-def file_of(page_id: Column, digest: Column, files: int) -> Column:
-    """The file of a record, by a hash that other engines have too."""
-    key = F.md5(F.concat_ws("|", F.coalesce(page_id.cast("string"), F.lit("")), digest))
-    return F.pmod(F.conv(F.substring(key, 1, 8), 16, 10).cast("long"), F.lit(files)).cast("int")
+def depth_of(rows: int, files: int) -> int:
+    """Digits of the record id that a slot of about ``FANOUT`` records has."""
+    return max(1, ceil(log(max(1, rows / max(1, files) / FANOUT), FANOUT)))
 
 
-def placed(pages: DataFrame, replica_payload: Column | None = None, files: int = FILES) -> DataFrame:
-    """Records of ``pages`` in the files of an archive: file, ordinal, offset, length, page_id, copies, digest, replica_digest.
+def _node(children: Column) -> Column:
+    return F.sha2(F.array_join(F.transform(children, lambda c: F.concat(c["key"], F.lit(" "), c["digest"], F.lit(" "), c["bytes"].cast("string"))), "\n"), 256)
 
-    ``replica_payload`` is the payload as a second replica holds it; its records
-    keep the places of the first.
-    """
-    url, html = F.col("url").cast("string"), F.col("html").cast("string")
-    record = record_bytes(url, html)
-    rows = pages.select(
-        F.col("page_id").cast("long").alias("page_id"),
-        F.octet_length(record).cast("long").alias("length"),
-        F.sha2(record, 256).alias("digest"),
-        F.sha2(record_bytes(url, replica_payload) if replica_payload is not None else record, 256).alias("replica_digest"),
-    )
-    rows = rows.groupBy("page_id", "length", "digest", "replica_digest").agg(F.count("*").alias("copies"))
-    rows = rows.withColumn("file", file_of(F.col("page_id"), F.col("digest"), files))
-    order = Window.partitionBy("file").orderBy("page_id", "digest", "replica_digest")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    return rows.select("file", (F.row_number().over(order) - 1).cast("long").alias("ordinal"), F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long").alias("offset"), "length", "page_id", "copies", "digest", "replica_digest")
-
-
-def levels_of(records: DataFrame, fanout: int = FANOUT) -> int:
-    """Levels above the records that the longest file needs."""
-    most = records.groupBy("file").count().agg(F.max("count")).first()[0] or 0
-    n = 0
-    while most > 1:
-        most, n = -(-most // fanout), n + 1
-    return max(1, n)
-
-
-def parents(nodes: DataFrame, fanout: int = FANOUT) -> DataFrame:
-    """The next level: file, node, start, end and digest; at most ``fanout`` children meet in a row."""
-    child = F.struct("node", "digest")
-    return (
-        nodes.groupBy("file", F.floor(F.col("node") / fanout).cast("long").alias("node"))
-        .agg(F.min("start").alias("start"), F.max("end").alias("end"), F.array_sort(F.collect_list(child)).alias("children"))
-        .select("file", "node", "start", "end", F.sha2(F.concat_ws("|", F.col("start").cast("string"), F.col("end").cast("string"), F.array_join(F.transform("children", lambda c: c["digest"]), "")), 256).alias("digest"))
-    )
-
-
-def tree(records: DataFrame, digest: str, levels: int, fanout: int = FANOUT) -> list[DataFrame]:
-    """Levels of the trees of all files, records first, the file roots last."""
-    out = [records.select("file", F.col("ordinal").alias("node"), F.col("offset").alias("start"), (F.col("offset") + F.col("length")).alias("end"), F.col(digest).alias("digest"))]
-    for _ in range(levels):
-        out.append(parents(out[-1], fanout))
-    return out
 
+def tree(records: DataFrame, depth: int) -> list[DataFrame]:
+    """Levels of the trees of all archives (``side``), as stored tables: records' slots first, the roots last.
 
-def archive_root(roots: DataFrame, files: int = FILES, fanout: int = FANOUT) -> DataFrame:
-    """One row: the root over the roots of all files."""
-    nodes = roots.select(F.lit(0).alias("file"), F.col("file").cast("long").alias("node"), "start", "end", "digest")
-    while files > 1:
-        nodes, files = parents(nodes, fanout), -(-files // fanout)
-    return nodes.agg(F.coalesce(F.max("digest"), F.sha2(F.lit(""), 256)).alias("root"))
+    A node has side, path, digest and bytes; paths of a level are equally long.
+    """
+    path = F.concat(F.lpad(F.lower(F.hex("file")), FILE_DIGITS, "0"), F.substring("record_id", 1, depth))
+    below = records.select("side", path.alias("path"), F.col("record_id").alias("key"), "digest", F.col("length").alias("bytes"))
+    out = []
+    for size in range(FILE_DIGITS + depth, -1, -1):
+        children = F.array_sort(F.collect_list(F.struct("key", "digest", "bytes")))
+        nodes = below.groupBy("side", "path").agg(children.alias("children"), F.sum("bytes").alias("bytes"))
+        out.append(staged(nodes.select("side", "path", _node(F.col("children")).alias("digest"), "bytes"), "tree-level"))
+        below = out[-1].select("side", F.substring("path", 1, max(0, size - 1)).alias("path"), F.col("path").alias("key"), "digest", "bytes")
+    return out
 
 
-def descend(one: list[DataFrame], other: list[DataFrame], fanout: int = FANOUT) -> DataFrame:
-    """file and node (ordinal) of the records at which two archives differ."""
-    differing = None
-    for a, b in zip(reversed(one), reversed(other), strict=True):
-        if differing is not None:
-            up = F.floor(F.col("node") / fanout).cast("long")
-            a, b = (x.withColumn("up", up).join(differing, ["file", "up"], "left_semi") for x in (a, b))
-        a, b = (x.select("file", "node", F.struct("start", "end", "digest").alias(n)) for x, n in ((a, "a"), (b, "b")))
-        differing = a.join(b, ["file", "node"], "full_outer").where(~F.col("a").eqNullSafe(F.col("b"))).select("file", F.col("node").alias("up"))
-    return differing.withColumnRenamed("up", "ordinal")
+def roots(levels: list[DataFrame]) -> dict[int, str]:
+    """The root of each archive that has any record."""
+    return {r["side"]: r["digest"] for r in levels[-1].collect()}
 
 
-def _counted(records: DataFrame) -> DataFrame:
-    """With ``held``: the digest of a record and how many copies of it there are."""
-    return records.withColumn("held", F.concat_ws("|", "digest", F.col("copies").cast("string")))
+def differing(levels: list[DataFrame]) -> DataFrame:
+    """Paths of the slots in which two archives differ; below a node on which they agree nothing is compared."""
+    found = None
+    for level in reversed(levels):
+        if found is not None:
+            level = level.withColumn("up", F.expr("substring(path, 1, length(path) - 1)")).join(found.withColumnRenamed("path", "up"), "up", "left_semi")
+        found = level.groupBy("path").agg(F.min("digest").alias("low"), F.max("digest").alias("high"), F.min("bytes").alias("few"), F.max("bytes").alias("many"), F.count("*").alias("sides")).where("sides < 2 OR low <> high OR few <> many").select("path")
+    return found
 
 
-def audit(records: DataFrame, fanout: int = FANOUT, replica: DataFrame | None = None) -> DataFrame:
-    """Every record with its place and whether the replica's copy is intact, as found by descending.
+def audit(archive: DataFrame, replica: DataFrame) -> DataFrame:
+    """Every record of two archives: page_id, record_id, file, offset, length, replica_offset, replica_length, digest and status.
 
-    ``replica`` is an archive with places of its own (file, ordinal, offset, length,
-    digest, copies if not one); what only it has is returned without a digest.  Without it the replica
-    is the column ``replica_digest``.  Digests and places are written first, so the
-    archive is read and hashed once.
+    Both have the columns of ``records``.  The status is ``intact``, ``damaged``,
+    ``missing`` from the replica or ``extra`` in it; a record that is in another file
+    there is missing from one and extra in the other.  If a record id occurs several
+    times in a file, its records are paired in the order of their digests.
     """
-    records = staged(records, "archive-records")
-    levels = levels_of(records, fanout)
-    if replica is None:
-        other = tree(records, "replica_digest", levels, fanout)
+    order = Window.partitionBy("file", "record_id").orderBy("digest")
+    names = ["side", "page_id", "record_id", "file", "offset", "length", "digest", "nth"]
+    sides = [laid_out(x).withColumn("side", F.lit(i)).withColumn("nth", F.row_number().over(order)).select(*names) for i, x in enumerate((archive, replica))]
+    rows = staged(sides[0].unionByName(sides[1]), "records")
+    seen = rows.agg(F.count("*"), F.count_distinct("file")).first()
+    depth = depth_of(seen[0] // 2, seen[1])
+    levels = tree(rows, depth)
+    told = roots(levels)
+    key = ["file", "record_id", "nth"]
+    one = rows.where("side = 0").select(*key, "page_id", "offset", "length", "digest")
+    two = rows.where("side = 1").select(*key, F.col("page_id").alias("other_id"), F.col("offset").alias("replica_offset"), F.col("length").alias("replica_length"), F.col("digest").alias("other"))
+    if told.get(0) == told.get(1):  # nothing to go down for
+        status = F.lit("intact")
     else:
-        copies = "copies" if "copies" in replica.columns else F.lit(1).alias("copies")
-        replica = staged(replica.select("file", "ordinal", "offset", "length", "digest", copies), "replica-records")
-        levels = max(levels, levels_of(replica, fanout))
-        other = tree(_counted(replica), "held", levels, fanout)
-    one = tree(records, "digest", levels, fanout) if replica is None else tree(_counted(records), "held", levels, fanout)
-    damaged = descend(one, other, fanout)
-    how = "left" if replica is None else "full_outer"
-    return records.join(damaged.withColumn("damaged", F.lit(True)), ["file", "ordinal"], how).select("page_id", "file", "ordinal", "offset", "length", "copies", "digest", F.col("damaged").isNull().alias("intact"))
+        slots = staged(differing(levels), "differing").withColumn("differs", F.lit(True))
+        path = F.concat(F.lpad(F.lower(F.hex("file")), FILE_DIGITS, "0"), F.substring("record_id", 1, depth))
+        one = one.withColumn("path", path).join(slots, "path", "left").drop("path")
+        status = F.when(F.col("other").isNull(), "missing").when(F.col("digest").isNull(), "extra").when(F.col("differs") & (F.col("digest") != F.col("other")), "damaged").otherwise("intact")
+    discard(*levels)
+    both = one.join(two, key, "full_outer")
+    return both.select(F.coalesce("page_id", "other_id").alias("page_id"), "record_id", "file", "offset", "length", "replica_offset", "replica_length", "digest", status.alias("status"))

@@ -80,22 +80,54 @@ SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(root, d.doc_id):
 FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN roots ON node = d.doc_id
 """
 
-OP9 = r"""
-WITH records AS (
-  SELECT page_id::BIGINT AS page_id,
-    'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10)
-    || 'Content-Length: ' || strlen(coalesce(html, ''))::VARCHAR || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS record
+_CRLF = "chr(13) || chr(10)"
+_SIDES = r"""
+WITH RECURSIVE pages_found AS (
+  SELECT page_id::BIGINT AS page_id, coalesce(url, '') AS url, coalesce(html, '') AS html,
+    CASE WHEN starts_with(sha256(coalesce(html, '')), '00') THEN substr(coalesce(html, ''), 2) ELSE coalesce(html, '') END AS damaged
   FROM pages
-), leaves AS (
-  SELECT page_id, strlen(record)::BIGINT AS length, sha256(record) AS digest, count(*)::BIGINT AS copies FROM records GROUP BY ALL
-), filed AS (
-  SELECT *, (('0x' || md5(concat_ws('|', coalesce(page_id::VARCHAR, ''), digest))[1:8])::BIGINT % 1024)::INT AS file FROM leaves
+), blocks AS (
+  SELECT 0 AS side, page_id, url, sha256(html) AS written, strlen(html) AS size, sha256(html) AS found, strlen(html) AS found_size FROM pages_found
+  UNION ALL SELECT 1, page_id, url, sha256(html), strlen(html), sha256(damaged), strlen(damaged) FROM pages_found
+), named AS (
+  SELECT *, md5(concat_ws('|', coalesce(page_id::VARCHAR, ''), url, written, row_number() OVER (PARTITION BY side, page_id, url, written, found)::VARCHAR)) AS record_id FROM blocks
+), topped AS (
+  SELECT *, 'WARC/1.1' || NL || 'WARC-Type: resource' || NL || 'WARC-Record-ID: <urn:uuid:' || record_id[1:8] || '-' || record_id[9:12] || '-' || record_id[13:16] || '-' || record_id[17:20] || '-' || record_id[21:32] || '>' || NL
+    || 'WARC-Date: 2020-01-01T00:00:00Z' || NL || 'WARC-Target-URI: ' || url || NL || 'WARC-Block-Digest: sha256:' || written || NL || 'Content-Type: text/html' || NL || 'Content-Length: ' || size::VARCHAR || NL || NL AS top
+  FROM named
+), held AS (
+  SELECT side, page_id, record_id, (('0x' || record_id[25:32])::BIGINT % (SELECT greatest(16, ceil(sum(found_size) / 268435456))::BIGINT FROM blocks b WHERE b.side = topped.side))::INT AS file,
+    (strlen(top) + found_size + 4)::BIGINT AS length, sha256(top || found) AS digest
+  FROM topped
+), kept AS (
+  SELECT * FROM held WHERE side = 0 OR NOT starts_with(digest, '01')
+  UNION ALL SELECT * FROM held WHERE side = 1 AND starts_with(digest, '02')
+), placed AS (
+  SELECT *, coalesce(sum(length) OVER (PARTITION BY side, file ORDER BY record_id, digest ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset",
+    row_number() OVER (PARTITION BY side, file, record_id ORDER BY digest) AS nth, printf('%05x', file) || record_id[1:2] AS path
+  FROM kept
+), level7 AS (
+  SELECT side, path, sha256(string_agg(record_id || ' ' || digest || ' ' || length::VARCHAR, chr(10) ORDER BY record_id, digest)) AS digest, sum(length)::BIGINT AS bytes FROM placed GROUP BY side, path
+)""".replace("NL", _CRLF)
+#: The tree from slots to the root, and the way down from the root to slots that differ.
+_UP = "".join(
+    f", level{n} AS (SELECT side, path[1:{n}] AS path, sha256(string_agg(level{n + 1}.path || ' ' || digest || ' ' || bytes::VARCHAR, chr(10) ORDER BY level{n + 1}.path)) AS digest, sum(bytes)::BIGINT AS bytes FROM level{n + 1} GROUP BY side, level{n + 1}.path[1:{n}])"
+    for n in range(6, -1, -1)
 )
-SELECT page_id, file, (row_number() OVER f - 1)::BIGINT AS ordinal,
-  coalesce(sum(length) OVER (f ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset",
-  length, copies, digest, NOT starts_with(digest, '00') AS intact
-FROM filed WINDOW f AS (PARTITION BY file ORDER BY page_id NULLS FIRST, digest)
+_DOWN = "".join(
+    f", differing{n} AS (SELECT path FROM level{n} WHERE {'true' if n == 0 else f'path[1:{n - 1}] IN (SELECT path FROM differing{n - 1})'} GROUP BY path HAVING count(*) < 2 OR min(digest) <> max(digest) OR min(bytes) <> max(bytes))"
+    for n in range(8)
+)
+OP9 = (
+    _SIDES
+    + _UP
+    + _DOWN
+    + """
+SELECT coalesce(a.page_id, b.page_id) AS page_id, record_id, file, a."offset" AS "offset", a.length AS length, b."offset" AS replica_offset, b.length AS replica_length, a.digest AS digest,
+  CASE WHEN b.digest IS NULL THEN 'missing' WHEN a.digest IS NULL THEN 'extra' WHEN a.path IN (SELECT path FROM differing7) AND a.digest <> b.digest THEN 'damaged' ELSE 'intact' END AS status
+FROM (SELECT * FROM placed WHERE side = 0) a FULL JOIN (SELECT * FROM placed WHERE side = 1) b USING (file, record_id, nth)
 """
+)
 
 
 def oracle_sql() -> dict[str, str]:

@@ -74,13 +74,17 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Audits a replica in which every record whose digest starts with 00 lost its first character."""
-    from palimpsest.llm.fixity import audit, placed, record_bytes
+    """Audits a replica in which some records, by their digest, lost a character (00), are missing (01) or occur twice (02)."""
+    from palimpsest.llm.fixity import audit, records
 
     pages = table(spark, sf_dir, "pages")
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
-    damaged = F.when(F.sha2(record_bytes(F.col("url"), html), 256).startswith("00"), F.substr(html, F.lit(2))).otherwise(html)
-    return audit(placed(pages, damaged))
+    # the bytes of a damaged record are found by the hash of what was written
+    damaged = F.when(F.sha2(html, 256).startswith("00"), F.substr(html, F.lit(2))).otherwise(html)
+    archive = records(pages)
+    held = records(pages, damaged)
+    replica = held.where(~F.col("digest").startswith("01"))
+    return audit(archive, replica.unionByName(replica.where(F.col("digest").startswith("02"))))
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from palimpsest.llm import boosting, bpe, chat, fixity, html_blocks, quality, sharding, toxicity
+from palimpsest.llm import boosting, bpe, chat, html_blocks, quality, sharding, toxicity
 from palimpsest.llm.examples import _drawn, labelled_pages
 from palimpsest.llm.queries import INJECTION, tokenizer_path
 from tests.llm.conftest import words
@@ -264,25 +264,6 @@ def test_escapes_come_back(spark):
     assert rows[2]["n_turns"] == 3 and rows[2]["loss_chars"] == 2 and rows[3]["n_turns"] == 1
 
 
-# fixity
-
-
-def test_audit_finds_what_was_damaged(spark):
-    pages = spark.createDataFrame([(i % 90 if i < 95 else None, f"u{i}", f"<p>{i}</p>" if i % 9 else None) for i in range(100)] + [(1, "u", "same")] * 40, "page_id long, url string, html string")
-    damaged = F.when(F.col("url") == "u7", "x").otherwise(F.col("html"))
-    records = fixity.placed(pages, damaged, files=5)
-    rows = fixity.audit(records, fanout=3).collect()
-    assert [r["page_id"] for r in rows if not r["intact"]] == [7] and sum(r["copies"] for r in rows) == 140
-    levels = fixity.levels_of(records, 3)
-    a, b = (fixity.archive_root(fixity.tree(records, c, levels, 3)[-1], 5, 3).first()["root"] for c in ("digest", "replica_digest"))
-    assert a != b
-    assert fixity.archive_root(fixity.tree(fixity.placed(pages, files=5), "replica_digest", levels, 3)[-1], 5, 3).first()["root"] == a
-    assert fixity.audit(fixity.placed(pages.limit(0))).count() == 0
-    for k in {r["file"] for r in rows}:
-        own = sorted((r for r in rows if r["file"] == k), key=lambda r: r["ordinal"])
-        assert [r["offset"] for r in own] == [sum(x["length"] for x in own[:i]) for i in range(len(own))]
-
-
 # quality
 
 
