@@ -16,18 +16,19 @@ documents hold, and pivots divide these first regions further:
    a region is its first pivot: members within the radius are linked to it and
    thereby to one another.  Regions whose members are all connected are done, and of
    regions with the same members one goes on.
-4. A region of at most ``leaf`` members is joined: pairs that are not connected, whose
-   sizes allow a link and whose parities of n-grams in a fixed number of cells differ
-   in no more places than linked sets could (each n-gram that only one set has
-   flips one place) are measured.
+4. Of a region only the members outside its largest connected part have to be compared
+   with the others.  If that is at most ``leaf`` pairs the region is joined: pairs that
+   are not connected, whose sizes allow a link and whose parities of n-grams in a fixed
+   number of cells differ in no more places than linked sets could (each n-gram that
+   only one set has flips one place) are measured.
 5. A larger region takes ``pivots`` pivots.  Distances of all members to them are
    measured.  A member's cell is that of its nearest pivot, and it is replicated to
    every cell whose pivot is no more than two radii farther (the triangle inequality:
    a member within the radius of it may have its home there).  Cells are the regions
    of the next round.
 6. Where the pivots do not divide a region, since all its members are about as far
-   from one another, it is cut into blocks of half a leaf, and each two blocks are a
-   region of the next round.  So no task ever holds a region above ``leaf``.
+   from one another, its members outside the largest part take turns, each of which
+   makes at most ``leaf`` comparisons.  So no task is ever given more than that.
 
 Nothing is sampled or capped: the order of n-grams uses counted frequencies, but
 any order gives the same links, and rounds go on until no region is open.
@@ -58,8 +59,8 @@ SIZE = 4
 PERCENT = 85
 #: Frequent n-grams that the order knows of: the bound of what is broadcast.
 FREQUENT = 1 << 16
-#: Members that a region may have to be joined; larger ones are divided.
-LEAF = 128
+#: Pairs that a region may compare to be joined; those that would compare more are divided.
+LEAF = 1 << 22
 #: Pivots of a region that is divided.
 PIVOTS = 8
 #: A division that leaves a cell with more than this share of its region is none.
@@ -278,32 +279,44 @@ def _rooted(members: DataFrame, roots: DataFrame) -> DataFrame:
     return members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
-def _differing(members: DataFrame) -> DataFrame:
-    """Members of regions that are not all connected, and of regions with the same members only one."""
+def _open(members: DataFrame) -> DataFrame:
+    """Members of regions that are not all connected, and of regions with the same members only one.
+
+    ``minor`` members are not of the largest connected part; only they have to be compared
+    with all others, in ``work`` pairs.
+    """
     low, high = (F.sum(F.xxhash64("node", F.lit(i)).cast("decimal(38,0)")) for i in (1, 2))
-    regions = members.groupBy("region").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("size"), low.alias("low"), high.alias("high")).where("least <> most")
-    return members.join(regions.groupBy("size", "low", "high").agg(F.min("region").alias("region")).select("region", "size"), "region")
+    parts = members.groupBy("region", "root").agg(F.count("*").alias("part"), low.alias("low"), high.alias("high"))
+    size = F.sum("part").alias("size")
+    regions = parts.groupBy("region").agg(size, F.max(F.struct("part", "root")).alias("main"), F.count("*").alias("parts"), F.sum("low").alias("low"), F.sum("high").alias("high")).where("parts > 1")
+    regions = regions.groupBy("size", "low", "high").agg(F.min(F.struct("region", "main")).alias("one"))
+    regions = regions.select("one.region", "size", F.col("one.main.root").alias("main"), ((F.col("size") - F.col("one.main.part")) * F.col("size")).alias("work"))
+    return members.join(regions, "region").withColumn("minor", F.col("root") != F.col("main")).drop("main")
 
 
 def leaf_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs p, q within regions of a bounded size that may link and are not connected."""
+    """Pairs p, q of a minor member and any other that may link and are not connected, region by region."""
     cells = [f"c{i}" for i in range(PARITY_WORDS)]
     rows = members.join(sets.select("node", *[F.get("parities", F.lit(i)).alias(c) for i, c in enumerate(cells)]), "node")
-    rows = staged(rows.select("region", "node", "n", "root", *cells), "leaves")
-    one, two = (rows.select("region", *[F.col(c).alias(f"{c}{i}") for c in ("node", "n", "root", *cells)]) for i in "12")
+    rows = staged(rows.select("region", "node", "n", "root", "minor", *cells), "leaves")
+    one, two = (x.select("region", *[F.col(c).alias(f"{c}{i}") for c in ("node", "n", "root", *cells)]) for i, x in (("1", rows.where("minor")), ("2", rows)))
     flips = sum((F.bit_count(F.col(f"{c}1").bitwiseXOR(F.col(f"{c}2"))) for c in cells), F.lit(0))
     alike = (100 + percent) * flips <= (100 - percent) * (F.col("n1") + F.col("n2"))
-    met = (one["region"] == two["region"]) & (F.col("node1") < F.col("node2")) & (F.col("root1") != F.col("root2")) & _size_allows(F.col("n1"), F.col("n2"), percent) & alike
+    met = (one["region"] == two["region"]) & (F.col("root1") != F.col("root2")) & _size_allows(F.col("n1"), F.col("n2"), percent) & alike
     return one.join(two, met).select(F.col("node1").alias("p"), F.col("node2").alias("q"))
 
 
 def pivots_of(members: DataFrame, pivots: int, turn: int) -> DataFrame:
-    """region and pivot: about ``pivots`` members of each region by a hash, one at least."""
-    place = F.xxhash64("node", "region", F.lit(turn))
+    """region and pivot: about twice ``pivots`` members of each region, one at least.
+
+    They are chosen by a hash of the member, so regions that are much alike have the
+    same pivots and share their distances.
+    """
+    place = F.xxhash64("node", F.lit(turn))
     share = F.least(F.lit(1.0), 2.0 * pivots / F.col("size"))
-    some = members.withColumn("place", place).where(F.pmod("place", F.lit(1 << 30)) <= share * (1 << 30))
+    some = members.where(F.pmod(place, F.lit(1 << 30)) <= share * (1 << 30))
     # should the hash spare a region, its least member serves
-    least = members.groupBy("region").agg(F.min(F.struct(place, "node"))["node"].alias("pivot"))
+    least = members.groupBy("region").agg(F.min(F.struct(place.alias("place"), "node"))["node"].alias("pivot"))
     return some.select("region", F.col("node").alias("pivot")).unionByName(least).distinct()
 
 
@@ -322,13 +335,12 @@ def voronoi(members: DataFrame, pivots: DataFrame, known: DataFrame, radius: flo
     return rows.select(F.xxhash64("region", "pivot").alias("region"), F.col("region").alias("parent"), "node", "n")
 
 
-def blocks(members: DataFrame, leaf: int) -> DataFrame:
-    """Regions cut into blocks of half a leaf; each two blocks are a region."""
-    count = F.ceil(2 * F.col("size") / leaf).cast("int")
-    rows = members.withColumn("count", count).withColumn("own", F.pmod(F.xxhash64("node", "region"), F.col("count")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("count") - 1)).alias("other")
-    rows = rows.select("region", "node", "n", "own", other)
-    return rows.select(F.xxhash64("region", F.least("own", "other"), F.greatest("own", "other")).alias("region"), "node", "n")
+def in_turns(members: DataFrame, leaf: int) -> DataFrame:
+    """Regions cut by their minor members, so that each compares its share of them with all members in about ``leaf`` pairs."""
+    count = F.ceil(F.col("work") / leaf).cast("int")
+    rows = members.withColumn("turn", F.explode(F.sequence(F.lit(0), count - 1)))
+    mine = F.pmod(F.xxhash64("node", "region"), count) == F.col("turn")
+    return rows.select(F.xxhash64("region", "turn").alias("region"), "node", "n", "root", (F.col("minor") & mine).alias("minor"))
 
 
 def joined_links(sets: DataFrame, percent: int = PERCENT, leaf: int = LEAF, pivots: int = PIVOTS) -> DataFrame:
@@ -342,22 +354,26 @@ def joined_links(sets: DataFrame, percent: int = PERCENT, leaf: int = LEAF, pivo
     members, turn = members.drop("lack"), 0
     while True:
         roots = staged(components(known.where("linked")), "roots")
-        here = staged(_differing(_rooted(members, roots)), "open-regions")
-        large = here.where(F.col("size") > leaf)
+        here = staged(_open(_rooted(members, roots)), "open-regions")
+        fits, large = here.where(F.col("work") <= leaf), here.where(F.col("work") > leaf)
         divided = large.limit(1).count() > 0
-        pairs = leaf_pairs(here.where(F.col("size") <= leaf), sets, percent)
         if divided:
             chosen = staged(pivots_of(large, pivots, turn), "pivots")
-            pairs = pairs.unionByName(large.join(chosen, "region").select(F.col("pivot").alias("p"), F.col("node").alias("q")))
-        known = known.unionByName(staged(measured(_pairs(pairs, known), sets, percent), "measured", batch_rows=SETS_AT_ONCE))
+            spokes = large.join(chosen, "region").select(F.col("pivot").alias("p"), F.col("node").alias("q"))
+            known = known.unionByName(staged(measured(_pairs(spokes, known), sets, percent), "measured", batch_rows=SETS_AT_ONCE))
+            cells = staged(voronoi(large, chosen, known, radius), "cells")
+            # regions with a cell almost as large as themselves are not divided but joined in turns
+            whole = large.groupBy("region").agg(F.first("size").alias("size")).withColumnRenamed("region", "parent")
+            stuck = staged(cells.groupBy("parent", "region").count().join(whole, "parent").where(F.col("count") > DIVIDED * F.col("size")).select("parent").distinct(), "undivided")
+            members = staged(cells.join(stuck, "parent", "left_anti").select("region", "node", "n"), "regions")
+            stuck = large.join(stuck.withColumnRenamed("parent", "region"), "region", "left_semi")
+            # the pivots have connected some of their members by now
+            stuck = _open(_rooted(stuck.select("region", "node", "n"), components(known.where("linked"))))
+            fits = fits.select("region", "node", "n", "root", "minor").unionByName(in_turns(stuck, leaf))
+        pairs = _pairs(leaf_pairs(fits, sets, percent), known)
+        known = known.unionByName(staged(measured(pairs, sets, percent), "measured", batch_rows=SETS_AT_ONCE))
         if not divided:
             return known.where("linked").select("a", "b")
-        cells = staged(voronoi(large, chosen, known, radius), "cells")
-        # regions with a cell almost as large as themselves are cut into blocks instead
-        whole = large.groupBy("region").agg(F.first("size").alias("size"))
-        stuck = cells.groupBy("parent", "region").count().join(whole.withColumnRenamed("region", "parent"), "parent").where(F.col("count") > DIVIDED * F.col("size")).select("parent").distinct()
-        rest = large.join(stuck.withColumnRenamed("parent", "region"), "region", "left_semi")
-        members = staged(cells.join(stuck, "parent", "left_anti").select("region", "node", "n").unionByName(blocks(rest, leaf)).distinct(), "regions")
         turn += 1
 
 

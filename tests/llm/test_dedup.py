@@ -120,14 +120,14 @@ def with_equal_ids(corpus):
     return [*corpus, (7, texts[0]), (7, texts[3]), (7, "alone " * 9 + "in all " * 5), (7, "one two three four five six seven"), (7, "one two three four five six seven"), (None, "no id at all but these words"), (None, "no id at all but these words"), (None, texts[0])]
 
 
-@pytest.mark.parametrize("size,percent,leaf", [(4, 85, J.LEAF), (5, 80, J.LEAF), (4, 85, 3), (5, 60, 4)])
+@pytest.mark.parametrize("size,percent,leaf", [(4, 85, J.LEAF), (5, 80, J.LEAF), (4, 85, 3), (5, 60, 9)])
 def test_jaccard_join(spark, corpus, size, percent, leaf):
     rows = with_equal_ids(corpus)
     got = J.near_duplicates(spark.createDataFrame(rows, DDL), size, percent, leaf=leaf, pivots=2).collect()
     assert sorted((tuple(r) for r in got), key=str) == brute_components(rows, size, percent)
 
 
-@pytest.mark.parametrize("leaf,pivots", [(8, 2), (16, 4)])
+@pytest.mark.parametrize("leaf,pivots", [(50, 2), (300, 4)])
 def test_join_of_near_misses(spark, leaf, pivots):
     """One region of many members just below the threshold, which pivots can't divide, and families which they can."""
     r = random.Random(5)
