@@ -1,14 +1,20 @@
 """Sharding by fixed virtual slots.
 
-Records hash into a fixed number of slots, bytes and rows are summed per slot,
-and a small versioned table says which shard holds which slot.  Version 1 deals
-the slots out in turn.  Rebalancing writes a next version that moves a few slots
-from full shards to empty ones until their bytes are near equal; records never
-hash anew.  The table has a row per slot, so it and the sums may be handled on
-the driver and broadcast at any size of the input.
-
-Null texts have no bytes; null ids are hashed like any other value.  Repeated
-rows share a slot and get places of their own.  An empty table has no rows.
+Records hash into a fixed number of slots, bytes and rows are summed per slot, and a
+small versioned table says which shard holds which slot.  Version 1 deals the slots
+out in turn.  ``rebalance`` reads the stored map, edits its last version and stores one
+more: it moves a few slots from full shards to empty ones until their bytes are near
+equal; records never hash anew, and earlier versions stay as they were.  The table has
+a row per slot, so it and the sums may be handled on the driver and broadcast at any
+size of the input.
+
+A record's slot comes from its id and its text, so rows with one id, or none, spread
+over all slots like any others; a row that is repeated
+all over the table is dealt out by the number of its copy.  Equal texts of different ids lie in different slots: the law is about bytes, not about
+keeping groups of equal texts together, and a group may be larger than a shard.
+
+Null texts have no bytes; null ids are hashed like any other value.  Repeated rows get
+places of their own.  Other columns are ignored.  An empty table has no rows.
 """
 
 from __future__ import annotations
@@ -26,20 +32,29 @@ SLOTS = 16384
 #: Rebalancing stops when the fullest and the emptiest shard differ by so much of the mean.
 TOLERANCE = 0.001
 
-MAP_SCHEMA = "version int, slot int, shard int, rows long, bytes long, first long"
-
-
-def slot_of(key: Column, slots: int = SLOTS) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(slots)).cast("int")
+MAP_SCHEMA = "version int, slot int, shard int"
 
 
 def size_of(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 8
 
 
-def slot_sums(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """slot, rows and bytes; summed before the shuffle, at most a row per slot and task."""
-    return docs.select(slot_of(F.col("doc_id"), slots).alias("slot"), size_of(F.col("text")).alias("size")).groupBy("slot").agg(F.count("*").alias("rows"), F.sum("size").alias("bytes"))
+def distinct_records(docs: DataFrame) -> DataFrame:
+    """doc_id, size, text_crc32, text hash and how many rows are equal in these; summed before the shuffle, texts don't move."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), size_of(F.col("text").cast("string")).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("text_hash"))
+    return rows.groupBy(*rows.columns).agg(F.count("*").alias("copies"))
+
+
+def slotted(records: DataFrame, slots: int = SLOTS) -> DataFrame:
+    """A row for each copy of a record with its virtual slot."""
+    copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy")
+    return records.select("doc_id", "size", "text_crc32", "text_hash", copies).withColumn("virtual_slot", F.pmod(F.xxhash64("doc_id", "text_hash", "copy"), F.lit(slots)).cast("int"))
+
+
+def slot_sums(rows: DataFrame) -> DataFrame:
+    """virtual_slot, rows and bytes; at most a row per slot and task is shuffled."""
+    return rows.groupBy("virtual_slot").agg(F.count("*").alias("rows"), F.sum("size").alias("bytes"))
 
 
 def dealt(slots: int, shards: int) -> np.ndarray:
@@ -69,34 +84,59 @@ def rebalanced(shard: np.ndarray, size: np.ndarray, shards: int, tolerance: floa
     return shard
 
 
-def map_versions(spark: SparkSession, sums: DataFrame, slots: int = SLOTS, shards: int = SHARDS) -> DataFrame:
-    """The versions of the map as a stored table: 1 dealt in turn, 2 rebalanced by bytes.
+def _version(version: int, shard: np.ndarray) -> pa.Table:
+    n = len(shard)
+    return pa.table({"version": pa.array(np.full(n, version), pa.int32()), "slot": pa.array(np.arange(n), pa.int32()), "shard": pa.array(shard, pa.int32())})
+
 
-    ``first`` is the place in its shard at which a slot's records begin.
+def new_map(spark: SparkSession, slots: int = SLOTS, shards: int = SHARDS) -> DataFrame:
+    """A stored map whose version 1 deals the slots out in turn."""
+    return staged(spark.createDataFrame(_version(1, dealt(slots, shards)), MAP_SCHEMA).coalesce(1), "slot-map")
+
+
+def latest(versions: DataFrame) -> tuple[int, np.ndarray]:
+    """The last version of a stored map: its number, and the shard of each slot."""
+    number = versions.agg(F.max("version")).first()[0]
+    rows = versions.where(F.col("version") == number).orderBy("slot").toArrow()
+    if rows["slot"].to_pylist() != list(range(len(rows))):
+        raise ValueError("a version names each slot once")
+    return number, rows["shard"].to_numpy().astype(np.int64)
+
+
+def rebalance(versions: DataFrame, sums: DataFrame, shards: int = SHARDS) -> DataFrame:
+    """The stored map with one version more, edited from its last by the bytes of each slot.
+
+    ``shards`` may be larger than before: empty shards then fill with slots of the others.
     """
+    spark = versions.sparkSession
+    number, shard = latest(versions)
     told = sums.toArrow()
-    rows, size = np.zeros(slots, np.int64), np.zeros(slots, np.int64)
-    rows[told["slot"].to_numpy()], size[told["slot"].to_numpy()] = told["rows"].to_numpy(), told["bytes"].to_numpy()
-    tables = []
-    one = dealt(slots, shards)
-    for version, shard in ((1, one), (2, rebalanced(one, size, shards))):
-        first = np.zeros(slots, np.int64)
-        for k in range(shards):
-            own = np.flatnonzero(shard == k)
-            first[own] = np.concatenate([[0], np.cumsum(rows[own])[:-1]]) if len(own) else 0
-        tables.append(pa.table({"version": pa.array(np.full(slots, version), pa.int32()), "slot": pa.array(np.arange(slots), pa.int32()), "shard": pa.array(shard, pa.int32()), "rows": rows, "bytes": size, "first": first}))
-    return staged(spark.createDataFrame(pa.concat_tables(tables), MAP_SCHEMA).coalesce(1), "slot-map")
-
-
-def sharded(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot (the place in the shard, from 0), grown_shard, virtual_slot, map_version."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    versions = map_versions(docs.sparkSession, slot_sums(docs, slots), slots, shards)
-    latest = versions.where("version = 2").select("version", F.col("slot").alias("virtual_slot"), "shard", "first")
-    rows = docs.select("doc_id", size_of(F.col("text")).alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"), slot_of(F.col("doc_id"), slots).alias("virtual_slot"))
-    place = F.row_number().over(Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size")) - 1
-    return (
-        rows.withColumn("place", place)
-        .join(F.broadcast(latest), "virtual_slot")
-        .select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("first") + F.col("place")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), F.col("virtual_slot"), F.col("version").alias("map_version"))
-    )
+    size = np.zeros(len(shard), np.int64)
+    size[told["virtual_slot"].to_numpy()] = told["bytes"].to_numpy()
+    edited = spark.createDataFrame(_version(number + 1, rebalanced(shard, size, shards)), MAP_SCHEMA)
+    return staged(versions.unionByName(edited).coalesce(1), "slot-map")
+
+
+def assigned(rows: DataFrame, sums: DataFrame, versions: DataFrame) -> DataFrame:
+    """Rows with shard, slot (their place in the shard, from 0) and map_version, by the last version of a map."""
+    number, shard = latest(versions)
+    told = sums.select("virtual_slot", "rows").toArrow()
+    count, first = np.zeros(len(shard), np.int64), np.zeros(len(shard), np.int64)
+    count[told["virtual_slot"].to_numpy()] = told["rows"].to_numpy()
+    for k in np.unique(shard):
+        own = np.flatnonzero(shard == k)
+        first[own] = np.cumsum(count[own]) - count[own]
+    held = rows.sparkSession.createDataFrame(pa.table({"virtual_slot": pa.array(np.arange(len(shard)), pa.int32()), "shard": pa.array(shard, pa.int32()), "first": first}), "virtual_slot int, shard int, first long")
+    place = F.row_number().over(Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size", "text_hash", "copy")) - 1
+    return rows.withColumn("place", place).join(F.broadcast(held), "virtual_slot").withColumns({"slot": F.col("first") + F.col("place"), "map_version": F.lit(number)}).drop("first", "place")
+
+
+def sharded(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, versions: DataFrame | None = None) -> DataFrame:
+    """doc_id, size, text_crc32, law, shard, slot (the place in the shard, from 0), grown_shard, virtual_slot, map_version.
+
+    ``versions`` is a stored map to edit; without one a new map is begun.
+    """
+    rows = slotted(staged(distinct_records(docs), "records"), slots)
+    sums = staged(slot_sums(rows), "slot-sums")
+    versions = rebalance(new_map(docs.sparkSession, slots, shards) if versions is None else versions, sums, shards)
+    return assigned(rows, sums, versions).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version")

@@ -235,6 +235,42 @@ def test_shards(spark, corpus):
     assert sharding.sharded(spark.createDataFrame([], DDL)).count() == 0
 
 
+def loads(rows, shards=24):
+    return [sum(r["size"] for r in rows if r["shard"] == k) for k in range(shards)]
+
+
+def test_law_of_bytes_on_tables(spark, medium):
+    docs = spark.read.parquet(f"{medium}/documents.parquet").select("doc_id", "text", F.lit(1).alias("size"), F.lit("x").alias("shard"))
+    rows = sharding.sharded(docs).collect()
+    load = loads(rows)
+    assert max(load) - min(load) <= 0.02 * sum(load) / 24 and len(rows) == docs.count()
+    # one id for half of the rows, one row for a third of them
+    hot = docs.select(F.when(F.col("doc_id") % 2 == 0, None).otherwise(F.col("doc_id")).alias("doc_id"), "text").unionByName(spark.range(500).select(F.lit(3).alias("doc_id"), F.lit("one and the same text " * 20).alias("text")))
+    rows = sharding.sharded(hot).collect()
+    load = loads(rows)
+    assert max(load) - min(load) <= 0.02 * sum(load) / 24 and len(rows) == hot.count()
+    for k in range(24):
+        assert sorted(r["slot"] for r in rows if r["shard"] == k) == list(range(sum(r["shard"] == k for r in rows)))
+
+
+def test_a_stored_map_is_edited(spark, medium):
+    docs = spark.read.parquet(f"{medium}/documents.parquet")
+    rows = sharding.slotted(sharding.distinct_records(docs), 512)
+    sums = sharding.slot_sums(rows)
+    versions = sharding.new_map(spark, 512, 8)
+    two = sharding.rebalance(versions, sums, 8)
+    grown = sharding.rebalance(two, sums, 9)
+    held = {v: [r["shard"] for r in grown.where(F.col("version") == v).orderBy("slot").collect()] for v in (1, 2, 3)}
+    assert held[1] == list(sharding.dealt(512, 8)) and grown.count() == 3 * 512
+    assert [r["shard"] for r in two.where("version = 2").orderBy("slot").collect()] == held[2]
+    moved = [(a, b) for a, b in zip(held[2], held[3], strict=True) if a != b]
+    assert moved and {b for _, b in moved} <= set(range(9)) and len(moved) < 512 / 4
+    last = sharding.sharded(docs, 9, 512, versions=grown).collect()
+    assert {r["map_version"] for r in last} == {4}
+    load = loads(last, 9)
+    assert max(load) - min(load) <= 0.1 * sum(load) / 9
+
+
 def test_rebalancing_moves_few_slots():
     r = np.random.default_rng(1)
     size = r.lognormal(8, 1.5, 16384).astype(np.int64)
