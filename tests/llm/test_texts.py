@@ -289,6 +289,71 @@ def test_folding(spark):
     assert [(r["conv_id"], r["turn"], r["role"], r["text"]) for r in rows] == [("c", 0, "user", "hi"), ("c", 1, "assistant", "new"), ("d", 0, "user", "A")]
 
 
+def brute_fold(log):
+    """Turns that are left, event by event."""
+    turns = {}
+    for _, turn, kind, role, text in sorted(log, key=lambda e: e[0]):
+        if kind in ("edit", "regenerate"):
+            for later in [t for t in turns if t > turn]:
+                del turns[later]
+        old = turns.get(turn, (None, ""))
+        said = {"delta": old[1] + (text or ""), "regenerate": ""}.get(kind, text or "")
+        turns[turn] = (role if kind == "message" else old[0], said)
+    return [(t, *turns[t]) for t in sorted(turns)]
+
+
+def test_random_logs(spark):
+    r = random.Random(6)
+    logs = {}
+    for c in range(60):
+        open_turns, log = [0], [(0, 0, "message", "user", "hi")]
+        for seq in range(1, r.randrange(2, 40)):
+            kind = r.choice(["delta", "delta", "message", "edit", "regenerate"])
+            turn = open_turns[-1] + 1 if kind == "message" and r.random() < 0.8 else r.choice(open_turns)
+            if kind in ("edit", "regenerate"):
+                open_turns = [t for t in open_turns if t <= turn]
+            if turn not in open_turns:
+                open_turns.append(turn)
+            log.append((seq, turn, kind, r.choice(["user", "assistant"]), r.choice(["", "a", "b c", None])))
+        logs[c] = log
+    rows = [(c, *e) for c, log in logs.items() for e in log]
+    r.shuffle(rows)
+    got = {}
+    for x in chat.reconstructed(spark.createDataFrame(rows, "conv_id int, seq int, turn int, kind string, role string, text string")).orderBy("conv_id", "turn").collect():
+        got.setdefault(x["conv_id"], []).append((x["turn"], x["role"], x["text"]))
+    assert got == {c: brute_fold(log) for c, log in logs.items()}
+
+
+def test_the_log_streams_edits_and_regenerates(spark, small):
+    conv = spark.read.parquet(f"{small}/conversations.parquet")
+    log = chat.as_log(conv, piece=20)
+    kinds = {r["kind"]: r["count"] for r in log.groupBy("kind").count().collect()}
+    assert set(kinds) == {"message", "delta", "edit", "regenerate"} and kinds["delta"] > 3 * conv.count() and min(kinds.values()) > conv.count() / 10
+    key = ["conv_id", "turn", "role", "text"]
+    want = chat.numbered(conv).select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    left = chat.reconstructed(log).select(*key)
+    assert left.exceptAll(want).count() == 0 and want.exceptAll(left).count() == 0
+
+
+def test_spans_in_code_points_and_bytes(spark):
+    conv = spark.createDataFrame([(1, i, "assistant" if i % 2 else "user", "é&<|" * i) for i in range(9)], "conv_id long, turn long, role string, text string")
+    row = chat.formatted(chat.as_log(conv)).first()
+    for k, s in enumerate(row["loss"]):
+        said = row["formatted"][s["start"] : s["start"] + s["length"]]
+        assert said == row["formatted"].encode()[s["byte_start"] : s["byte_start"] + s["byte_length"]].decode() == "é&amp;&lt;|" * (2 * k + 1)
+
+
+def test_long_conversations_take_time_by_their_length(spark):
+    took = []
+    for n in (2000, 16000):
+        df = spark.range(n).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.lit("some words " * 5).alias("text"))
+        chat.digests(df).collect()
+        began = time.perf_counter()
+        assert chat.digests(df).first()["n_turns"] == n
+        took.append(time.perf_counter() - began)
+    assert took[1] < 16 * took[0] + 2
+
+
 def test_escapes_come_back(spark):
     texts = ["", "<|end|>", "&lt;|", "&amp;lt;|", "a<", "|b", "<|turn|>user<|says|>x", INJECTION[0][3], "a&b<|", "<", "\n"]
     conv = [(1, i, "assistant" if i % 2 else "user", t) for i, t in enumerate(texts)] + [(2, 0, "user", None), (2, 0, "assistant", "x"), (2, 0, "assistant", "x"), (3, None, None, "y")]
