@@ -6,16 +6,19 @@ is kept, on the benchmark and on the documents alike.  Two texts that share
 every shared span of that length has a kept fingerprint in common, and extending
 the hits to whole windows finds all of them.
 
-The benchmark is the small side.  Its size is summed first; while it is below
-``shard_bytes`` its fingerprints are broadcast and the documents are read once,
-without a shuffle.  A larger benchmark is cut into as many shards as that bound
-asks for, and the documents pass through one shard after another in the same
-job, so no broadcast ever exceeds the bound and no document is shuffled.
+The benchmark's size is summed first.  While it is below ``broadcast_bytes`` its
+fingerprints are broadcast: the join is a look-up, and the documents are read once,
+without a shuffle.  A larger benchmark is joined by shuffles: fingerprints of documents
+meet those of items, the documents that have one in common extend it to the windows
+that hold it, and these meet the items' windows.  Only hashes are shuffled for
+documents without a common fingerprint, and nothing but lengths is brought to the
+driver.  Both ways give the same rows.
 
 Null and empty texts have no words: documents without words are clean, items
 without words match nothing.  An item with a null id still marks words but is
 not listed.  Repeated rows give repeated results.  Other columns are ignored by
-``contamination`` and kept by ``decontaminated``.
+``contamination`` and kept by ``decontaminated``, whatever their names.  Empty tables
+give empty results.
 """
 
 from __future__ import annotations
@@ -29,11 +32,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm import words as W
+from palimpsest.llm.frames import arrow_map, free_name, text_rows
+from palimpsest.llm.staging import staged
 from palimpsest.llm.workers import tidy
 
 WINDOW = 10
 GRAM = 4
-SHARD_BYTES = 16 << 20
+BROADCAST_BYTES = 16 << 20
 
 
 def winnow(grams: np.ndarray, reach: int) -> np.ndarray:
@@ -101,28 +106,14 @@ def member(values: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def match(found: W.Words, index: Index, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Marks of hit words, and pairs (document, item row) with an occurring window."""
-    hashes = found.hashes()
-    marks = np.zeros(len(hashes) + 1, np.int32)
+    marks = np.zeros(len(found.start) + 1, np.int32)
     docs, items = [], []
     owner = found.owner
     for n, prints in index.prints.items():
-        k, reach = shape(n, window, gram)
-        grams = W.windows(hashes, k)
-        kept = winnow(grams, reach) if reach > 1 else np.arange(len(grams))
-        anchors = kept[member(grams[kept], prints)[0]]
-        if not len(anchors):
-            continue
-        # extend: each window that holds an anchor, if it lies inside its document
-        starts = np.unique((anchors[:, None] - np.arange(reach)).ravel())
-        starts = starts[(starts >= 0) & (starts + n <= len(hashes))]
-        starts = starts[owner[starts] == owner[starts + n - 1]]
+        starts, hashes = windows_with(found, prints, n, gram)
         if not len(starts):
             continue
-        total = hashes[starts].copy()
-        for j in range(1, n):
-            total *= np.uint64(W._ODD)
-            total += hashes[starts + j]
-        same, at = member(W.mix(total), index.whole[n])
+        same, at = member(hashes, index.whole[n])
         starts, at = starts[same], at[same]
         np.add.at(marks, starts, 1)
         np.add.at(marks, starts + n, -1)
@@ -143,20 +134,26 @@ def spans_of(hit: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return start, end, np.searchsorted(start, first)
 
 
-def shards(benchmark: DataFrame, shard_bytes: int = SHARD_BYTES, key: str = "item_id", text: str = "text") -> list[Index]:
-    """The benchmark as indexes, each built from about ``shard_bytes`` of text at most."""
-    items = benchmark.select(F.col(key).cast("string").alias("name"), F.col(text).cast("string").alias("text")).where("text IS NOT NULL")
-    size = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
-    count = -(-size // shard_bytes)
-    out = []
-    for i in range(count):
-        part = items.where(F.pmod(F.xxhash64("text"), F.lit(count)) == i) if count > 1 else items
-        table = part.toArrow()
-        texts = table["text"].combine_chunks()
-        out.append(index_items(table["name"].to_pylist(), texts.chunk(0) if isinstance(texts, pa.ChunkedArray) else texts))
-    return out
+def item_rows(benchmark: DataFrame, key: str = "item_id", text: str = "text") -> DataFrame:
+    return benchmark.select(F.col(key).cast("string").alias("name"), F.col(text).cast("string").alias("text")).where("text IS NOT NULL")
 
 
+def windows_with(found: W.Words, prints: np.ndarray, n: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and hashes of the windows of n words inside documents that hold one of the fingerprints."""
+    hashes, owner = found.hashes(), found.owner
+    k, reach = shape(n, n, gram)
+    grams = W.windows(hashes, k)
+    kept = winnow(grams, reach) if reach > 1 else np.arange(len(grams))
+    anchors = kept[member(grams[kept], prints)[0]]
+    starts = np.unique((anchors[:, None] - np.arange(reach)).ravel())
+    starts = starts[(starts >= 0) & (starts + n <= len(hashes))]
+    starts = starts[owner[starts] == owner[starts + n - 1]] if len(starts) else starts
+    total = hashes[starts].copy()
+    for j in range(1, n):
+        total *= np.uint64(W._ODD)
+        total += hashes[starts + j]
+    return starts, W.mix(total) if n > 1 else W.windows(hashes, 1)[starts]
+
 
 def _scan(batch: pa.RecordBatch, index: Index, window: int, gram: int, text: str) -> Iterator[tuple[int, int, dict]]:
     for a, b, texts in W.slices(batch.column(batch.schema.get_field_index(text))):
@@ -171,58 +168,125 @@ def _scan(batch: pa.RecordBatch, index: Index, window: int, gram: int, text: str
         yield a, b, {"n_words": found.counts, "spans": spans, "items": pa.array(lists, pa.list_(pa.string()))}
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM, shard_bytes: int = SHARD_BYTES, text: str = "text", prefix: str = "hit_") -> DataFrame:
-    """All columns of ``docs`` and ``hit_n_words``, ``hit_spans`` (word ranges) and ``hit_items`` (sorted ids).
-
-    The new names must be free; a caller whose documents use them gives another prefix.
-    """
-    indexes = shards(benchmark, shard_bytes) or [Index()]
-    spark = docs.sparkSession
-    names = [prefix + x for x in ("n_words", "spans", "items")]
-    if clash := set(names) & set(docs.columns):
-        raise ValueError(f"columns exist already: {sorted(clash)}")
-    kinds = ("long", "array<struct<start:int,end:int>>", "array<string>")
-    out = docs.withColumns({n: F.lit(None).cast(t) for n, t in zip(names, kinds, strict=True)})
-    schema = out.schema
-    for k, index in enumerate(indexes):
-        held = spark.sparkContext.broadcast(index)
-
-        def run(batches: Iterator[pa.RecordBatch], held=held, later=bool(k)) -> Iterator[pa.RecordBatch]:
-            from pyspark.sql.pandas.types import to_arrow_schema
-
-            tidy()
-            to = to_arrow_schema(schema)
-            for batch in batches:
-                for a, b, new in _scan(batch, held.value, window, gram, text):
-                    rows = batch.slice(a, b - a)
-                    columns = {f.name: rows.column(i) for i, f in enumerate(rows.schema)}
-                    if later:
-                        new |= {"spans": _merged(columns[names[1]], new["spans"]), "items": pa.array([sorted({*x, *y}) for x, y in zip(columns[names[2]].to_pylist(), new["items"].to_pylist(), strict=True)], pa.list_(pa.string()))}
-                    columns |= {n: new[x] if isinstance(new[x], pa.Array) else pa.array(new[x], pa.int64()) for n, x in zip(names, ("n_words", "spans", "items"), strict=True)}
-                    yield pa.RecordBatch.from_arrays([columns[f.name] if columns[f.name].type == f.type else columns[f.name].cast(f.type) for f in to], schema=to)
-
-        out = out.mapInArrow(run, schema)
-    return out
-
-
-def _merged(one: pa.Array, other: pa.Array) -> pa.Array:
-    """Unions of word ranges, row by row."""
-    out = []
-    for x, y in zip(one.to_pylist(), other.to_pylist(), strict=True):
-        spans: list[list[int]] = []
-        for s in sorted([*x, *y], key=lambda s: (s["start"], s["end"])):
-            if spans and s["start"] <= spans[-1][1]:
-                spans[-1][1] = max(spans[-1][1], s["end"])
-            else:
-                spans.append([s["start"], s["end"]])
-        out.append([{"start": a, "end": b} for a, b in spans])
-    return pa.array(out, other.type)
+def broadcast_scan(docs: DataFrame, items: DataFrame, names: list[str], window: int, gram: int, text: str) -> DataFrame:
+    """The documents read once against a broadcast index of all items."""
+    told = items.toArrow()
+    texts = told["text"].combine_chunks()
+    index = index_items(told["name"].to_pylist(), texts.chunk(0) if isinstance(texts, pa.ChunkedArray) else texts, window, gram)
+    held = docs.sparkSession.sparkContext.broadcast(index)
+    schema = docs.withColumns({n: F.lit(None).cast(t) for n, t in zip(names, KINDS, strict=True)}).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        tidy()
+        to = to_arrow_schema(schema)
+        for batch in batches:
+            for a, b, new in _scan(batch, held.value, window, gram, text):
+                rows = batch.slice(a, b - a)
+                columns = {f.name: rows.column(i) for i, f in enumerate(rows.schema)}
+                columns |= {n: new[x] if isinstance(new[x], pa.Array) else pa.array(new[x], pa.int64()) for n, x in zip(names, ("n_words", "spans", "items"), strict=True)}
+                yield pa.RecordBatch.from_arrays([columns[f.name] if columns[f.name].type == f.type else columns[f.name].cast(f.type) for f in to], schema=to)
+
+    return docs.mapInArrow(run, schema)
+
+
+def item_hashes(items: DataFrame, window: int, gram: int) -> DataFrame:
+    """Fingerprints (whole false) and windows (whole true) of items: whole, n, hash, name."""
+
+    def run(batch: pa.RecordBatch) -> Iterator[dict]:
+        for a, b, texts in W.slices(batch.column("text")):
+            index = index_items(batch.column("name").slice(a, b - a).to_pylist(), texts, window, gram)
+            for n, prints in index.prints.items():
+                yield {"whole": np.zeros(len(prints), bool), "n": np.full(len(prints), n, np.int32), "hash": prints, "name": pa.nulls(len(prints), pa.string())}
+                each = np.diff(index.first[n])
+                names = pa.array([index.names[i] for i in index.rows[n].tolist()], pa.string())
+                yield {"whole": np.ones(len(names), bool), "n": np.full(len(names), n, np.int32), "hash": np.repeat(index.whole[n], each), "name": names}
+
+    return arrow_map(items, run, "whole boolean, n int, hash long, name string")
+
+
+def shuffled_hits(docs: DataFrame, items: DataFrame, window: int, gram: int) -> DataFrame:
+    """place, place2, spans and items of the documents (place, place2, text) that hold a window, joined by shuffles."""
+    hashes = staged(item_hashes(items, window, gram), "item-hashes", ["whole"])
+    prints = hashes.where("NOT whole").select("n", "hash").distinct()
+    lengths = sorted(r["n"] for r in prints.select("n").distinct().collect())  # ``window`` at most
+
+    def fingerprints(batch: pa.RecordBatch) -> Iterator[dict]:
+        for a, b, texts in W.slices(batch.column("text")):
+            found = W.split(texts, W.ALNUM, lower=True)
+            own, owner = found.hashes(), found.owner
+            for n in lengths:
+                k, reach = shape(n, n, gram)
+                grams = W.windows(own, k)
+                at = winnow(grams, reach) if reach > 1 else np.arange(len(grams))
+                at = at[owner[at] == owner[at + k - 1]]
+                pairs = np.unique(np.stack([owner[at].astype(np.uint64), grams[at]]), axis=1)
+                where = pa.array(pairs[0].astype(np.int64))
+                yield {"n": np.full(len(where), n, np.int32), "hash": pairs[1]} | {c: batch.column(c).slice(a, b - a).take(where) for c in ("place", "place2")}
+
+    def extend(batch: pa.RecordBatch) -> Iterator[dict]:
+        for a, b, texts in W.slices(batch.column("text")):
+            found = W.split(texts, W.ALNUM, lower=True)
+            own = batch.column("prints").slice(a, b - a).flatten()
+            size, value = own.field("n").to_numpy(zero_copy_only=False), own.field("hash").to_numpy(zero_copy_only=False).view(np.uint64)
+            for n in lengths:
+                starts, whole = windows_with(found, np.unique(value[size == n]), n, gram)
+                owner = found.owner[starts]
+                yield {"n": np.full(len(starts), n, np.int32), "start": starts - found.first[owner], "hash": whole} | {c: batch.column(c).slice(a, b - a).take(pa.array(owner)) for c in ("place", "place2")}
+
+    def runs(batch: pa.RecordBatch) -> Iterator[dict]:
+        spans = []
+        for windows in batch.column("windows").to_pylist():
+            row: list[dict] = []
+            for w in sorted(windows, key=lambda w: (w["start"], w["n"])):
+                if row and w["start"] <= row[-1]["end"]:
+                    row[-1]["end"] = max(row[-1]["end"], w["start"] + w["n"])
+                else:
+                    row.append({"start": w["start"], "end": w["start"] + w["n"]})
+            spans.append(row)
+        yield {"spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))} | {c: batch.column(c) for c in ("place", "place2", "items")}
+
+    place = ["place", "place2"]
+    met = arrow_map(docs, fingerprints, "place long, place2 long, n int, hash long").join(prints, ["n", "hash"], "left_semi")
+    met = met.groupBy(place).agg(F.collect_set(F.struct("n", "hash")).alias("prints"))
+    near = docs.dropDuplicates(place).join(met, place)
+    windows = arrow_map(near, extend, "place long, place2 long, n int, start int, hash long")
+    hits = windows.join(hashes.where("whole").select("n", "hash", "name"), ["n", "hash"]).groupBy(place).agg(F.collect_set(F.struct("start", "n")).alias("windows"), F.array_sort(F.collect_set("name")).alias("items"))
+    return arrow_map(hits, runs, "place long, place2 long, spans array<struct<start:int,end:int>>, items array<string>")
+
+
+def shuffled_scan(docs: DataFrame, items: DataFrame, names: list[str], window: int, gram: int, text: str) -> DataFrame:
+    own = docs.columns
+    place, place2 = free_name("place", docs), free_name("place2", docs)
+    said = F.col(text).cast("string")
+    placed = docs.withColumns({place: F.xxhash64(said), place2: F.xxhash64(said, F.lit(1))})
+    hits = shuffled_hits(placed.select(F.col(place).alias("place"), F.col(place2).alias("place2"), said.alias("text")), items, window, gram)
+    hits = hits.select(F.col("place").alias(place), F.col("place2").alias(place2), F.col("spans").alias(names[1]), F.col("items").alias(names[2]))
+    lower = F.translate(F.coalesce(said, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    n_words = F.regexp_count(lower, F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")).cast("long")
+    rows = placed.join(hits, [place, place2], "left")
+    return rows.select(*[F.col(f"`{c}`") for c in own], n_words.alias(names[0]), F.coalesce(names[1], F.array().cast(KINDS[1])).alias(names[1]), F.coalesce(names[2], F.array().cast(KINDS[2])).alias(names[2]))
+
+
+KINDS = ("long", "array<struct<start:int,end:int>>", "array<string>")
+
+
+def hit_names(docs: DataFrame) -> list[str]:
+    """Names of the columns that ``scan`` adds: ``hit_n_words``, ``hit_spans`` and ``hit_items``, with underscores if taken."""
+    return [free_name(f"hit_{x}", docs) for x in ("n_words", "spans", "items")]
+
+
+def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM, broadcast_bytes: int = BROADCAST_BYTES, text: str = "text") -> DataFrame:
+    """All columns of ``docs``, the number of words, hit spans (word ranges) and hit items (sorted ids), named by ``hit_names``."""
+    items = item_rows(benchmark)
+    size = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
+    way = broadcast_scan if size <= broadcast_bytes else shuffled_scan
+    return way(docs, items, hit_names(docs), window, gram, text)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans and items of every document."""
-    from palimpsest.llm.frames import text_rows
-
     rows = scan(text_rows(docs), benchmark, **options)
     hit = F.aggregate("hit_spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
     return rows.select(
@@ -239,7 +303,4 @@ def contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """Documents without any shared window, with the columns of ``docs``."""
-    return scan(docs, benchmark, **options).where(F.size("hit_spans") == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
-
-
-__all__ = ["Index", "contamination", "decontaminated", "index_items", "match", "scan", "shards", "winnow"]
+    return scan(docs, benchmark, **options).where(F.size(hit_names(docs)[1]) == 0).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -208,16 +208,24 @@ def brute_hits(docs, items, window=10):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("shard", [D.SHARD_BYTES, 150])
-def test_decontamination(spark, corpus, shard):
+@pytest.mark.parametrize("bound", [D.BROADCAST_BYTES, 0])
+def test_decontamination(spark, corpus, bound):
     docs = [*corpus, (3000, "x W1, w2 w3 w4 w5 w6 w7 w8 w9 w10 w11-w12 y"), (3001, "a short. one b short, one"), (3002, " ".join(f"w{i}" for i in range(30, 40))), (3003, "w1 w2 w3 w4 w5 w6 w7 w8 w9 z w10")]
-    got = D.contamination(spark.createDataFrame(docs, DDL), spark.createDataFrame(ITEMS, "item_id long, text string"), shard_bytes=shard).drop("spans", "items").collect()
+    got = D.contamination(spark.createDataFrame(docs, DDL), spark.createDataFrame(ITEMS, "item_id long, text string"), broadcast_bytes=bound).drop("spans", "items").collect()
     assert sorted((tuple(r) for r in got), key=str) == brute_hits(docs, ITEMS)
 
 
-def test_decontaminated_keeps_columns(spark):
-    docs = spark.createDataFrame([(1, "short one", "k"), (2, "clean", "n"), (3, None, "z")], "doc_id long, text string, items string")
+def test_both_ways_give_the_same_rows(spark, small):
+    docs, items = spark.read.parquet(f"{small}/documents.parquet"), spark.read.parquet(f"{small}/benchmark.parquet")
+    one, two = (sorted(map(str, D.contamination(docs, items, broadcast_bytes=b).collect())) for b in (D.BROADCAST_BYTES, 0))
+    assert one == two and "contaminated=True" in " ".join(one)
+
+
+@pytest.mark.parametrize("bound", [D.BROADCAST_BYTES, 0])
+def test_decontaminated_keeps_columns(spark, bound):
+    docs = spark.createDataFrame([(1, "short one", "k", 1, "a", 7), (2, "clean", "n", 2, "b", 7), (3, None, "z", 3, "c", 7)], "doc_id long, text string, items string, hit_spans int, hit_items string, place int")
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
-    assert sorted(r["doc_id"] for r in D.decontaminated(docs, items).collect()) == [2, 3]
-    assert D.decontaminated(docs, items.limit(0)).count() == 3
-    assert D.contamination(docs.limit(0), items).count() == 0
+    kept = D.decontaminated(docs, items, broadcast_bytes=bound)
+    assert kept.columns == docs.columns and sorted(map(tuple, kept.collect())) == [(2, "clean", "n", 2, "b", 7), (3, None, "z", 3, "c", 7)]
+    assert D.decontaminated(docs, items.limit(0), broadcast_bytes=bound).count() == 3
+    assert D.contamination(docs.limit(0), items, broadcast_bytes=bound).count() == 0
