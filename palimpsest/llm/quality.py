@@ -3,11 +3,12 @@
 The statistics of a document are counted on its bytes in one pass (words, code
 points, symbols, repeated lines, repeated three-word windows, ...).  Two hard
 rules reject first; what they let through is judged by boosted trees that were
-fitted to labelled documents and flattened into node arrays.  More symbols, more
-repeated lines and more repeated words can only lower a score.
+fitted to labelled documents and flattened into node arrays.  All other features
+equal, a higher rate of symbols, of bars, of repeated lines or of repeated words can
+only lower a score; a change of a text moves other features too.
 
-Fitting takes at most ``sample`` labelled rows (chosen by a hash of the id), a
-bound that does not grow with the input.  Statistics and verdicts cover every
+Fitting takes at most ``sample`` labelled documents (chosen by a hash of the id) of at
+most ``sample_bytes`` in all, bounds that do not grow with the input.  Statistics and verdicts cover every
 document whole, without a shuffle.  Null and empty texts have zero statistics
 and fail the base rules.  Repeated rows give repeated results.  Without usable
 labels the forest has no trees and passes all that the base rules pass.
@@ -24,17 +25,19 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm import words as W
 from palimpsest.llm.boosting import Forest, fit
-from palimpsest.llm.frames import arrow_map, text_rows
+from palimpsest.llm.frames import arrow_map, free_name, labelled_sample, text_rows
 from palimpsest.llm.workers import tidy
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
+#: Bounds of what the trees are fitted to: documents, and bytes of their texts, of which only features reach the driver.
 SAMPLE = 8192
+SAMPLE_BYTES = 1 << 30
 KEEP_AT = 0.5
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 FEATURES = ("log_words", "word_length", "symbol_rate", "dup_line_rate", "repeat_rate", "upper_rate", "digit_rate", "mark_rate", "line_words", "distinct_rate", "short_rate", "long_rate", "bar_rate", "bang_rate")
-MONOTONE = np.array([0, 0, -1, -1, -1, 0, 0, 0, 0, 0, 0, 0, 0, 0])
+MONOTONE = np.array([0, 0, -1, -1, -1, 0, 0, 0, 0, 0, 0, 0, -1, 0])
 
 _LINES = W.byte_class(separators=b"\n")
 
@@ -131,13 +134,9 @@ def statistics(texts: pa.Array) -> tuple[dict[str, np.ndarray], np.ndarray]:
     return counts, x
 
 
-def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Forest:
-    """A forest for ``labels.quality``, from at most about ``sample`` labelled documents."""
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id IS NOT NULL AND quality IN (0, 1)")
-    total = known.count()
-    share = min(1.0, sample / max(1, total))
-    few = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).limit(2 * sample)
-    rows = text_rows(docs).where("doc_id IS NOT NULL").join(F.broadcast(few), "doc_id")
+def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Forest:
+    """A forest for ``labels.quality``, from at most ``sample`` labelled documents of ``sample_bytes`` in all."""
+    rows = labelled_sample(docs, labels, "quality", sample, sample_bytes)
 
     def features(batch: pa.RecordBatch) -> Iterator[dict]:
         for a, b, texts in W.slices(batch.column("text")):
@@ -171,7 +170,16 @@ def quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFra
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """The documents that the rules keep, with the columns of ``docs``; no join, no shuffle."""
+    """The documents that the rules keep, with the columns of ``docs``; no join, no shuffle.
+
+    Other columns come along, whatever their names and types; a text of another type is
+    read as a string.
+    """
+    kinds = dict(docs.dtypes)
+    if kinds["text"] != "string":
+        said = free_name("text_said", docs)
+        kept = good_documents(docs.withColumnsRenamed({"text": said}).withColumn("text", F.col(said).cast("string")), labels, sample)
+        return kept.drop("text").withColumnRenamed(said, "text").select(*docs.columns)
     forest = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels, sample))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,8 +7,8 @@ pools its states, and a logistic unit scores the window.  A document scores as
 its worst window, so all of it is read and length does not thin out an insult.
 
 The network is trained in numpy on the driver, on at most ``sample`` labelled
-documents whose crc32(doc_id as text) mod 5 is not 0, in a multiple-instance
-way: of each document the window that scores highest is learned from.  Only text
+documents of at most ``sample_bytes`` in all, whose crc32(doc_id as text) mod 5 is
+not 0, in a multiple-instance way: of each document the window that scores highest is learned from.  Only text
 goes in.  Scoring covers every document whole, without a shuffle; distinct words
 of a slice are projected once.  Null and empty texts have one empty window and
 score what the network gives to no words.  Repeated rows repeat.  Without usable
@@ -26,9 +26,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm import words as W
-from palimpsest.llm.frames import arrow_map, text_rows
+from palimpsest.llm.frames import arrow_map, labelled_sample, text_rows
 
+#: Bounds of what the network is trained on, on the driver: documents, and bytes of their texts.
 SAMPLE = 4096
+SAMPLE_BYTES = 32 << 20
 WINDOW, STRIDE = 16, 8
 WORD_ROWS, GRAM_ROWS, INPUT, HIDDEN = 1 << 14, 1 << 14, 12, 8
 BATCH = 4096
@@ -236,20 +238,16 @@ def train(texts: list[str], y: np.ndarray, epochs: int = 5, rate: float = 0.01,
     return net
 
 
-def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network:
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id")))
-    total = known.count()
-    share = min(1.0, sample / max(1, total))
-    few = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).limit(2 * sample)
-    rows = text_rows(docs).where("doc_id IS NOT NULL").join(F.broadcast(few), "doc_id").select("doc_id", "text", "toxic").toArrow()
+def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Network:
+    rows = labelled_sample(docs, labels, "toxic", sample, sample_bytes, ~held_out(F.col("doc_id"))).toArrow()
     order = np.argsort(rows["doc_id"].to_numpy(), kind="stable")
     texts = rows["text"].to_pylist()
     return train([texts[i] or "" for i in order], rows["toxic"].to_numpy()[order].astype(float))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
     """doc_id, held_out, score and predicted of every document."""
-    net = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels, sample))
+    net = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels, sample, sample_bytes))
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
         for a, b, texts in W.slices(batch.column("text")):

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm import boosting, bpe, chat, html_blocks, quality, sharding, toxicity
 from palimpsest.llm.examples import _drawn, labelled_pages
+from palimpsest.llm.frames import labelled_sample
 from palimpsest.llm.queries import INJECTION, tokenizer_path
 from tests.llm.conftest import words
 
@@ -385,6 +386,87 @@ def test_base_counts(spark, corpus):
     assert all(r["kept"] == (not r["base_failed"]) for r in got)
 
 
+def brute_features(text):
+    """The features of the trees, one by one."""
+    text = text or ""
+    w, chars = words(text), "".join(words(text))
+    lines = [x for x in text.split("\n") if words(x)]
+    grams = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+    seen = {g: grams.count(g) for g in set(grams)} if len(grams) < 3000 else {}
+    covered = {i + k for i, g in enumerate(grams) if seen.get(g, 1) > 1 for k in range(3)}
+    n, letters, rows = max(1, len(w)), max(1, len(chars)), max(1, len(lines))
+    count = lambda p: len(re.findall(p, text))
+    size = [len(x.encode()) for x in w]
+    return [np.log1p(len(w)), len(chars) / n, count(r"[#*$%&|<>]") / letters, (len(lines) - len(set(lines))) / rows, len(covered) / n, count("[A-Z]") / letters, count("[0-9]") / letters, count("[.,;:?]") / n, len(w) / rows, len(set(w)) / n, sum(x <= 2 for x in size) / n, sum(x >= 12 for x in size) / n, count(r"\|") / n, count("!") / n]
+
+
+def test_verdicts_against_a_walk_of_the_trees(spark, medium):
+    docs, labels = spark.read.parquet(f"{medium}/documents.parquet"), spark.read.parquet(f"{medium}/labels.parquet")
+    extra = spark.createDataFrame([(-1, None), (-2, ""), (-3, "| # Short."), (-4, "A | b ! 12 é, " * 30)], DDL)
+    forest = quality.fitted(docs, labels)
+    texts = {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").where("length(text) < 4000").unionByName(extra).collect()}
+
+    def walk(x, at):
+        while forest.left[at] != at:
+            at = forest.left[at] if x[forest.feature[at]] <= forest.threshold[at] else forest.right[at]
+        return forest.value[at]
+
+    rows = quality.quality(docs.select("doc_id", "text").unionByName(extra), labels, quality.SAMPLE).where(F.col("doc_id").isin(list(texts))).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        x = brute_features(texts[r["doc_id"]])
+        score = 1 / (1 + np.exp(-np.clip(forest.base + sum(walk(x, root) for root in forest.roots), -40, 40)))
+        assert abs(score - r["score"]) < 1e-9 and r["kept"] == (not r["base_failed"] and score >= 0.5)
+
+
+def test_rates_only_lower_scores(spark, medium):
+    docs, labels = spark.read.parquet(f"{medium}/documents.parquet"), spark.read.parquet(f"{medium}/labels.parquet")
+    forest = quality.fitted(docs, labels)
+    x = np.array([brute_features(r["text"]) for r in docs.where("length(text) < 4000").limit(200).collect()])
+    for name in ("symbol_rate", "dup_line_rate", "repeat_rate", "bar_rate"):
+        more = x.copy()
+        more[:, quality.FEATURES.index(name)] += 0.2
+        assert (forest.margin(more) <= forest.margin(x) + 1e-9).all()
+
+
+def test_samples_are_bounded_and_the_same(spark):
+    docs = spark.createDataFrame([(i % 50, "x" * (i % 7)) for i in range(400)] + [(60, "y" * 500), (61, None)], DDL)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(62)] + [(3, 0), (None, 1), (4, None), (5, 7), (9, 1)], "doc_id long, toxic int")
+    take = lambda d, n, b: sorted(map(tuple, labelled_sample(d, labels, "toxic", n, b).collect()))
+    rows = take(docs, 20, 10**6)
+    assert len(rows) == len({r[0] for r in rows}) <= 20 and 3 not in {r[0] for r in take(docs, 99, 10**6)} and 9 in {r[0] for r in take(docs, 99, 10**6)}
+    assert rows == take(docs.repartition(7), 20, 10**6)
+    assert sum(len(t or "") for _, t, _ in take(docs, 99, 60)) <= 60
+    assert toxicity.fitted(docs.limit(0), labels).p["o"].any() == False  # noqa: E712
+
+
+def test_rules_with_nulls_other_types_and_names(spark):
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    good = " ".join(f"word{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, good, 1, "a"), (1, good, 1, "a"), (None, good, 2, None), (2, None, 3, "b"), (3, "", 4, "c")], "doc_id int, text string, score int, kept string")
+    kept = quality.good_documents(docs, labels)
+    assert kept.columns == docs.columns and sorted(map(str, kept.collect())) == sorted(map(str, docs.limit(3).collect()))
+    assert quality.good_documents(docs.limit(0), labels).count() == 0 and quality.quality(docs.limit(0), labels).count() == 0
+    other = docs.withColumn("text", F.col("text").cast("binary"))
+    assert quality.good_documents(other, labels).dtypes == other.dtypes and quality.good_documents(other, labels).count() == 3
+
+
+def test_toxicity_of_long_repeated_and_missing_texts(spark, medium):
+    labels = spark.read.parquet(f"{medium}/labels.parquet")
+    docs = spark.read.parquet(f"{medium}/documents.parquet")
+    net = toxicity.fitted(docs, labels)
+    long = " ".join(f"w{i}" for i in range(30_000))
+    texts = ["", None, "a", long, long + " the end", "a"]
+    score = net.scores(pa.array(texts, pa.large_string()))
+    assert len(score) == 6 and score[2] == score[5] and score[0] == score[1] and score[4] >= score[3] - 1e-6
+    # by brute force: the worst of all windows, each scored alone
+    for t in texts[:4]:
+        w = (t or "").split()[:400]
+        alone = net.scores(pa.array([" ".join(w[i : i + toxicity.WINDOW]) for i in range(0, max(1, len(w) - toxicity.WINDOW + toxicity.STRIDE), toxicity.STRIDE)], pa.large_string()))
+        assert abs(alone.max() - net.scores(pa.array([" ".join(w)], pa.large_string()))[0]) < 1e-5
+    assert toxicity.toxicity(docs.limit(0), labels).count() == 0
+
+
 def test_forest_is_monotone_and_learns():
     r = np.random.default_rng(0)
     x = r.random((2000, 3))
