@@ -199,28 +199,45 @@ def merged(entities: DataFrame, relations: DataFrame, mapping: DataFrame) -> tup
 
 
 def settled_mapping(mapping: DataFrame, depth: int = 8) -> DataFrame:
-    """old, new with chains (a to b, b to c) followed: each round doubles the length that is followed."""
+    """old, new with chains (a to b, b to c) followed: each round doubles the length that is followed.
+
+    ``depth`` doublings follow chains of 2 ** depth merges.  Longer ones, and circles, fail
+    when the mapping is read rather than stop half-way.
+    """
     now = mapping.select("old", "new").distinct()
     for _ in range(depth):
         step = now.select(F.col("old").alias("new"), F.col("new").alias("_next"))
         now = now.join(step, "new", "left").select("old", F.coalesce("_next", "new").alias("new"))
-    return now.where("old <> new")
+    more = mapping.select(F.col("old").alias("new"), F.lit(True).alias("_more")).distinct()
+    now = now.where("old <> new").join(more, "new", "left")
+    late = F.col("_more").isNotNull()
+    return now.select("old", F.when(late, F.raise_error(F.lit("a chain of merges does not end"))).otherwise(F.col("new")).alias("new"))
 
 
 def similar_names(entities: DataFrame, least: float = SAME_NAME) -> DataFrame:
     """a, b, similarity: pairs of entities of a type whose names overlap so far in letter pairs.
 
-    Names that are that similar share a letter pair among the first few in any
-    order, so pairs are found by an equi-join on these, not by comparing all.
+    Names that are that similar share a letter pair among the first few in any order,
+    so pairs are found by an equi-join on these, not by comparing all.  The order puts
+    pairs of letters that few names have first, so a stem that all names share brings
+    nobody together.  Lengths that forbid the similarity are left out of the join, and a
+    pair is compared in one place only: under the first letter pair that both offer.
     """
     low = F.lower(F.trim("name"))
-    grams = F.array_sort(T.bigrams(low))
+    grams = T.bigrams(low)
+    rows = entities.where(F.length(low) > 0).select("id", low.alias("name"), "entity_type", grams.alias("grams"), F.size(grams).alias("size"))
+    each = rows.select("id", "entity_type", F.explode("grams").alias("gram"))
+    often = each.groupBy("entity_type", "gram").agg(F.count("*").alias("often"))
+    ranked = each.join(often, ["entity_type", "gram"]).groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("often", "gram"))), lambda g: g["gram"]).alias("ranked"))
     # 2c / (x + y) >= t needs c >= t / (2 - t) * x: the others may be missing
-    need = F.ceil(least / (2 - least) * F.size(grams))
-    rows = entities.where(F.length(low) > 0).select("id", "name", "entity_type", F.explode(F.slice(grams, F.lit(1), F.size(grams) - need + 1)).alias("gram"))
-    a, b = (rows.select(F.col("id").alias(x), F.col("name").alias(f"name_{x}"), "entity_type", "gram") for x in "ab")
-    pairs = a.join(b, ["entity_type", "gram"]).where("a < b").select("a", "b", "name_a", "name_b").distinct()
-    return pairs.withColumn("similarity", F.round(T.dice(F.col("name_a"), F.col("name_b")), 6)).where(F.col("similarity") >= least)
+    need = F.ceil(F.lit(least / (2 - least)) * F.col("size") - 1e-9)
+    rows = rows.join(ranked, "id").withColumn("offered", F.slice("ranked", F.lit(1), (F.col("size") - need + 1).cast("int"))).drop("ranked")
+    a, b = (rows.select(*[F.col(c).alias(f"{c}_{x}") for c in ("id", "name", "grams", "size", "offered")], "entity_type", F.explode("offered").alias("gram")) for x in "ab")
+    fits = (F.col("id_a") < F.col("id_b")) & (least * (F.col("size_a") + F.col("size_b")) <= 2 * F.least("size_a", "size_b") + 1e-9)
+    first = F.get(F.array_intersect("offered_a", "offered_b"), F.lit(0)) == F.col("gram")
+    pairs = a.join(b, ["entity_type", "gram"]).where(fits & first)
+    dice = F.when(F.col("name_a") == F.col("name_b"), 1.0).otherwise(2.0 * F.size(F.array_intersect("grams_a", "grams_b")) / (F.col("size_a") + F.col("size_b")))
+    return pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), F.round(dice, 6).alias("similarity"), "entity_type").where(F.col("similarity") >= least)
 
 
 def same_parents(relations: DataFrame, predicates: tuple[str, ...] = ("father", "mother")) -> DataFrame:
@@ -260,7 +277,7 @@ def pets_merged(entities: DataFrame, relations: DataFrame) -> tuple[DataFrame, D
 # components
 
 
-def components(entities: DataFrame, relations: DataFrame, rounds: int = 40) -> DataFrame:
+def components(entities: DataFrame, relations: DataFrame, rounds: int = 200) -> DataFrame:
     """id, component: the least id that relations reach; entities without relations are their own.
 
     Rounds of joins on the edges until nothing changes, each cut off by a checkpoint
@@ -280,8 +297,8 @@ def components(entities: DataFrame, relations: DataFrame, rounds: int = 40) -> D
         changed = step.where("component <> _before").limit(1).count()
         now = step.select("id", "component")
         if not changed:
-            break
-    return now
+            return now
+    raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
 def connectivity(components: DataFrame) -> DataFrame:

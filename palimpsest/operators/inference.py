@@ -96,37 +96,58 @@ def multi_hops(relations: DataFrame, cap: int | None = CAP) -> DataFrame:
     return _capped(rows, cap, own)
 
 
-def unknown(rows: DataFrame, existing: DataFrame) -> DataFrame:
-    """Without triples that are there already, explicit or inferred."""
-    return rows.join(existing.select(*G.RELATION), G.RELATION, "left_anti")
+STAGES = ("in_law", "co_parent", "reverse_in_law", "multi_hop")
+
+
+def _all_pairs(base: DataFrame) -> DataFrame:
+    """What the three rule families on one subject's relations say, each triple once a stage; one join for all rules."""
+    families = {"in_law": L.IN_LAW_RULES, "co_parent": {("father", "mother"): "married_to"}, "reverse_in_law": L.REVERSE_IN_LAW_RULES}
+    rules = [(a, b, c, stage, FACTORS[stage]) for stage, family in families.items() for (a, b), c in family.items()]
+    rules = base.sparkSession.createDataFrame(rules, "p1 string, p2 string, predicate string, stage string, factor double")
+    a, b = _two(base)
+    pairs = a.join(b, F.col("subject_id_1") == F.col("subject_id_2")).where("object_id_1 <> object_id_2")
+    pairs = pairs.join(F.broadcast(rules), (F.col("predicate_1") == F.col("p1")) & (F.col("predicate_2") == F.col("p2")))
+    confidence = F.round(F.least("confidence_1", "confidence_2") * F.col("factor"), 6).alias("confidence")
+    return pairs.select(F.col("object_id_1").alias("subject_id"), "predicate", F.col("object_id_2").alias("object_id"), confidence, "stage", "seq_1", "seq_2")
 
 
 def full(entities: DataFrame, relations: DataFrame, gate: float | None = GATE, cap: int | None = CAP) -> DataFrame:
     """All that one pass of the four rules adds: subject_id, predicate, object_id, confidence, stage.
 
     Rules fire on the gated explicit relations only; whether a triple is new is asked
-    of all relations and of what earlier rules have added.  There is no fixpoint.
-    ``cap`` bounds the multi-hop triples of each user_id, if relations have it.
+    of all explicit relations and of what earlier rules have added.  There is no
+    fixpoint.  ``cap`` bounds the multi-hop triples of each user_id, if relations have it.
+
+    The gated relations are written once.  All rules' triples and the explicit relations
+    then meet by their two ends: a triple stays in its first stage, and a marriage only
+    if nothing explicit and no in-law is known between the two.
     """
-    known = G.explicit(relations).select(*G.RELATION)
-    base = gated(entities, relations, gate)
-    out = None
-    for stage in ("in_law", "co_parent", "reverse_in_law", "multi_hop"):
-        if stage == "in_law":
-            rows = in_laws(base)
-        elif stage == "co_parent":
-            rows = co_parents(base, known)
-        elif stage == "reverse_in_law":
-            rows = reverse_in_laws(base)
+    from palimpsest.sources.tables import checkpointed
+
+    own = _own(relations)
+    base = checkpointed(gated(entities, relations, gate).select("subject_id", "predicate", "object_id", "confidence", "seq", *own))
+    extra = {"start": "long", **{c: dict(relations.dtypes)[c] for c in own}}
+    none = [F.lit(None).cast(t).alias(c) for c, t in extra.items()]
+    hops = multi_hops(base, None).select(*_OUT, "seq_1", "seq_2", *extra)
+    pairs = _all_pairs(base).select(*_OUT, "seq_1", "seq_2", *none)
+    explicit = G.explicit(relations).select(*G.RELATION, F.lit(0.0).alias("confidence"), F.lit("explicit").alias("stage"), F.lit(0).cast("long").alias("seq_1"), F.lit(0).cast("long").alias("seq_2"), *none)
+    rows = pairs.unionByName(hops).unionByName(explicit)
+    ends = [F.least("subject_id", "object_id"), F.greatest("subject_id", "object_id")]
+    rows = rows.withColumns({"_low": ends[0], "_high": ends[1], "_stage": F.array_position(F.array(*[F.lit(x) for x in ("explicit", *STAGES)]), F.col("stage"))})
+    between = Window.partitionBy("_low", "_high")
+    same = Window.partitionBy("_low", "_high", *G.RELATION).orderBy("_stage", "seq_1", "seq_2")
+    rows = rows.withColumn("_known", F.min("_stage").over(between)).where("stage <> 'co_parent' OR _known > 2")
+    rows = rows.withColumn("_n", F.row_number().over(same)).where("_n = 1 AND stage <> 'explicit'")
+    if cap is not None:
+        # the cap counts only what multi-hop rules add
+        order = ["start", "seq_1", "seq_2", "object_id", "subject_id", "predicate"]
+        if own:
+            nth = F.row_number().over(Window.partitionBy(*own, "stage").orderBy(*order))
+            rows = rows.withColumn("_n", nth).where((F.col("stage") != "multi_hop") | (F.col("_n") <= cap))
         else:
-            rows = multi_hops(base, None)
-        rows = unknown(rows, known)
-        if stage == "multi_hop":
-            rows = _capped(rows, cap, _own(relations))
-        rows = rows.select(*_OUT)
-        out = rows if out is None else out.unionByName(rows)
-        known = known.unionByName(rows.select(*G.RELATION))
-    return out
+            hop = rows.where("stage = 'multi_hop'").orderBy(*order[:4]).limit(cap)
+            return rows.where("stage <> 'multi_hop'").select(*_OUT).unionByName(hop.select(*_OUT))
+    return rows.select(*_OUT)
 
 
 def of_user(relations: DataFrame, user_id: Column) -> DataFrame:
