@@ -198,20 +198,20 @@ def merged(entities: DataFrame, relations: DataFrame, mapping: DataFrame) -> tup
     return entities.join(settled.select(F.col("old").alias("id")), "id", "left_anti"), repointed(relations, settled)
 
 
-def settled_mapping(mapping: DataFrame, depth: int = 8) -> DataFrame:
-    """old, new with chains (a to b, b to c) followed: each round doubles the length that is followed.
+def settled_mapping(mapping: DataFrame, rounds: int = 60) -> DataFrame:
+    """old, new with chains (a to b, b to c) followed to their ends: each round doubles the length that is followed.
 
-    ``depth`` doublings follow chains of 2 ** depth merges.  Longer ones, and circles, fail
-    when the mapping is read rather than stop half-way.
+    Rounds go on while an end is itself merged, each written once; a circle of merges fails.
     """
-    now = mapping.select("old", "new").distinct()
-    for _ in range(depth):
+    from palimpsest.sources.tables import checkpointed
+
+    now = checkpointed(mapping.select("old", "new").where("old <> new").distinct())
+    for _ in range(rounds):
         step = now.select(F.col("old").alias("new"), F.col("new").alias("_next"))
-        now = now.join(step, "new", "left").select("old", F.coalesce("_next", "new").alias("new"))
-    more = mapping.select(F.col("old").alias("new"), F.lit(True).alias("_more")).distinct()
-    now = now.where("old <> new").join(more, "new", "left")
-    late = F.col("_more").isNotNull()
-    return now.select("old", F.when(late, F.raise_error(F.lit("a chain of merges does not end"))).otherwise(F.col("new")).alias("new"))
+        if not now.join(step, "new", "left_semi").limit(1).count():
+            return now
+        now = checkpointed(now.join(step, "new", "left").select("old", F.coalesce("_next", "new").alias("new")))
+    raise RuntimeError("a chain of merges does not end")
 
 
 def similar_names(entities: DataFrame, least: float = SAME_NAME) -> DataFrame:
