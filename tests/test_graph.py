@@ -106,28 +106,6 @@ def test_greedy_merge_against_a_plain_model(spark):
     assert got == {(k, "drop") for k in gone} | {(k, "keep") for k in kept - gone}
 
 
-@pytest.mark.parametrize(
-    "text,must,must_not",
-    [
-        ("My mother Renee and my sister Dilys came to visit", {("user", "mother", "Renee"), ("user", "sister", "Dilys")}, {("Renee", "sister", "Dilys")}),
-        ("My elder sister's name is Dora", {("user", "sister", "Dora")}, set()),
-        ("my wife's father is Emil", {("user", "father_in_law", "Emil")}, {("user", "wife", "Emil"), ("user", "father", "Emil")}),
-        ("I work at Northmill and I live in Lyon.", {("user", "works_at", "Northmill"), ("user", "lives_in", "Lyon")}, set()),
-        ("If it rains, my plans change", set(), {("user", "father", "If")}),
-        ("Otto is my father in law", {("user", "father_in_law", "Otto")}, {("user", "father", "Otto")}),
-    ],
-)
-def test_extraction(text, must, must_not):
-    from palimpsest import lexicon as L
-
-    got = set(X.triples_of(text, X.patterns(), frozenset(L.invalid_names())))
-    assert must <= got and not (must_not & got)
-
-
-def test_extraction_of_nothing(spark):
-    assert X.extracted(spark.createDataFrame([(1, None), (2, "")], "text_id int, text string")).count() == 0
-
-
 def test_symbolic_answers_have_no_upper_bound(spark):
     e, r = graph(spark, ["Uwe"] + [f"S{i}" for i in range(9)], [("Uwe", "sister", f"S{i}", 1.0) for i in range(9)])
     asked = spark.createDataFrame([(1, 0, "sister", "count"), (2, 0, "wife", "boolean"), (3, 0, "sister", "single_hop")], "question_id int, subject_id int, predicate string, mode string")
