@@ -39,22 +39,28 @@ def free_name(name: str, *frames: DataFrame) -> str:
     return name
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, sample: int, sample_bytes: int, where: Column | None = None) -> DataFrame:
-    """doc_id, text and ``label`` of at most ``sample`` labelled documents with at most ``sample_bytes`` of text in all.
+def labelled_ids(labels: DataFrame, label: str, sample: int, where: Column | None = None) -> DataFrame:
+    """doc_id and ``label`` of at most ``sample`` ids: those with the least hashes among all that have one label, 0 or 1.
 
-    The ids are those with the least hashes among all that have one label, 0 or 1, so
-    the choice is the same at every partitioning.  Of rows that share an id one counts;
-    texts come whole, in the order of the hashes, as far as the bytes reach.
+    The choice is the same at every partitioning.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias(label)).where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1))
     if where is not None:
         known = known.where(where)
     known = known.groupBy("doc_id").agg(F.min(label).alias(label), F.max(label).alias("most")).where(F.col(label) == F.col("most"))
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    few = known.select("doc_id", label).orderBy(*order).limit(sample)
+    return known.select("doc_id", label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, sample: int, sample_bytes: int, where: Column | None = None) -> DataFrame:
+    """doc_id, text and ``label`` of at most ``sample`` labelled documents with at most ``sample_bytes`` of text in all.
+
+    Of rows that share an id one counts; texts come whole, in the order of the ids'
+    hashes, as far as the bytes reach.
+    """
+    few = labelled_ids(labels, label, sample, where)
     rows = text_rows(docs).where(F.col("doc_id").isNotNull() & (F.coalesce(F.octet_length("text"), F.lit(0)) <= sample_bytes)).join(F.broadcast(few), "doc_id")
     rows = rows.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("place"), "text"))["text"].alias("text"), F.first(label).alias(label))
-    upto = F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(Window.orderBy(*order))
+    upto = F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))
     return rows.withColumn("upto", upto).where(F.col("upto") <= sample_bytes).drop("upto")
 
 

@@ -7,8 +7,8 @@ fitted to labelled documents and flattened into node arrays.  All other features
 equal, a higher rate of symbols, of bars, of repeated lines or of repeated words can
 only lower a score; a change of a text moves other features too.
 
-Fitting takes at most ``sample`` labelled documents (chosen by a hash of the id) of at
-most ``sample_bytes`` in all, bounds that do not grow with the input.  Statistics and verdicts cover every
+Fitting takes at most ``sample`` labelled documents (chosen by a hash of the id), a
+bound that does not grow with the input.  Statistics and verdicts cover every
 document whole, without a shuffle.  Null and empty texts have zero statistics
 and fail the base rules.  Repeated rows give repeated results.  Without usable
 labels the forest has no trees and passes all that the base rules pass.
@@ -25,14 +25,13 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm import words as W
 from palimpsest.llm.boosting import Forest, fit
-from palimpsest.llm.frames import arrow_map, free_name, labelled_sample, text_rows
+from palimpsest.llm.frames import arrow_map, free_name, labelled_ids, text_rows
 from palimpsest.llm.workers import tidy
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-#: Bounds of what the trees are fitted to: documents, and bytes of their texts, of which only features reach the driver.
+#: Labelled documents that the trees are fitted to at most; only their features reach the driver.
 SAMPLE = 8192
-SAMPLE_BYTES = 1 << 30
 KEEP_AT = 0.5
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -134,16 +133,22 @@ def statistics(texts: pa.Array) -> tuple[dict[str, np.ndarray], np.ndarray]:
     return counts, x
 
 
-def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Forest:
-    """A forest for ``labels.quality``, from at most ``sample`` labelled documents of ``sample_bytes`` in all."""
-    rows = labelled_sample(docs, labels, "quality", sample, sample_bytes)
+def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Forest:
+    """A forest for ``labels.quality``, from at most ``sample`` labelled documents.
+
+    Features are counted where texts are read; texts are neither shuffled nor collected.
+    Of rows that share an id one counts.
+    """
+    few = labelled_ids(labels, "quality", sample)
+    rows = text_rows(docs).where("doc_id IS NOT NULL").join(F.broadcast(few), "doc_id").withColumn("place", F.xxhash64("text"))
 
     def features(batch: pa.RecordBatch) -> Iterator[dict]:
         for a, b, texts in W.slices(batch.column("text")):
             _, x = statistics(texts)
-            yield {"doc_id": batch.column("doc_id").slice(a, b - a), "quality": batch.column("quality").slice(a, b - a), "x": pa.array(list(x), pa.list_(pa.float64()))}
+            yield {"x": pa.array(list(x), pa.list_(pa.float64()))} | {c: batch.column(c).slice(a, b - a) for c in ("doc_id", "place", "quality")}
 
-    table = arrow_map(rows.select("doc_id", "text", "quality"), features, "doc_id long, quality int, x array<double>").toArrow()
+    counted = arrow_map(rows.select("doc_id", "text", "place", "quality"), features, "doc_id long, place long, quality int, x array<double>")
+    table = counted.groupBy("doc_id").agg(F.min(F.struct("place", "x"))["x"].alias("x"), F.first("quality").alias("quality")).toArrow()
     order = np.argsort(table["doc_id"].to_numpy(), kind="stable")
     x = np.array(table["x"].to_pylist(), float).reshape(-1, len(FEATURES))[order]
     return fit(x, table["quality"].to_numpy().astype(float)[order], MONOTONE)
