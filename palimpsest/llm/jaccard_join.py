@@ -17,8 +17,9 @@ documents hold, and pivots divide these first regions further:
    thereby to one another.  Regions whose members are all connected are done, and of
    regions with the same members one goes on.
 4. Of a region only the members outside its largest connected part have to be compared
-   with the others.  If that is at most ``leaf`` pairs the region is joined: pairs that
-   are not connected, whose sizes allow a link and whose parities of n-grams in a fixed
+   with the others.  Pivots out of these are compared with all others, again and again,
+   while that connects them.  If what is left is at most ``leaf`` pairs the region is
+   joined: pairs that are not connected, whose sizes allow a link and whose parities of n-grams in a fixed
    number of cells differ in no more places than linked sets could (each n-gram that
    only one set has flips one place) are measured.
 5. A larger region takes ``pivots`` pivots.  Distances of all members to them are
@@ -41,6 +42,7 @@ set, link with nothing and are their own component.  Repeated rows repeat.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -67,6 +69,8 @@ PIVOTS = 8
 DIVIDED = 0.75
 #: Pairs of sets that a worker holds at once.
 SETS_AT_ONCE = 1024
+#: Regions that a member knows as its first.
+FIRST_REGIONS = 16
 #: 64-bit words of the parities that a set is told apart by.
 PARITY_WORDS = 16
 
@@ -295,25 +299,31 @@ def _open(members: DataFrame) -> DataFrame:
 
 
 def leaf_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs p, q of a minor member and any other that may link and are not connected, region by region."""
+    """Pairs p, q of a minor member and any other that may link and are not connected, region by region.
+
+    Sets that share many n-grams meet in many regions (``base``).  Each member knows the
+    first of its own; a pair is told in the first that both know, in all if there is none.
+    """
     cells = [f"c{i}" for i in range(PARITY_WORDS)]
-    rows = members.join(sets.select("node", *[F.get("parities", F.lit(i)).alias(c) for i, c in enumerate(cells)]), "node")
-    rows = staged(rows.select("region", "node", "n", "root", "minor", *cells), "leaves")
-    one, two = (x.select("region", *[F.col(c).alias(f"{c}{i}") for c in ("node", "n", "root", *cells)]) for i, x in (("1", rows.where("minor")), ("2", rows)))
+    own = members.select("node", "base").distinct().groupBy("node").agg(F.slice(F.array_sort(F.collect_list("base")), 1, FIRST_REGIONS).alias("known"))
+    rows = members.join(sets.select("node", *[F.get("parities", F.lit(i)).alias(c) for i, c in enumerate(cells)]), "node").join(own, "node")
+    rows = staged(rows.select("region", "base", "node", "n", "root", "minor", "known", *cells), "leaves")
+    one, two = (x.select("region", *[F.col(c).alias(f"{c}{i}") for c in ("base", "node", "n", "root", "known", *cells)]) for i, x in (("1", rows.where("minor")), ("2", rows)))
     flips = sum((F.bit_count(F.col(f"{c}1").bitwiseXOR(F.col(f"{c}2"))) for c in cells), F.lit(0))
     alike = (100 + percent) * flips <= (100 - percent) * (F.col("n1") + F.col("n2"))
-    met = (one["region"] == two["region"]) & (F.col("root1") != F.col("root2")) & _size_allows(F.col("n1"), F.col("n2"), percent) & alike
+    common = F.get(F.array_intersect("known1", "known2"), F.lit(0))
+    met = (one["region"] == two["region"]) & (F.col("root1") != F.col("root2")) & _size_allows(F.col("n1"), F.col("n2"), percent) & alike & (F.coalesce(common, F.col("base1")) == F.col("base1"))
     return one.join(two, met).select(F.col("node1").alias("p"), F.col("node2").alias("q"))
 
 
 def pivots_of(members: DataFrame, pivots: int, turn: int) -> DataFrame:
-    """region and pivot: about twice ``pivots`` members of each region, one at least.
+    """region and pivot: about twice ``pivots`` of the members (of ``count``) of each region, one at least.
 
     They are chosen by a hash of the member, so regions that are much alike have the
     same pivots and share their distances.
     """
     place = F.xxhash64("node", F.lit(turn))
-    share = F.least(F.lit(1.0), 2.0 * pivots / F.col("size"))
+    share = F.least(F.lit(1.0), 2.0 * pivots / F.col("count"))
     some = members.where(F.pmod(place, F.lit(1 << 30)) <= share * (1 << 30))
     # should the hash spare a region, its least member serves
     least = members.groupBy("region").agg(F.min(F.struct(place.alias("place"), "node"))["node"].alias("pivot"))
@@ -335,12 +345,33 @@ def voronoi(members: DataFrame, pivots: DataFrame, known: DataFrame, radius: flo
     return rows.select(F.xxhash64("region", "pivot").alias("region"), F.col("region").alias("parent"), "node", "n")
 
 
+def _starred(members: DataFrame, sets: DataFrame, known: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Open regions, and what is known once pivots out of their minor members have been compared with all others.
+
+    Each round connects what is near its pivots, so dense parts of a region cost a few
+    comparisons for each member, not one for each pair.  Rounds go on as long as they
+    connect a sixteenth of the minor members or more.
+    """
+    before = None
+    for turn in itertools.count(1):
+        roots = staged(components(known.where("linked")), "roots")
+        here = staged(_open(_rooted(members, roots)), "open-regions")
+        left = here.where("minor").count()
+        if not left or (before is not None and 16 * left > 15 * before):
+            return here, known
+        before = left
+        chosen = pivots_of(here.where("minor").withColumn("count", F.col("work") / F.col("size")), 1, turn)
+        chosen = chosen.withColumnRenamed("pivot", "node").join(here.select("region", "node", "n", "root"), ["region", "node"]).select("region", F.col("node").alias("p"), F.col("n").alias("n_p"), F.col("root").alias("root_p"))
+        spokes = here.join(staged(chosen, "pivots"), "region").where((F.col("root") != F.col("root_p")) & _size_allows(F.col("n"), F.col("n_p"), percent)).select("p", F.col("node").alias("q"))
+        known = known.unionByName(staged(measured(_pairs(spokes, known), sets, percent), "measured", batch_rows=SETS_AT_ONCE))
+
+
 def in_turns(members: DataFrame, leaf: int) -> DataFrame:
     """Regions cut by their minor members, so that each compares its share of them with all members in about ``leaf`` pairs."""
     count = F.ceil(F.col("work") / leaf).cast("int")
     rows = members.withColumn("turn", F.explode(F.sequence(F.lit(0), count - 1)))
     mine = F.pmod(F.xxhash64("node", "region"), count) == F.col("turn")
-    return rows.select(F.xxhash64("region", "turn").alias("region"), "node", "n", "root", (F.col("minor") & mine).alias("minor"))
+    return rows.select(F.xxhash64("region", "turn").alias("region"), F.col("region").alias("base"), "node", "n", "root", (F.col("minor") & mine).alias("minor"))
 
 
 def joined_links(sets: DataFrame, percent: int = PERCENT, leaf: int = LEAF, pivots: int = PIVOTS) -> DataFrame:
@@ -351,14 +382,14 @@ def joined_links(sets: DataFrame, percent: int = PERCENT, leaf: int = LEAF, pivo
     first = F.min(F.struct("lack", F.xxhash64("node").alias("place"), "node", "n")).alias("first")
     starred = members.join(members.groupBy("region").agg(first), "region").where(_size_allows(F.col("n"), F.col("first")["n"], percent))
     known = staged(measured(_pairs(starred.select(F.col("first")["node"].alias("p"), F.col("node").alias("q")), None), sets, percent), "measured", batch_rows=SETS_AT_ONCE)
-    members, turn = members.drop("lack"), 0
+    members, turn = members.drop("lack"), 0  # turns of Voronoi pivots
     while True:
-        roots = staged(components(known.where("linked")), "roots")
-        here = staged(_open(_rooted(members, roots)), "open-regions")
+        here, known = _starred(members, sets, known, percent)
         fits, large = here.where(F.col("work") <= leaf), here.where(F.col("work") > leaf)
+        fits = fits.select("region", F.col("region").alias("base"), "node", "n", "root", "minor")
         divided = large.limit(1).count() > 0
         if divided:
-            chosen = staged(pivots_of(large, pivots, turn), "pivots")
+            chosen = staged(pivots_of(large.withColumn("count", F.col("size")), pivots, turn), "pivots")
             spokes = large.join(chosen, "region").select(F.col("pivot").alias("p"), F.col("node").alias("q"))
             known = known.unionByName(staged(measured(_pairs(spokes, known), sets, percent), "measured", batch_rows=SETS_AT_ONCE))
             cells = staged(voronoi(large, chosen, known, radius), "cells")
@@ -369,7 +400,7 @@ def joined_links(sets: DataFrame, percent: int = PERCENT, leaf: int = LEAF, pivo
             stuck = large.join(stuck.withColumnRenamed("parent", "region"), "region", "left_semi")
             # the pivots have connected some of their members by now
             stuck = _open(_rooted(stuck.select("region", "node", "n"), components(known.where("linked"))))
-            fits = fits.select("region", "node", "n", "root", "minor").unionByName(in_turns(stuck, leaf))
+            fits = fits.unionByName(in_turns(stuck, leaf))
         pairs = _pairs(leaf_pairs(fits, sets, percent), known)
         known = known.unionByName(staged(measured(pairs, sets, percent), "measured", batch_rows=SETS_AT_ONCE))
         if not divided:
