@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,7 +43,8 @@ def similar_pairs(vectors: DataFrame, threshold: float, block_rows: int = 2048,
 
     Vectors (id, embedding) are dealt into blocks of about ``block_rows`` rows and
     each pair of blocks is one matrix product in one task, so memory is bounded by
-    two blocks and only pairs above the threshold leave it.  Vectors without
+    two blocks and only pairs above the threshold leave it.  It is quadratic by its
+    nature: vectors at such thresholds leave no room for pruning.  Vectors without
     length, null vectors and null ids have no pairs.
     """
     rows = vectors.where("id IS NOT NULL AND embedding IS NOT NULL")
@@ -53,10 +55,14 @@ def similar_pairs(vectors: DataFrame, threshold: float, block_rows: int = 2048,
     def product(part: pa.Table) -> pa.Table:
         ids, own = part["id"].to_numpy(), part["own"].to_numpy()
         x, y = part["x"][0].as_py(), part["y"][0].as_py()
-        lists = part["embedding"].to_pylist()
-        width = max(map(len, lists))
-        fits = np.array([len(v) == width for v in lists])
-        m = np.array([v if len(v) == width else [0.0] * width for v in lists], np.float64)
+        lists = part["embedding"].combine_chunks()
+        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+        sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+        width = int(sizes.max())
+        fits = sizes == width
+        m = np.zeros((len(lists), width))
+        m[fits] = lists.filter(pa.array(fits)).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+        m[~np.isfinite(m).all(1)] = 0
         n = np.linalg.norm(m, axis=1)
         m /= np.maximum(n, 1e-300)[:, None]
         use = fits & (n > 0)

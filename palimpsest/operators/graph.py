@@ -65,6 +65,35 @@ def network(entities: DataFrame, relations: DataFrame) -> DataFrame:
     return nodes.unionByName(links)
 
 
+def newest(entities: DataFrame) -> DataFrame:
+    """All entities, the newest first."""
+    return entities.orderBy(F.desc("seq"), F.desc("id"))
+
+
+def for_prompt(entities: DataFrame, relations: DataFrame, names: int = 30, facts: int = 40) -> DataFrame:
+    """part, pos, line: what a model is told of a graph: the first names by the alphabet and the first explicit relations.
+
+    An end that is not among the names is told by its id.
+    """
+    first = entities.orderBy("name", "id").limit(names)
+    e = first.select(F.lit(0).alias("part"), (F.row_number().over(Window.orderBy("name", "id")) - 1).alias("pos"), F.concat("name", F.lit(" ("), "entity_type", F.lit(")")).alias("line"))
+    some = explicit(relations).orderBy("seq").limit(facts)
+    told = first.select("id", "name")
+    some = some.join(told.select(F.col("id").alias("subject_id"), F.col("name").alias("s")), "subject_id", "left").join(told.select(F.col("id").alias("object_id"), F.col("name").alias("o")), "object_id", "left")
+    line = F.concat(F.coalesce("s", F.col("subject_id").cast("string")), F.lit(" --"), "predicate", F.lit("--> "), F.coalesce("o", F.col("object_id").cast("string")))
+    r = some.select(F.lit(1).alias("part"), (F.row_number().over(Window.orderBy("seq")) - 1).alias("pos"), line.alias("line"))
+    return e.unionByName(r)
+
+
+def corrections_since(corrections: DataFrame, since: Column) -> DataFrame:
+    """One row: how many corrections (created_at) are younger than a moment."""
+    return corrections.where(F.col("created_at") > since).agg(F.count("*").alias("corrections"))
+
+
+def corrections_in_order(corrections: DataFrame) -> DataFrame:
+    return corrections.select("sentence", "subject_name", "predicate", "object_name", "is_positive", "created_at", "seq").orderBy("created_at", "seq").drop("created_at", "seq")
+
+
 # inserts and deletes
 
 

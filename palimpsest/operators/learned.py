@@ -7,14 +7,17 @@ numpy group; texts are classified by Spark's own pipeline.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from palimpsest.functions import text as T
 from palimpsest.functions import vector as V
 from palimpsest.operators import memory as M
 from palimpsest.operators import propagation as P
+from palimpsest.shipping import ship
 from palimpsest.sources.tables import checkpointed
 
 DIM, MARGIN, RATE, EPOCHS, CORRUPTED = 32, 1.0, 0.01, 200, 5
@@ -119,8 +122,17 @@ def tails(heads: DataFrame, vectors: DataFrame, k: int = PER_RELATION) -> DataFr
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*own, "s", "p").orderBy("distance", "o"))).where(F.col("rank") <= k).select(*own, "s", "p", "o", "distance", "rank")
 
 
+def predicates_between(pairs: DataFrame, vectors: DataFrame, k: int = 5) -> DataFrame:
+    """s, o, p, distance, rank: the predicates nearest to what leads from s to o, for pairs (s, o); predicates are few."""
+    own = _own(pairs)
+    e, q = vectors.where("kind = 'entity'"), vectors.where("kind = 'predicate'")
+    rows = pairs.join(e.select(*own, F.col("n").alias("s"), F.col("vector").alias("vs")), [*own, "s"]).join(e.select(*own, F.col("n").alias("o"), F.col("vector").alias("vo")), [*own, "o"])
+    rows = rows.join(q.select(*own, F.col("n").alias("p"), F.col("vector").alias("vp")), own or None).withColumn("distance", F.round(distance(F.col("vs"), F.col("vp"), F.col("vo")), 6))
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*own, "s", "o").orderBy("distance", "p"))).where(F.col("rank") <= k).select(*own, "s", "o", "p", "distance", "rank")
+
+
 def predicted(triples: DataFrame, vectors: DataFrame, accept: str = "near", k: int = PER_RELATION) -> DataFrame:
-    """s, p, o, confidence of new links; ``accept`` near takes those within the limit, reference those beyond it.
+    """s, p, o, confidence of new links; ``accept`` near takes those within the limit, far those beyond it.
 
     Graphs with few triples give none.  With a user_id each user is a graph.
     """
@@ -136,7 +148,7 @@ def predicted(triples: DataFrame, vectors: DataFrame, accept: str = "near", k: i
 
 def typed(links: DataFrame, types: DataFrame, allowed: DataFrame) -> DataFrame:
     """Links (s, p, o) whose end has a type (n, entity_type) that the predicate allows (p, entity_type)."""
-    return links.join(types.withColumnsRenamed({"n": "o"}), "o").join(F.broadcast(allowed), ["p", "entity_type"], "left_semi").select(*links.columns)
+    return links.join(types.withColumnsRenamed({"n": "o"}), "o").join(allowed, ["p", "entity_type"], "left_semi").select(*links.columns)
 
 
 def reciprocal_rank(ranks: DataFrame) -> DataFrame:
@@ -211,7 +223,7 @@ def term_vectors(texts: DataFrame, size: int = 512) -> DataFrame:
 
 def embedded_once(texts: DataFrame, embed) -> DataFrame:
     """text, embedding: each distinct text goes to the callable once."""
-    import pandas as pd
+    ship(texts.sparkSession)
 
     @F.pandas_udf("array<float>")
     def call(column: pd.Series) -> pd.Series:
@@ -220,6 +232,12 @@ def embedded_once(texts: DataFrame, embed) -> DataFrame:
     return texts.join(texts.select("text").distinct().withColumn("embedding", call("text")), "text", "left")
 
 
+def token_vectors(texts: DataFrame, embed) -> DataFrame:
+    """id, pos, token, embedding of every word of texts (id, text); each distinct word goes to the callable once."""
+    tokens = texts.select("id", F.posexplode(T.words(F.col("text"))).alias("pos", "text"))
+    return tokens.join(embedded_once(tokens.select("text").distinct(), embed), "text").select("id", "pos", F.col("text").alias("token"), "embedding")
+
+
 def pooled(tokens: DataFrame) -> DataFrame:
     """id, embedding: the mean of the vectors (id, pos, vector, mask) of tokens that count."""
     rows = tokens.where("mask").select("id", F.posexplode(V.as_double(F.col("vector"))).alias("d", "x"))
@@ -237,4 +255,4 @@ def spans_of_tags(tags: DataFrame) -> DataFrame:
 
 def templated(templates: DataFrame, words: DataFrame) -> DataFrame:
     """text, label: every template with every word of its slot; both tables are word lists."""
-    return templates.join(F.broadcast(words), "slot").select(F.replace("template", F.lit("{}"), F.col("word")).alias("text"), "label")
+    return templates.join(words, "slot").select(F.replace("template", F.lit("{}"), F.col("word")).alias("text"), "label")

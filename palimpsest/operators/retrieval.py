@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from palimpsest.functions import vector as V
 from palimpsest.operators import graph as G
 from palimpsest.operators import memory as M
+from palimpsest.shipping import ship
 
 #: Weights of similarity, activation, graph and resting boost.
 WEIGHTS = (0.42, 0.33, 0.18, 0.07)
@@ -16,14 +21,59 @@ DEFAULT_ACTIVATION, PRIORITY_ACTIVATION = 0.1, 0.3
 STATES, ACTIVE = 30, 0.01
 
 
-def mentions(texts: DataFrame, entities: DataFrame, least: int = 1) -> DataFrame:
+#: Bytes of names that one automaton holds; more names take more passes over the texts.
+NAME_BYTES = 8 << 20
+
+
+def mentions(texts: DataFrame, entities: DataFrame, least: int = 1, name_bytes: int = NAME_BYTES) -> DataFrame:
     """text_id, id: texts that hold an entity's name anywhere, names longer than ``least`` letters.
 
-    A name may stand inside a word, so no token join finds it; the names are the
-    small side and Spark broadcasts them by their size.
+    A name may stand inside a word, so no token join finds it.  The names are put into
+    automata of a bounded size, which are broadcast, and each text is read once for each
+    automaton, whatever the number of names.  Null texts and null names name nothing.
     """
-    names = entities.where(F.length("name") > least).select("id", F.lower("name").alias("_name"))
-    return texts.withColumn("_low", F.lower("text")).join(names, F.contains(F.col("_low"), F.col("_name"))).select("text_id", "id")
+    names = entities.where(F.length("name") > least).select("id", F.lower("name").alias("name"))
+    size = names.agg(F.sum(F.octet_length("name") + 16)).first()[0] or 0
+    parts = max(1, -(-size // name_bytes))
+    ship(texts.sparkSession)
+    low = texts.where("text IS NOT NULL").select("text_id", F.lower("text").alias("text"))
+    kind, id_kind = dict(texts.dtypes)["text_id"], dict(entities.dtypes)["id"]
+    out = None
+    for part in range(parts):
+        own = names.where(F.pmod(F.xxhash64("name"), F.lit(parts)) == part) if parts > 1 else names
+        found = _named(low, own, f"text_id {kind}, id {id_kind}")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _named(texts: DataFrame, names: DataFrame, schema: str) -> DataFrame:
+    """Texts (text_id, text) against names (id, name) that fit into one automaton, in lower case both."""
+    told = names.toArrow()
+    ids: dict[str, list] = {}
+    for i, n in zip(told["id"].to_pylist(), told["name"].to_pylist(), strict=True):
+        ids.setdefault(n, []).append(i)
+    held = texts.sparkSession.sparkContext.broadcast(ids)
+    fields = StructType.fromDDL(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        to = to_arrow_schema(fields)
+        automaton = ahocorasick.Automaton()
+        for name, own in held.value.items():
+            automaton.add_word(name, own)
+        if len(automaton):
+            automaton.make_automaton()
+        for batch in batches:
+            one, two = [], []
+            for text_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if len(automaton) else ():
+                for i in sorted({i for _, own in automaton.iter(text) for i in own}):
+                    one.append(text_id)
+                    two.append(i)
+            yield pa.RecordBatch.from_arrays([pa.array(one, to[0].type), pa.array(two, to[1].type)], schema=to)
+
+    return texts.mapInArrow(run, fields)
 
 
 def co_mentioned(mentioned: DataFrame) -> DataFrame:

@@ -255,3 +255,27 @@ def retrain_points(corrections: DataFrame, batch: int = 3) -> DataFrame:
     """Every ``batch``-th correction of a user, at which a model is trained again."""
     n = F.row_number().over(Window.partitionBy("user_id").orderBy("seq"))
     return corrections.withColumn("n", n).where(F.col("n") % batch == 0)
+
+
+def recent_lines(turns: DataFrame, turns_back: int = 6, letters: int = 100) -> DataFrame:
+    """session_id, recent: the last messages (turn, role, text) of each session, cut, as a model is shown them."""
+    back = F.row_number().over(Window.partitionBy("session_id").orderBy(F.desc("turn"), F.desc("role"), F.desc("text")))
+    rows = turns.withColumn("_n", back).where(F.col("_n") <= turns_back)
+    line = F.concat(F.when(F.col("role") == "user", "User: ").otherwise("Assistant: "), F.substring(F.coalesce("text", F.lit("")), 1, letters))
+    return rows.groupBy("session_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("_n")).alias("at"), line.alias("line")))), lambda x: x["line"]), "\n").alias("recent"))
+
+
+def first_observations(observations: DataFrame, most: int = 5) -> DataFrame:
+    """pattern_key, shown: the first observations (observation, seq) of each pattern, as a model is shown them."""
+    place = F.row_number().over(Window.partitionBy("pattern_key").orderBy("seq"))
+    rows = observations.withColumn("_n", place).where(F.col("_n") <= most)
+    return rows.groupBy("pattern_key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", F.concat(F.lit("- "), "observation").alias("line")))), lambda x: x["line"]), "\n").alias("shown"))
+
+
+def correction_pairs(messages: DataFrame) -> DataFrame:
+    """text_id, sentence, subject_name, predicate, object_name, is_positive: the first relation between named ones that a correction (text_id, text) tells."""
+    from palimpsest.operators import extraction as X
+
+    rows = X.extracted(messages).where(F.col("subject") != X.USER)
+    first = rows.withColumn("_n", F.row_number().over(Window.partitionBy("text_id").orderBy("pos"))).where("_n = 1")
+    return first.join(messages.select("text_id", F.col("text").alias("sentence")), "text_id").select("text_id", "sentence", F.col("subject").alias("subject_name"), "predicate", F.col("object").alias("object_name"), F.lit(True).alias("is_positive"))

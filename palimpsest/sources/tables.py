@@ -69,11 +69,14 @@ def training_lines(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.to_json(F.struct(F.array(message("user", "question"), message("assistant", "answer")).alias("messages"))).alias("value"))
 
 
-def profile(rules: DataFrame, clusters: DataFrame, priority: DataFrame, entities: DataFrame, relations: DataFrame, most: int = 100) -> DataFrame:
-    """One row: the rules, clusters, priority memories and graph of a user as nested lists of at most ``most`` rows each."""
+def profile(rules: DataFrame, clusters: DataFrame, priority: DataFrame, entities: DataFrame, relations: DataFrame) -> DataFrame:
+    """One row: the rules, clusters, priority memories and graph of one user as nested lists, all of them.
+
+    The tables are one user's; a profile is one value, so it has to fit into one.
+    """
 
     def listed(df: DataFrame, name: str, order: str) -> DataFrame:
-        return df.orderBy(order).limit(most).agg(F.array_sort(F.collect_list(F.struct(*df.columns))).alias(name))
+        return df.agg(F.array_sort(F.collect_list(F.struct(order, *[c for c in df.columns if c != order]))).alias(name))
 
     parts = [listed(rules, "rules", "pattern_key"), listed(clusters, "clusters", "id"), listed(priority, "priority_memories", "id"), listed(entities, "entities", "id"), listed(relations, "relations", "id")]
     out = parts[0]
@@ -112,3 +115,40 @@ def labelled_texts(rows: DataFrame, label_map: dict[str, str], shortest: int = 5
     """Texts of a length in letters, their labels mapped; others go."""
     pairs = F.create_map(*[F.lit(x) for p in label_map.items() for x in p])
     return rows.where(F.length("text").between(shortest, longest)).withColumn("label", F.element_at(pairs, F.col("label"))).where("label IS NOT NULL")
+
+
+def latest_snapshot(spark: SparkSession, root: str, name: str, version: int | None = None) -> DataFrame:
+    """A version of a table, by default the last."""
+    rows = spark.read.parquet(f"{root}/{name}")
+    if version is None:
+        version = rows.agg(F.max("version")).first()[0]
+    return rows.where(F.col("version") == version).drop("version")
+
+
+def unit_vectors(memories: DataFrame) -> DataFrame:
+    """id, embedding of live memories at unit length: what a vector search reads, made anew from the table."""
+    from palimpsest.functions import vector as V
+
+    unit = V.normalised(F.col("embedding"))
+    return memories.where("NOT is_suppressed").select("id", unit.alias("embedding")).where("embedding IS NOT NULL")
+
+
+def indexed(index: DataFrame, added: DataFrame, removed: DataFrame) -> DataFrame:
+    """The index after memories were added (or changed) and ids removed, without reading the others anew."""
+    new = unit_vectors(added)
+    stay = index.join(new.select("id").unionByName(added.where("is_suppressed").select("id")).unionByName(removed.select("id")).distinct(), "id", "left_anti")
+    return stay.unionByName(new.join(removed.select("id").distinct(), "id", "left_anti"))
+
+
+def save_model(spark: SparkSession, arrays: dict[str, np.ndarray], path: str) -> None:
+    """A model's arrays as a table of flat values with their shapes, so that any executor can read it."""
+    rows = [(k, list(v.shape), np.asarray(v, float).ravel().tolist()) for k, v in sorted(arrays.items())]
+    spark.createDataFrame(rows, "name string, shape array<int>, value array<double>").coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def load_model(spark: SparkSession, path: str) -> dict[str, np.ndarray] | None:
+    """The arrays of a saved model, or nothing if there is none: a caller then does without it."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        return None
+    return {r["name"]: np.array(r["value"]).reshape(r["shape"]) for r in spark.read.parquet(path).collect()}

@@ -73,8 +73,9 @@ def watched(turns: DataFrame, expiring: bool = True) -> DataFrame:
 
 
 def habits(turns: DataFrame) -> DataFrame:
-    """pattern_key, observations, sessions of a stream, without any state of our own."""
-    return S.patterns(turns).groupBy("pattern_key").agg(F.count("*").alias("observations"), F.approx_count_distinct("session_id").alias("sessions"))
+    """pattern_key, observations, sessions of a stream, exactly: the sessions of a pattern are kept as a set in its state."""
+    counts = S.patterns(turns).groupBy("pattern_key").agg(F.count("*").alias("observations"), F.collect_set("session_id").alias("_in"))
+    return counts.select("pattern_key", "observations", F.size("_in").cast("long").alias("sessions"))
 
 
 def counted_events(events: DataFrame, late: str = "10 minutes", window: str = "1 hour") -> DataFrame:
