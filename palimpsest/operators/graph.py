@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from palimpsest import lexicon as L
 from palimpsest.functions import text as T
+from palimpsest.functions import vector as V
 
 SAME_NAME = 0.75
 RELATION = ["subject_id", "predicate", "object_id"]
@@ -361,3 +362,18 @@ def bridges(components: DataFrame, degree: DataFrame, shared: DataFrame, similar
     every = one.unionByName(two).unionByName(three)
     best = F.row_number().over(Window.partitionBy("component").orderBy("p", "s", "a", "b"))
     return every.withColumn("_n", best).where("_n = 1").select("a", "b", F.lit("related_to").alias("predicate"), "confidence", "kind")
+
+
+def bridge_candidates(components: DataFrame, vectors: DataFrame, hubs: int = 20) -> DataFrame:
+    """a, b, sim: of each entity outside the largest component the most similar among its first ``hubs`` entities.
+
+    The hubs are a fixed number, so this is a look-up and not a join of all with all.
+    """
+    sizes = components.groupBy("component").agg(F.count("*").alias("n"))
+    main = sizes.orderBy(F.desc("n"), "component").limit(1).select(F.col("component").alias("main"))
+    rows = components.join(vectors.select("id", "embedding"), "id").join(F.broadcast(main))
+    own = rows.where("component = main").orderBy("id").limit(hubs).select(F.col("id").alias("b"), F.col("embedding").alias("vb"))
+    pairs = rows.where("component <> main").select(F.col("id").alias("a"), F.col("embedding").alias("va")).join(F.broadcast(own))
+    sim = F.round(V.cosine(F.col("va"), F.col("vb")), 6)
+    best = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("sim"), "b"))
+    return pairs.select("a", "b", sim.alias("sim")).withColumn("_n", best).where("_n = 1").drop("_n")

@@ -9,10 +9,11 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from palimpsest import lexicon as L
 from palimpsest.functions import text as T
 from palimpsest.functions import vector as V
 from palimpsest.operators import memory as M
@@ -211,6 +212,38 @@ def classifier(features: int = 1 << 12, iterations: int = 30, weights: str | Non
     return Pipeline(stages=[RegexTokenizer(inputCol="text", outputCol="tokens", pattern=r"\W+"), HashingTF(inputCol="tokens", outputCol="counts", numFeatures=features), Normalizer(inputCol="counts", outputCol="unit"), StringIndexer(inputCol="label", outputCol="target", handleInvalid="skip"), model])
 
 
+#: What a message is about, with the phrases that tell it, and how it is styled.
+INTENTS = {"correction": L.CORRECTION, "enthusiasm": L.ENTHUSIASM, "personal_info": L.PERSONAL_INFO, "denial": L.DENIAL, "frustration": L.FRUSTRATION, "contradiction": L.CONTRADICTION}
+STYLES = {"casual": L.CASUAL, "formal": L.FORMAL, "follow_up": L.FOLLOW_UP, "simple": L.SIMPLIFY, "detailed": L.DETAIL}
+NEUTRAL = ["the weather is fine today", "what time is it", "we had lunch at noon", "the train leaves at nine", "open the window", "the river is high", "how far is the town", "it rained all night", "the book is on the table", "they play music"]
+
+
+def bootstrap(spark: SparkSession, classes: dict[str, list[str]] | None = None) -> DataFrame:
+    """text, label: a small training set out of the phrases of each class in a few frames, and neutral messages."""
+    classes = INTENTS if classes is None else classes
+    frames = ["{}", "well {}", "{} and so on", "hm, {} you know"]
+    rows = [(f.format(p.strip()), label) for label, phrases in classes.items() for p in phrases for f in frames]
+    return spark.createDataFrame([*rows, *((f.format(t), "neutral") for t in NEUTRAL for f in frames)], "text string, label string")
+
+
+def intents(texts: DataFrame, training: DataFrame) -> DataFrame:
+    """The columns of texts but the text, with intent and intent_confidence of a classifier fitted to (text, label)."""
+    from pyspark.ml.functions import vector_to_array
+
+    model = classifier().fit(training)
+    words, counts, unit, labels, judge = model.stages
+    names, rows = labels.labels, texts.fillna({"text": ""})
+    for stage in (words, counts, unit, judge):
+        rows = stage.transform(rows)
+    sure = F.array_max(vector_to_array("probability"))
+    label = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("prediction").cast("int") + 1)
+    return rows.select(*[c for c in texts.columns if c != "text"], label.alias("intent"), F.round(sure, 6).alias("intent_confidence"))
+
+
+def class_counts(training: DataFrame) -> DataFrame:
+    return training.groupBy("label").agg(F.count("*").alias("n"))
+
+
 def term_vectors(texts: DataFrame, size: int = 512) -> DataFrame:
     """id, embedding: hashed term frequencies at unit length, the vectors of an engine without a model."""
     from pyspark.ml.feature import HashingTF, Normalizer, RegexTokenizer

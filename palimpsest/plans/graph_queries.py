@@ -100,18 +100,13 @@ def jn_7(spark: Spark, sf: str) -> DF:
     return I.multi_hops(gated(spark, sf), None).select(*REL)
 
 
-@query(f"WITH {_FULL} SELECT subject_id, predicate, object_id, confidence, stage FROM inferred", "gr_4_full_inference")
-def gr_4(spark: Spark, sf: str) -> DF:
-    return I.full(*graph(spark, sf))
-
-
 def by_user(spark: Spark, sf: str) -> tuple[DF, DF]:
     """The graph with a chain of families as a user's."""
     e, r = graph(spark, sf)
     return e, r.withColumn("user_id", A.chain("subject_id").cast("string"))
 
 
-@query(f"WITH {_FULL_BY_USER} SELECT subject_id, predicate, object_id, confidence, stage FROM inferred", "gr_4_inference_by_user")
+@query(f"WITH {_FULL_BY_USER} SELECT subject_id, predicate, object_id, confidence, stage FROM inferred", "gr_4_full_inference")
 def gr_4_by_user(spark: Spark, sf: str) -> DF:
     return I.full(*by_user(spark, sf))
 
@@ -121,13 +116,7 @@ def jn_9(spark: Spark, sf: str) -> DF:
     return I.of_user(A.relations(spark, sf), F.lit(8)).select(*REL)
 
 
-@query(f"WITH {_FULL}, every AS (SELECT is_inferred FROM relations UNION ALL SELECT true FROM inferred) SELECT (SELECT count(*) FROM entities) AS entities, count(*) FILTER (NOT is_inferred) AS explicit_relations, count(*) FILTER (is_inferred) AS inferred_relations FROM every", "agg_2_graph_stats")
-def agg_2(spark: Spark, sf: str) -> DF:
-    e, r = graph(spark, sf)
-    return G.stats(e, I.with_inferred(r, I.full(e, r)))
-
-
-@query(f"WITH {_FULL_BY_USER}, every AS (SELECT is_inferred FROM relations UNION ALL SELECT true FROM inferred) SELECT (SELECT count(*) FROM entities) AS entities, count(*) FILTER (NOT is_inferred) AS explicit_relations, count(*) FILTER (is_inferred) AS inferred_relations FROM every", "agg_2_graph_stats_by_user")
+@query(f"WITH {_FULL_BY_USER}, every AS (SELECT is_inferred FROM relations UNION ALL SELECT true FROM inferred) SELECT (SELECT count(*) FROM entities) AS entities, count(*) FILTER (NOT is_inferred) AS explicit_relations, count(*) FILTER (is_inferred) AS inferred_relations FROM every", "agg_2_graph_stats")
 def agg_2_by_user(spark: Spark, sf: str) -> DF:
     e, r = graph(spark, sf)
     return G.stats(e, I.with_inferred(r, I.full(*by_user(spark, sf))))
@@ -169,15 +158,19 @@ MESSY_RELATIONS = [
     (1, 1, "wife", 3, 1.0), (2, 1, "husband", 3, 0.9), (3, 3, "husband", 1, 1.0), (4, 2, "sister", 7, 0.8), (5, 1, "father-in-law", 6, 1.0), (6, 1, "father_in_law_of", 6, 0.7), (7, 4, "friend", 1, 1.0), (8, 1, "dog", 8, 1.0),
     (9, 1, "dog", 9, 1.0), (10, 1, "friend", 99, 1.0), (11, 1, "father", 6, 1.0), (12, 7, "friend", 10, 1.0), (13, 1, "friend", 7, 0.5), (14, 1, "friend", 7, 0.9), (15, 11, "friend", 3, 1.0),
 ]
-_ME = "entities AS (SELECT id, name, entity_type, id AS seq FROM (VALUES " + ", ".join("({}, '{}', '{}')".format(i, n.replace("'", "''"), t) for i, n, t in MESSY_ENTITIES) + ") AS t(id, name, entity_type))"
-_MR = "relations AS (SELECT id, subject_id, predicate, object_id, confidence::DOUBLE AS confidence, false AS is_inferred, id AS seq FROM (VALUES " + ", ".join(f"({i}, {s}, '{p}', {o}, {c})" for i, s, p, o, c in MESSY_RELATIONS) + ") AS t(id, subject_id, predicate, object_id, confidence))"
+_ME = A.GRAPH.replace("entities AS", "whole_e AS").replace("relations AS", "whole_r AS") + ", entities AS (SELECT id::BIGINT AS id, name, entity_type, id::BIGINT AS seq FROM (VALUES " + ", ".join("({}, '{}', '{}')".format(i, n.replace("'", "''"), t) for i, n, t in MESSY_ENTITIES) + ") AS t(id, name, entity_type) UNION ALL SELECT id + 1000, name, entity_type, seq + 1000 FROM whole_e)"
+_MR = "relations AS (SELECT id::BIGINT AS id, subject_id::BIGINT AS subject_id, predicate, object_id::BIGINT AS object_id, confidence::DOUBLE AS confidence, false AS is_inferred, id::BIGINT AS seq FROM (VALUES " + ", ".join(f"({i}, {s}, '{p}', {o}, {c})" for i, s, p, o, c in MESSY_RELATIONS) + ") AS t(id, subject_id, predicate, object_id, confidence) UNION ALL SELECT id + 1000, subject_id + 1000, predicate, object_id + 1000, confidence, is_inferred, seq + 1000 FROM whole_r)"
 MESSY = f"WITH {_ME}, {_MR} "
 
 
-def messy(spark: Spark) -> tuple[DF, DF]:
-    e = spark.createDataFrame(MESSY_ENTITIES, "id int, name string, entity_type string").withColumn("seq", F.col("id"))
-    r = spark.createDataFrame(MESSY_RELATIONS, "id int, subject_id int, predicate string, object_id int, confidence double").withColumn("is_inferred", F.lit(False)).withColumn("seq", F.col("id"))
-    return e, r
+def messy(spark: Spark, sf: str) -> tuple[DF, DF]:
+    """The small graph beside the whole one, whose ids are moved out of the way."""
+    e = spark.createDataFrame(MESSY_ENTITIES, "id long, name string, entity_type string").withColumn("seq", F.col("id"))
+    r = spark.createDataFrame(MESSY_RELATIONS, "id long, subject_id long, predicate string, object_id long, confidence double").withColumn("is_inferred", F.lit(False)).withColumn("seq", F.col("id"))
+    more_e, more_r = graph(spark, sf)
+    more_e = more_e.withColumns({c: F.col(c) + 1000 for c in ("id", "seq")})
+    more_r = more_r.withColumns({c: F.col(c) + 1000 for c in ("id", "subject_id", "object_id", "seq")})
+    return e.unionByName(more_e), r.unionByName(more_r)
 
 
 _BARE = r"trim(regexp_replace(CASE WHEN name LIKE '%''s' THEN left(name, length(name) - 2) ELSE name END, '\s*\([^)]*\)\s*$', ''))"
@@ -186,7 +179,7 @@ _JUNK = f"(lower({_BARE}) IN ({', '.join(chr(39) + w + chr(39) for w in L.JUNK_N
 
 @query(f"{MESSY}, every AS (SELECT id::BIGINT AS id, name FROM entities UNION ALL SELECT p_partkey + 100, p_name FROM part) SELECT id, name FROM every WHERE {_JUNK}", "fil_14_junk_names")
 def fil_14(spark: Spark, sf: str) -> DF:
-    every = messy(spark)[0].select(F.col("id").cast("long").alias("id"), "name").unionByName(A.table(spark, sf, "part").select((F.col("p_partkey") + 100).alias("id"), F.col("p_name").alias("name")))
+    every = messy(spark, sf)[0].select(F.col("id").cast("long").alias("id"), "name").unionByName(A.table(spark, sf, "part").select((F.col("p_partkey") + 100).alias("id"), F.col("p_name").alias("name")))
     return G.junk(every)
 
 
@@ -199,61 +192,61 @@ _VALID = (
 
 @query(f"{MESSY}, every AS (SELECT id::BIGINT AS id, name FROM entities UNION ALL SELECT p_partkey + 100, p_name FROM part UNION ALL SELECT s_suppkey + 1000000, s_name FROM supplier) SELECT id, {_VALID} AS valid FROM every", "fil_15_valid_names")
 def fil_15(spark: Spark, sf: str) -> DF:
-    every = messy(spark)[0].select(F.col("id").cast("long").alias("id"), "name")
+    every = messy(spark, sf)[0].select(F.col("id").cast("long").alias("id"), "name")
     every = every.unionByName(A.table(spark, sf, "part").select((F.col("p_partkey") + 100).alias("id"), F.col("p_name").alias("name"))).unionByName(A.table(spark, sf, "supplier").select((F.col("s_suppkey") + 1000000).alias("id"), F.col("s_name").alias("name")))
     return every.select("id", T.is_valid_name(F.col("name")).alias("valid"))
 
 
 @query(MESSY + r"SELECT id, name FROM entities WHERE regexp_matches(lower(name), '^your\s+|^my\s+|^the\s+|^wifes?$|^husbands?$|^you$|^me$|^user$|^concept$|''s\s+\w+$')", "fil_16_garbage_names")
 def fil_16(spark: Spark, sf: str) -> DF:
-    return G.garbage(messy(spark)[0]).select("id", "name")
+    return G.garbage(messy(spark, sf)[0]).select("id", "name")
 
 
 @query(MESSY + ", n AS (SELECT *, CASE lower(predicate) WHEN 'father-in-law' THEN 'father_in_law_of' WHEN 'mother-in-law' THEN 'mother_in_law_of' ELSE predicate END AS p FROM relations) SELECT id, subject_id, p AS predicate, object_id FROM n QUALIFY row_number() OVER (PARTITION BY subject_id, p, object_id ORDER BY p <> predicate, seq) = 1", "dml_15_normalise")
 def dml_15(spark: Spark, sf: str) -> DF:
-    return G.normalised(messy(spark)[1]).select("id", "subject_id", "predicate", "object_id")
+    return G.normalised(messy(spark, sf)[1]).select("id", "subject_id", "predicate", "object_id")
 
 
 @query(MESSY + "SELECT id FROM relations r WHERE NOT (predicate = 'husband' AND EXISTS (SELECT 1 FROM relations w WHERE w.predicate = 'wife' AND w.subject_id = r.subject_id AND w.object_id = r.object_id))", "jn_3_contradictions")
 def jn_3(spark: Spark, sf: str) -> DF:
-    return G.without_contradictions(messy(spark)[1]).select("id")
+    return G.without_contradictions(messy(spark, sf)[1]).select("id")
 
 
 @query(MESSY + ", m AS (SELECT * FROM relations WHERE predicate IN ('wife', 'husband') QUALIFY row_number() OVER (PARTITION BY least(subject_id, object_id), greatest(subject_id, object_id) ORDER BY seq) = 1) SELECT subject_id, predicate, object_id FROM relations WHERE predicate NOT IN ('wife', 'husband') UNION ALL SELECT subject_id, predicate, object_id FROM m UNION ALL SELECT object_id, CASE predicate WHEN 'wife' THEN 'husband' ELSE 'wife' END, subject_id FROM m", "dml_16_spouses")
 def dml_16(spark: Spark, sf: str) -> DF:
-    return G.spouses_directed(messy(spark)[1]).select("subject_id", "predicate", "object_id")
+    return G.spouses_directed(messy(spark, sf)[1]).select("subject_id", "predicate", "object_id")
 
 
 @query(MESSY + "SELECT id FROM relations WHERE subject_id IN (SELECT id FROM entities) AND object_id IN (SELECT id FROM entities)", "jn_21_dangling")
 def jn_21(spark: Spark, sf: str) -> DF:
-    e, r = messy(spark)
+    e, r = messy(spark, sf)
     return G.without_dangling(r, e).select("id")
 
 
 @query(MESSY + "SELECT id, name FROM entities WHERE id NOT IN (SELECT subject_id FROM relations UNION SELECT object_id FROM relations)", "jn_22_orphans")
 def jn_22(spark: Spark, sf: str) -> DF:
-    e, r = messy(spark)
+    e, r = messy(spark, sf)
     return G.orphans(e, r).select("id", "name")
 
 
 @query(MESSY + "SELECT subject_id, predicate, object_id, max(confidence) AS confidence FROM relations GROUP BY ALL", "agg_10_strongest_triples")
 def agg_10(spark: Spark, sf: str) -> DF:
-    return G.strongest_triples(messy(spark)[1]).select(*REL)
+    return G.strongest_triples(messy(spark, sf)[1]).select(*REL)
 
 
 @query(MESSY + "SELECT subject_id, predicate, object_id, min(id) AS id FROM relations GROUP BY ALL", "agg_11_distinct_triples")
 def agg_11(spark: Spark, sf: str) -> DF:
-    return G.distinct_triples(messy(spark)[1]).select("subject_id", "predicate", "object_id", "id")
+    return G.distinct_triples(messy(spark, sf)[1]).select("subject_id", "predicate", "object_id", "id")
 
 
 @query(MESSY + ", d AS (SELECT id, count(*) AS n FROM (SELECT subject_id AS id FROM relations UNION ALL SELECT object_id FROM relations) GROUP BY id), r AS (SELECT e.id, lower(name) AS low, row_number() OVER w AS n, first_value(e.id) OVER w AS new FROM entities e LEFT JOIN d ON d.id = e.id WINDOW w AS (PARTITION BY lower(name) ORDER BY coalesce(d.n, 0) DESC, seq DESC)) SELECT id AS old, new FROM r WHERE n > 1", "dml_18_case_duplicates")
 def dml_18(spark: Spark, sf: str) -> DF:
-    return G.case_duplicates(*messy(spark))
+    return G.case_duplicates(*messy(spark, sf))
 
 
-@query(MESSY + "SELECT id, name FROM entities WHERE id <> 8", "dml_24_jn_2_pets")
+@query(MESSY + ", pets AS (SELECT subject_id, predicate, object_id, r.seq, lower(e.name) AS low FROM relations r JOIN entities e ON e.id = object_id WHERE predicate IN ('pet', 'dog', 'cat')), gone AS (SELECT g.object_id AS id FROM pets g JOIN pets n ON n.subject_id = g.subject_id AND n.predicate = g.low AND n.low NOT IN ('pet', 'dog', 'cat') WHERE g.low IN ('pet', 'dog', 'cat')) SELECT id, name FROM entities WHERE id NOT IN (SELECT id FROM gone)", "dml_24_jn_2_pets")
 def dml_24(spark: Spark, sf: str) -> DF:
-    return G.pets_merged(*messy(spark))[0].select("id", "name")
+    return G.pets_merged(*messy(spark, sf))[0].select("id", "name")
 
 
 _DICE = "bigrams AS (SELECT id, name, entity_type, lower(name) AS low, list_distinct(list_transform(range(1, length(name)), lambda i: substr(lower(name), i, 2))) AS b FROM people)"
@@ -312,7 +305,7 @@ def gr_24(spark: Spark, sf: str) -> DF:
 
 @query(MESSY + "SELECT id::INT AS id, name FROM entities WHERE id NOT IN (10, 11, 12, 13, 16)", "gr_3_heal")
 def gr_3(spark: Spark, sf: str) -> DF:
-    return G.healed(*messy(spark), F.lit(1))[0].select("id", "name")
+    return G.healed(*messy(spark, sf), F.lit(1))[0].select("id", "name")
 
 
 def _case(column: str, subject: str, object: str) -> str:
@@ -351,18 +344,6 @@ def jn_11(spark: Spark, sf: str) -> DF:
 _SCORES = "scores AS (SELECT q.id % 3 AS query_id, q.id, 0.2::DOUBLE + (q.id % 7) / 10.0::DOUBLE AS sim, q.id % 11 = 0 AS in_query FROM entities q WHERE q.id < 4000)"
 
 
-@query(
-    GR + f", {_SCORES}, lifted AS (SELECT query_id, id, CASE WHEN in_query THEN greatest(sim, 0.95::DOUBLE) ELSE sim END AS sim FROM scores), top AS (SELECT * FROM lifted QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, id) <= 5), "
-    f"n AS (SELECT DISTINCT t.query_id, r.*, coalesce(s.name, '?') AS s, coalesce(o.name, '?') AS o FROM relations r JOIN top t ON t.sim > 0.3 AND t.id IN (r.subject_id, r.object_id) LEFT JOIN entities s ON s.id = subject_id LEFT JOIN entities o ON o.id = object_id), "
-    f"d AS (SELECT query_id, CASE WHEN predicate = 'father_in_law' THEN s || ' father in law ' || o ELSE {_case('predicate', 's', 'o')} END AS d, row_number() OVER (PARTITION BY query_id ORDER BY confidence DESC, seq, subject_id) AS k FROM n) SELECT query_id, string_agg(d, '; ' ORDER BY k) || '.' AS context FROM d WHERE k <= 10 GROUP BY query_id",
-    "ctx_9_top_7_relevant_triples",
-)
-def ctx_9(spark: Spark, sf: str) -> DF:
-    e, r = graph(spark, sf)
-    scores = e.where("id < 4000").select((F.col("id") % 3).alias("query_id"), "id", (0.2 + (F.col("id") % 7) / 10.0).alias("sim"), (F.col("id") % 11 == 0).alias("in_query"))
-    return I.relevant(e, r, scores)
-
-
 _ALL_SCORES = "scores AS (SELECT q.id % 3 AS query_id, q.id, 0.2::DOUBLE + (q.id % 7) / 10.0::DOUBLE AS sim, q.id % 11 = 0 AS in_query FROM entities q)"
 
 
@@ -370,7 +351,7 @@ _ALL_SCORES = "scores AS (SELECT q.id % 3 AS query_id, q.id, 0.2::DOUBLE + (q.id
     GR + f", {_ALL_SCORES}, lifted AS (SELECT query_id, id, CASE WHEN in_query THEN greatest(sim, 0.95::DOUBLE) ELSE sim END AS sim FROM scores), top AS (SELECT * FROM lifted QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, id) <= 5), "
     f"n AS (SELECT DISTINCT t.query_id, r.*, coalesce(s.name, '?') AS s, coalesce(o.name, '?') AS o FROM relations r JOIN top t ON t.sim > 0.3 AND t.id IN (r.subject_id, r.object_id) LEFT JOIN entities s ON s.id = subject_id LEFT JOIN entities o ON o.id = object_id), "
     f"d AS (SELECT query_id, CASE WHEN predicate = 'father_in_law' THEN s || ' father in law ' || o ELSE {_case('predicate', 's', 'o')} END AS d, row_number() OVER (PARTITION BY query_id ORDER BY confidence DESC, seq, subject_id) AS k FROM n) SELECT query_id, string_agg(d, '; ' ORDER BY k) || '.' AS context FROM d WHERE k <= 10 GROUP BY query_id",
-    "ctx_9_all_entities",
+    "ctx_9_top_7_relevant_triples",
 )
 def ctx_9_all(spark: Spark, sf: str) -> DF:
     e, r = graph(spark, sf)
@@ -384,9 +365,12 @@ QUESTIONS = [(1, "What's my father's name?"), (2, "Who is my sister's husband"),
 
 @query(None, "ctx_7_8_questions")
 def ctx_7(spark: Spark, sf: str) -> DF:
-    e, r = messy(spark)
-    asked = spark.createDataFrame(QUESTIONS, "question_id int, question string").withColumn("user_id", F.lit(1))
-    return I.answered(asked, e, r)
+    e, r = messy(spark, sf)
+    asked = spark.createDataFrame(QUESTIONS, "question_id long, question string").withColumn("user_id", F.lit(1).cast("long"))
+    users = e.where("id >= 1000 AND id % 8 = 0").select((F.col("id") * 10).alias("base"), F.col("id").alias("user_id"))
+    some = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(q).alias("question")) for i, q in enumerate(("who is my wife", "What is my father's name?", "show my father's mother", "who is my uncle"))])).alias("q")
+    more = users.select("base", "user_id", some).select((F.col("base") + F.col("q.i")).alias("question_id"), "q.question", "user_id")
+    return I.answered(asked.unionByName(more), e, r)
 
 
 @query(GR + "SELECT id, answer FROM (SELECT a.subject_id AS id, string_agg(o.name, ', ' ORDER BY b.seq) AS answer FROM relations a JOIN relations b ON b.subject_id = a.object_id AND b.predicate = 'father' JOIN entities o ON o.id = b.object_id WHERE a.predicate = 'father' GROUP BY 1)", "jn_10_two_hops")
@@ -414,10 +398,10 @@ def qa_2(spark: Spark, sf: str) -> DF:
     return Q.training_pairs(*graph(spark, sf)).where("kind = 'negation'")
 
 
-@query("WITH " + A.GRAPH + ", pairs AS (SELECT 'whose ' || predicate || ' is ' || o.name || '?' AS question, s.name AS answer FROM relations JOIN entities s ON s.id = subject_id JOIN entities o ON o.id = object_id WHERE predicate = 'wife') SELECT '{\"messages\":[{\"role\":\"user\",\"content\":\"' || question || '\"},{\"role\":\"assistant\",\"content\":\"' || answer || '\"}]}' AS value FROM pairs", "snk_2_training_lines")
+@query("WITH " + A.GRAPH + ", pairs AS (SELECT 'whose ' || replace(predicate, '_', ' ') || ' is ' || o.name || '?' AS question, s.name AS answer FROM relations JOIN entities s ON s.id = subject_id JOIN entities o ON o.id = object_id) SELECT '{\"messages\":[{\"role\":\"user\",\"content\":\"' || question || '\"},{\"role\":\"assistant\",\"content\":\"' || answer || '\"}]}' AS value FROM pairs", "snk_2_training_lines")
 def snk_2(spark: Spark, sf: str) -> DF:
     e, r = graph(spark, sf)
-    pairs = Q.generated(e, G.without_dangling(r, e)).where("mode = 'inverse' AND startswith(question, 'whose wife ')")
+    pairs = Q.generated(e, G.without_dangling(r, e)).where("mode = 'inverse'")
     return ST.training_lines(pairs)
 
 

@@ -178,18 +178,9 @@ def top_1(spark: Spark, sf: str) -> DF:
     return M.search(placed(spark, sf), query_vector(spark, sf)).select("id", "similarity", "tier")
 
 
-@query(
-    MEM + f", {VEC}, q AS (SELECT id AS query_id, v AS q FROM vecs WHERE id < 8), s AS (SELECT query_id, id, round(list_cosine_similarity(v, q), 6) AS similarity FROM placed, q WHERE NOT is_suppressed), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id)::INT AS rank FROM s WHERE similarity > 0) SELECT query_id, id, similarity, rank FROM r WHERE rank <= 30",
-    "top_2_over_fetch",
-)
-def top_2(spark: Spark, sf: str) -> DF:
-    q = A.vectors(spark, sf).where("id < 8").select(F.col("id").alias("query_id"), F.col("embedding").alias("query"))
-    return M.search_many(placed(spark, sf), q, M.over_fetch(10)).select("query_id", "id", "similarity", "rank")
-
-
 @query(
     MEM + f", {ATTACHED}, q AS (SELECT id AS query_id, v AS q FROM vecs WHERE id % 50 = 0), s AS (SELECT query_id, id, round(list_cosine_similarity(v, q), 6) AS similarity FROM placed, q WHERE NOT is_suppressed), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id)::INT AS rank FROM s WHERE similarity > 0) SELECT query_id, id, similarity, rank FROM r WHERE rank <= 30",
-    "top_2_over_fetch_all",
+    "top_2_over_fetch",
 )
 def top_2_all(spark: Spark, sf: str) -> DF:
     return M.search_many(attached(spark, sf), query_set(spark, sf), M.over_fetch(10)).select("query_id", "id", "similarity", "rank")

@@ -29,7 +29,7 @@ def query(sql: str | None = None, name: str | None = None) -> Callable[[Query],
 
 def _load() -> None:
     """Import the modules that register."""
-    for module in ("memory_queries", "signal_queries", "graph_queries", "state_queries"):
+    for module in ("memory_queries", "signal_queries", "graph_queries", "state_queries", "upkeep_queries"):
         import_module(f"palimpsest.plans.{module}")
 
 

@@ -45,25 +45,6 @@ def has(words: list[str], text: str = "lower(message)") -> str:
 DOPAMINE = f"CASE WHEN lower(coalesce(feedback, '')) = 'positive' THEN 'explicit_positive_feedback' WHEN starts_with(lower(coalesce(feedback, '')), 'correction:') THEN 'user_correction' WHEN {has(L.CORRECTION)} THEN 'user_correction' WHEN {has(L.ENTHUSIASM)} THEN 'user_enthusiasm' WHEN {has(L.PERSONAL_INFO)} THEN 'novel_personal_info' END"
 GABA = f"CASE WHEN lower(coalesce(feedback, '')) = 'negative' THEN 'explicit_negative_feedback' WHEN {has(L.DENIAL)} THEN 'user_denial' END"
 NOREPINEPHRINE = f"CASE WHEN {has(L.FRUSTRATION)} THEN 'user_frustration' WHEN {has(L.CONTRADICTION)} THEN 'potential_contradiction' END"
-OBSERVED = f"{PHRASES_SQL}, observed AS (SELECT *, {DOPAMINE} AS dopamine, {GABA} AS gaba, {NOREPINEPHRINE} AS norepinephrine FROM phrases)"
-
-
-@query(f"WITH {PHRASES_SQL} SELECT session_id, turn, {DOPAMINE} AS dopamine FROM phrases", "sig_1_dopamine")
-def sig_1(spark: Spark, sf: str) -> DF:
-    return S.dopamine(phrases(spark)).select("session_id", "turn", "dopamine")
-
-
-@query(f"WITH {OBSERVED} SELECT session_id, turn, gaba, CASE WHEN gaba = 'user_denial' THEN 1 ELSE 0 END AS affected FROM observed WHERE gaba IS NOT NULL", "sig_2_gaba")
-def sig_2(spark: Spark, sf: str) -> DF:
-    turns = phrases(spark).withColumn("turn_id", F.col("session_id") * 100 + F.col("turn"))
-    found = turns.select("turn_id", F.explode(F.array(F.struct(F.lit(1).alias("id"), F.lit(False).alias("is_priority")), F.struct(F.lit(2).alias("id"), F.lit(True).alias("is_priority")))).alias("m")).select("turn_id", "m.*")
-    events = S.gaba(turns).where("gaba IS NOT NULL")
-    return events.join(S.denied(turns, found), "turn_id", "left").select("session_id", "turn", "gaba", F.coalesce(F.size("affected"), F.lit(0)).alias("affected"))
-
-
-@query(f"WITH {OBSERVED} SELECT session_id, turn, norepinephrine FROM observed", "sig_3_norepinephrine")
-def sig_3(spark: Spark, sf: str) -> DF:
-    return S.norepinephrine(phrases(spark)).select("session_id", "turn", "norepinephrine")
 
 
 #: The phrases and all user turns, which have no feedback.
@@ -74,17 +55,20 @@ def every_turn(spark: Spark, sf: str) -> DF:
     return phrases(spark).unionByName(A.turns(spark, sf).withColumn("feedback", F.lit(None).cast("string")))
 
 
-@query(f"WITH {EVERY_SQL} SELECT session_id, turn, dopamine FROM observed", "sig_1_dopamine_all_turns")
+@query(f"WITH {EVERY_SQL} SELECT session_id, turn, dopamine FROM observed", "sig_1_dopamine")
 def sig_1_all(spark: Spark, sf: str) -> DF:
     return S.dopamine(every_turn(spark, sf)).select("session_id", "turn", "dopamine")
 
 
-@query(f"WITH {EVERY_SQL} SELECT session_id, turn, gaba FROM observed", "sig_2_gaba_all_turns")
-def sig_2_all(spark: Spark, sf: str) -> DF:
-    return S.gaba(every_turn(spark, sf)).select("session_id", "turn", "gaba")
+@query(f"WITH {EVERY_SQL} SELECT session_id, turn, gaba, CASE WHEN gaba = 'user_denial' THEN 1 ELSE 0 END AS affected FROM observed WHERE gaba IS NOT NULL", "sig_2_gaba")
+def sig_2(spark: Spark, sf: str) -> DF:
+    turns = phrases(spark).withColumn("turn_id", -(F.col("session_id") * 1000 + F.col("turn"))).unionByName(A.turns(spark, sf).withColumns({"feedback": F.lit(None).cast("string"), "turn_id": F.col("session_id") * 1000 + F.col("turn")}))
+    found = turns.select("turn_id", F.explode(F.array(F.struct(F.lit(1).alias("id"), F.lit(False).alias("is_priority")), F.struct(F.lit(2).alias("id"), F.lit(True).alias("is_priority")))).alias("m")).select("turn_id", "m.*")
+    events = S.gaba(turns).where("gaba IS NOT NULL")
+    return events.join(S.denied(turns, found), "turn_id", "left").select("session_id", "turn", "gaba", F.coalesce(F.size("affected"), F.lit(0)).alias("affected"))
 
 
-@query(f"WITH {EVERY_SQL} SELECT session_id, turn, norepinephrine FROM observed", "sig_3_norepinephrine_all_turns")
+@query(f"WITH {EVERY_SQL} SELECT session_id, turn, norepinephrine FROM observed", "sig_3_norepinephrine")
 def sig_3_all(spark: Spark, sf: str) -> DF:
     return S.norepinephrine(every_turn(spark, sf)).select("session_id", "turn", "norepinephrine")
 
@@ -94,7 +78,7 @@ _SHIFT = f"vecs AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embedding
 
 def embedded_turns(spark: Spark, sf: str) -> DF:
     v = A.vectors(spark, sf).select(F.col("id").alias("_v"), "embedding")
-    return A.turns(spark, sf).withColumn("_v", (F.col("session_id") * 7 + F.col("turn")) % A.VECTORS).join(v, "_v").drop("_v")
+    return A.turns(spark, sf).withColumn("_v", F.expr(f"try_mod(session_id * 7 + turn, {A.vector_count(spark, sf)})")).join(v, "_v").drop("_v")
 
 
 @query(f"WITH {_SHIFT} SELECT session_id, turn, similarity, topic_shift FROM shifts", "win_1_topic_shift")
@@ -223,7 +207,7 @@ def sig_10(spark: Spark, sf: str) -> DF:
 
 TOPICS = ["rust ownership", "rust", "garden tools", "tools", "red wine tasting", "nothing here"]
 CLUSTERS = [(1, "rust borrowing", 1), (2, "Rust", 2), (3, "wine tasting", 3), (4, "garden", 4), (5, "power tools", 5)]
-_TC = "topics AS (SELECT unnest([" + ", ".join(f"'{t}'" for t in TOPICS) + "]) AS topic), clusters AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{t}', {s})" for i, t, s in CLUSTERS) + ") AS t(id, topic, seq))"
+_TC = "topics AS (SELECT unnest([" + ", ".join(f"'{t}'" for t in TOPICS) + "]) AS topic UNION SELECT lower(p_name) FROM part), clusters AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{t}', {s})" for i, t, s in CLUSTERS) + ") AS t(id, topic, seq))"
 
 
 @query(
@@ -233,7 +217,7 @@ _TC = "topics AS (SELECT unnest([" + ", ".join(f"'{t}'" for t in TOPICS) + "]) A
     "top_9_sig_11_cluster_match",
 )
 def top_9(spark: Spark, sf: str) -> DF:
-    return S.matched_clusters(spark.createDataFrame([(t,) for t in TOPICS], "topic string"), spark.createDataFrame(CLUSTERS, "id int, topic string, seq int"))
+    return S.matched_clusters(spark.createDataFrame([(t,) for t in TOPICS], "topic string").unionByName(A.table(spark, sf, "part").select(F.lower("p_name").alias("topic"))).distinct(), spark.createDataFrame(CLUSTERS, "id int, topic string, seq int"))
 
 
 _ADDS = "adds AS (SELECT user_id % 40 AS cluster_id, user_id * 3 + event_id % 5 AS memory_id, event_id AS seq FROM events), newest AS (SELECT cluster_id, memory_id, min(seq) AS seq FROM adds GROUP BY cluster_id, memory_id QUALIFY row_number() OVER (PARTITION BY cluster_id ORDER BY min(seq) DESC) <= 15)"
@@ -261,14 +245,14 @@ def dml_14(spark: Spark, sf: str) -> DF:
     return S.touched_clusters(c, hits).orderBy(F.desc("last_accessed"))
 
 
-@query(f"WITH {OBSERVED} SELECT session_id, turn, 'User said: ' || message AS content, 'short' AS tier, 0.8::DOUBLE AS confidence FROM observed WHERE dopamine IS NULL AND gaba IS NULL AND norepinephrine IS NULL AND length(message) > 20", "sig_13_raw_memories")
+@query(f"WITH {EVERY_SQL} SELECT session_id, turn, 'User said: ' || message AS content, 'short' AS tier, 0.8::DOUBLE AS confidence FROM observed WHERE dopamine IS NULL AND gaba IS NULL AND norepinephrine IS NULL AND length(message) > 20", "sig_13_raw_memories")
 def sig_13(spark: Spark, sf: str) -> DF:
-    return S.raw_memories(phrases(spark))
+    return S.raw_memories(every_turn(spark, sf))
 
 
-@query(f"WITH {OBSERVED} SELECT session_id, turn, message, 'correction' AS intent FROM observed WHERE dopamine = 'user_correction' UNION ALL SELECT session_id, turn, message, 'denial' FROM observed WHERE gaba = 'user_denial'", "sig_14_learning_pairs")
+@query(f"WITH {EVERY_SQL} SELECT session_id, turn, message, 'correction' AS intent FROM observed WHERE dopamine = 'user_correction' UNION ALL SELECT session_id, turn, message, 'denial' FROM observed WHERE gaba = 'user_denial'", "sig_14_learning_pairs")
 def sig_14(spark: Spark, sf: str) -> DF:
-    return S.learning_pairs(phrases(spark))
+    return S.learning_pairs(every_turn(spark, sf))
 
 
 @query("WITH c AS (SELECT user_id, event_id AS seq, row_number() OVER (PARTITION BY user_id ORDER BY event_id)::INT AS n FROM events WHERE event_type = 'error') SELECT user_id, seq, n FROM c WHERE n % 3 = 0", "win_8_retrain_points")

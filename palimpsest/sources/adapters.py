@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Vectors that memories are given in turn.
-VECTORS = 500
+#: How many vectors there are; memories are given them in turn.
+VECTORS = "(SELECT count(*) FROM embeddings)"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
 
 
+def vector_count(spark: SparkSession, sf_dir: str) -> int:
+    return table(spark, sf_dir, "embeddings").count()
+
+
 def memories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with their labels as memories."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -36,7 +40,7 @@ def memories(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.coalesce(F.col("toxic") == 1, F.lit(False)).alias("is_suppressed"),
         F.when(F.col("toxic") == 1, "manual").alias("suppression_reason"),
         "source",
-        (F.col("doc_id") % VECTORS).alias("vec_id"),
+        F.expr(f"try_mod(doc_id, {vector_count(spark, sf_dir)}L)").alias("vec_id"),
         F.col("doc_id").alias("seq"),
     )
 
