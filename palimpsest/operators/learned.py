@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from palimpsest import lexicon as L
 from palimpsest.functions import text as T
@@ -95,6 +97,8 @@ def embedded(triples: DataFrame, epochs: int = EPOCHS, blocks: int = 64) -> Data
     Triples are few bytes and long work, so the number of tasks is not left to their size.
     """
 
+    ship(triples.sparkSession)
+
     def train(part: pa.Table) -> pa.Table:
         part = part.sort_by([(c, "ascending") for c in "spo"])
         s, p, o = (part[c].to_numpy().astype(np.int64) for c in "spo")
@@ -289,3 +293,115 @@ def spans_of_tags(tags: DataFrame) -> DataFrame:
 def templated(templates: DataFrame, words: DataFrame) -> DataFrame:
     """text, label: every template with every word of its slot; both tables are word lists."""
     return templates.join(words, "slot").select(F.replace("template", F.lit("{}"), F.col("word")).alias("text"), "label")
+
+
+# attention over a user's graph, in numpy
+
+LAYERS, HEADS, WIDTH = 3, 4, 128
+
+
+def gat_new(inputs: int, layers: int = LAYERS, heads: int = HEADS, width: int = WIDTH, seed: int = 7) -> dict[str, np.ndarray]:
+    """Parameters of a graph attention network: a projection, its layers, and three ends (activation, quality, relevance)."""
+    r = np.random.default_rng(seed)
+    p = {"in": r.normal(0, (2 / (inputs + width)) ** 0.5, (inputs, width))}
+    for k in range(layers):
+        p |= {f"w{k}": r.normal(0, (1 / width) ** 0.5, (heads, width, width // heads)), f"s{k}": r.normal(0, 0.2, (heads, width // heads)), f"t{k}": r.normal(0, 0.2, (heads, width // heads)), f"g{k}": np.ones(width), f"b{k}": np.zeros(width)}
+    return p | {"activation": r.normal(0, 0.1, width), "quality": r.normal(0, 0.1, (width, 3)), "relevance": r.normal(0, 0.1, width)}
+
+
+def _gelu(x: np.ndarray) -> np.ndarray:
+    return 0.5 * x * (1 + np.tanh((2 / np.pi) ** 0.5 * (x + 0.044715 * x**3)))
+
+
+def gat_forward(p: dict[str, np.ndarray], x: np.ndarray, src: np.ndarray, dst: np.ndarray) -> np.ndarray:
+    """States of a graph's nodes: in each layer a node attends to its neighbours (edges src to dst) and itself, head by head.
+
+    Attention is a softmax of leaky sums over the edges that end in a node; the heads side by
+    side go through GELU, are added to what was there, and normalised.
+    """
+    n = len(x)
+    src, dst = np.concatenate([src, np.arange(n)]), np.concatenate([dst, np.arange(n)])
+    h = x @ p["in"]
+    for k in range(sum(name[0] == "w" for name in p)):
+        w = np.einsum("nd,hde->nhe", h, p[f"w{k}"])
+        e = (w * p[f"s{k}"]).sum(2)[src] + (w * p[f"t{k}"]).sum(2)[dst]
+        e = np.where(e > 0, e, 0.2 * e)
+        most = np.full((n, e.shape[1]), -np.inf)
+        np.maximum.at(most, dst, e)
+        e = np.exp(e - most[dst])
+        total = np.zeros((n, e.shape[1]))
+        np.add.at(total, dst, e)
+        out = np.zeros_like(w)
+        np.add.at(out, dst, (e / total[dst])[:, :, None] * w[src])
+        h = h + _gelu(out.reshape(n, -1))
+        h = (h - h.mean(1, keepdims=True)) / np.sqrt(h.var(1, keepdims=True) + 1e-5) * p[f"g{k}"] + p[f"b{k}"]
+    return h
+
+
+def gat_heads(p: dict[str, np.ndarray], h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Activation (0 to 1), probabilities of the three qualities, and relevance (0 to 1) of nodes."""
+    q = h @ p["quality"]
+    q = np.exp(q - q.max(1, keepdims=True))
+    return 1 / (1 + np.exp(-(h @ p["activation"]))), q / q.sum(1, keepdims=True), 1 / (1 + np.exp(-(h @ p["relevance"])))
+
+
+def gat_train(p: dict[str, np.ndarray], h: np.ndarray, activation: np.ndarray, quality: np.ndarray, epochs: int = 200, rate: float = 0.1) -> dict[str, np.ndarray]:
+    """Parameters with the ends for activation and quality fitted to labels by gradient descent over nodes' states; layers stay."""
+    p = {k: v.copy() for k, v in p.items()}
+    told = np.eye(3)[quality]
+    for _ in range(epochs):
+        a, q, _ = gat_heads(p, h)
+        p["activation"] -= rate * h.T @ (a - activation) / max(1, len(h))
+        p["quality"] -= rate * h.T @ (q - told) / max(1, len(h))
+    return p
+
+
+def graph_states(nodes: DataFrame, edges: DataFrame, p: dict[str, np.ndarray]) -> DataFrame:
+    """user_id, id, activation, quality (0 to 2), relevance of each user's graph: nodes (user_id, id, vector), edges (user_id, src, dst).
+
+    A user's graph is one group; edges whose ends are no nodes are left out.
+    """
+    spark = nodes.sparkSession
+    ship(spark)
+    held = spark.sparkContext.broadcast(p)
+    kind = dict(nodes.dtypes)["id"]
+    schema = f"user_id string, id {kind}, activation double, quality int, relevance double"
+    empty = to_arrow_schema(StructType.fromDDL(schema)).empty_table()
+
+    def run(own: pa.Table, links: pa.Table) -> pa.Table:
+        if not len(own):
+            return empty
+        own = own.sort_by("id")
+        ids = own["id"].to_pylist()
+        at = {i: k for k, i in enumerate(ids)}
+        pairs = [(at[s], at[d]) for s, d in zip(links["src"].to_pylist(), links["dst"].to_pylist(), strict=True) if s in at and d in at]
+        src, dst = (np.array([x[k] for x in pairs], int) for k in (0, 1))
+        x = np.array(own["vector"].to_pylist(), float).reshape(len(ids), -1)
+        a, q, r = gat_heads(held.value, gat_forward(held.value, x, src, dst))
+        return pa.table({"user_id": own["user_id"], "id": own["id"], "activation": np.round(a, 6), "quality": pa.array(q.argmax(1), pa.int32()), "relevance": np.round(r, 6)})
+
+    return nodes.select("user_id", "id", "vector").groupBy("user_id").cogroup(edges.select("user_id", "src", "dst").groupBy("user_id")).applyInArrow(run, schema)
+
+
+def attended_tokens(x: np.ndarray, mask: np.ndarray, q: np.ndarray, k: np.ndarray, v: np.ndarray, heads: int = 4) -> np.ndarray:
+    """Self-attention over the tokens (texts, tokens, width) that count: the states that heads of a text encoder read."""
+    n, t, d = x.shape
+    a, b, c = ((x @ m).reshape(n, t, heads, -1).transpose(0, 2, 1, 3) for m in (q, k, v))
+    e = a @ b.transpose(0, 1, 3, 2) / a.shape[3] ** 0.5
+    e = np.where(mask[:, None, None, :], e, -1e9)
+    e = np.exp(e - e.max(3, keepdims=True))
+    e /= e.sum(3, keepdims=True)
+    return x + (e @ c).transpose(0, 2, 1, 3).reshape(n, t, -1)
+
+
+def tagged(states: np.ndarray, weights: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """The tag of each token (0 outside, 1 begins, 2 goes on) by a linear end; what doesn't count is outside."""
+    return np.where(mask, (states @ weights).argmax(2), 0)
+
+
+def pair_scores(states: np.ndarray, mask: np.ndarray, one: np.ndarray, two: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Probabilities of relations between two spans of each text, from the means of the spans' and the text's states."""
+    mean = lambda m: (states * m[:, :, None]).sum(1) / np.maximum(1, m.sum(1))[:, None]
+    z = np.concatenate([mean(one), mean(two), mean(mask)], 1) @ weights
+    z = np.exp(z - z.max(1, keepdims=True))
+    return z / z.sum(1, keepdims=True)

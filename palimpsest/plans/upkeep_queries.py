@@ -339,6 +339,17 @@ def fil_19(spark: Spark, sf: str) -> DF:
     return A.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), T.is_covered(F.col("text"), F.lower(F.substring("text", 1, 300))).alias("covered"))
 
 
+@query(None, "gr_22_23_graph_states")
+def gr_22(spark: Spark, sf: str) -> DF:
+    """Each family chain's graph through the attention network, its nodes told by their vectors."""
+    e, r = users_graph(spark, sf)
+    n = A.vector_count(spark, sf)
+    nodes = e.select("user_id", "id", F.expr(f"try_mod(id, {n}L)").alias("_v")).join(A.vectors(spark, sf).select(F.col("id").alias("_v"), V.as_double(F.col("embedding")).alias("vector")), "_v").drop("_v")
+    edges = r.select("user_id", F.col("subject_id").alias("src"), F.col("object_id").alias("dst"))
+    edges = edges.unionByName(edges.select("user_id", F.col("dst").alias("src"), F.col("src").alias("dst")))
+    return LE.graph_states(nodes, edges, LE.gat_new(64))
+
+
 # runs
 
 
