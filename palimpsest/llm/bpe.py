@@ -45,12 +45,28 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def _check(told: dict, path: str) -> None:
+    """Refuse a tokenizer file that asks for more than byte-level pairs: its ids would come out wrong in silence."""
+    model, before = told.get("model") or {}, told.get("pre_tokenizer") or {}
+    wrong = {
+        "model.type": model.get("type") not in (None, "BPE"),
+        "normalizer": told.get("normalizer") is not None,
+        "pre_tokenizer": before.get("type") != "ByteLevel" or before.get("add_prefix_space", True) or not before.get("use_regex", True),
+        "decoder": (told.get("decoder") or {}).get("type") != "ByteLevel",
+        "added_tokens": any(t.get(f) for t in told.get("added_tokens") or [] for f in ("single_word", "lstrip", "rstrip")),
+        **{f"model.{f}": bool(model.get(f)) for f in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")},
+    }
+    if any(wrong.values()):
+        raise ValueError(f"{path} asks for what this encoder does not do: {', '.join(k for k, v in wrong.items() if v)}")
+
+
 class Vocabulary:
     """Tokens, merges and the automaton of one byte-level tokenizer file."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             told = json.load(f)
+        _check(told, path)
         letters = byte_letters()
         ids = told["model"]["vocab"]
         self.bytes = {i: bytes(letters[c] for c in t) for t, i in ids.items()}

@@ -1,6 +1,7 @@
 """Extraction, toxicity, BPE, sharding, chat, fixity and quality."""
 
 import hashlib
+import json
 import random
 import re
 import time
@@ -222,6 +223,15 @@ def test_same_ids_as_the_library(spark):
     assert all(digest[i]["ids_sha256"] == hashlib.sha256(np.array(got[i]["ids"], "<u4").tobytes()).hexdigest() and digest[i]["decoded_sha256"] == hashlib.sha256(x.encode()).hexdigest() for i, x in enumerate(texts))
 
 
+@pytest.mark.parametrize("change", [{"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True}}, {"decoder": None}, {"added_tokens": [{"id": 0, "content": "x", "lstrip": True}]}, {"model": {"type": "WordPiece"}}])
+def test_other_files_are_refused(change):
+    with open(tokenizer_path(), encoding="utf-8") as f:
+        told = json.load(f)
+    bpe._check(told, "as it is")
+    with pytest.raises(ValueError, match=next(iter(change))):
+        bpe._check(told | change, "changed")
+
+
 # sharding
 
 
