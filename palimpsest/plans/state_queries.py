@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palimpsest import lexicon as L
@@ -116,11 +116,15 @@ _NAMES = "names AS (SELECT unnest(['the', 'ention', 'avec', 'nicht', 'para', 'sc
 def names(spark: Spark, sf: str) -> DF:
     some = spark.createDataFrame([(n,) for n in ("the", "ention", "avec", "nicht", "para", "scum")], "name string")
     every = some.unionByName(A.table(spark, sf, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[a-z]{9,}"), F.lit(0))).alias("name"))).distinct()
-    return LE.numbered(every, "name").select((F.col("n") + 1).alias("id"), "name")
+    # the benchmark's words are few, so one task may number them
+    return every.select(F.row_number().over(Window.orderBy("name")).alias("id"), "name")
 
 
-def mentioned(spark: Spark, sf: str) -> DF:
+def mentioned(spark: Spark, sf: str, near: DF | None = None) -> DF:
+    """Names in all documents, or in those near to something (id)."""
     docs = A.table(spark, sf, "documents").select(F.col("doc_id").alias("text_id"), "text")
+    if near is not None:
+        docs = docs.join(near.select(F.col("id").alias("text_id")), "text_id", "left_semi")
     return R.mentions(docs, names(spark, sf))
 
 
@@ -147,8 +151,8 @@ def name_links(spark: Spark) -> DF:
 _BOOSTS = f"{_MENTIONED}, {_LINKS}, near AS (SELECT unnest([subject_id, object_id]) AS id FROM links WHERE subject_id = 1 OR object_id = 1 UNION SELECT 1), boosts AS (SELECT text_id, least(1.0::DOUBLE, round(0.3::DOUBLE + count(DISTINCT id) * 0.25::DOUBLE, 6)) AS graph_boost FROM mentioned WHERE id IN (SELECT id FROM near) GROUP BY text_id)"
 
 
-def boosts(spark: Spark, sf: str) -> DF:
-    return R.graph_boosts(spark.createDataFrame([(1,)], "id int"), name_links(spark), mentioned(spark, sf), names(spark, sf))
+def boosts(spark: Spark, sf: str, near: DF | None = None) -> DF:
+    return R.graph_boosts(spark.createDataFrame([(1,)], "id int"), name_links(spark), mentioned(spark, sf, near), names(spark, sf))
 
 
 @query(f"WITH {_BOOSTS} SELECT text_id, graph_boost FROM boosts", "gr_9_agg_13_graph_boosts")
@@ -160,8 +164,8 @@ _ACTIVE = [(1, 0.5), (2, 0.005), (4, 1.5), (5, 0.25)]
 _RESTING = f"active AS (SELECT entity_id, x::DOUBLE AS x FROM (VALUES {', '.join(map(str, _ACTIVE))}) AS t(entity_id, x)), resting AS (SELECT text_id, least(1.0::DOUBLE, max(x)) AS resting_boost FROM mentioned JOIN active ON entity_id = id WHERE x > 0.01 GROUP BY text_id)"
 
 
-def resting(spark: Spark, sf: str) -> DF:
-    return R.resting_boosts(spark.createDataFrame(_ACTIVE, "entity_id int, resting_activation double"), mentioned(spark, sf))
+def resting(spark: Spark, sf: str, near: DF | None = None) -> DF:
+    return R.resting_boosts(spark.createDataFrame(_ACTIVE, "entity_id int, resting_activation double"), mentioned(spark, sf, near))
 
 
 @query(f"WITH {_MENTIONED}, {_RESTING} SELECT text_id, resting_boost FROM resting", "gr_8_agg_12_resting_boosts")
@@ -176,9 +180,11 @@ def gr_8(spark: Spark, sf: str) -> DF:
     "hybrid_rank",
 )
 def hybrid_rank(spark: Spark, sf: str) -> DF:
-    m = placed(spark, sf)
+    m, q = placed(spark, sf), query_vector(spark, sf)
     act = m.select("id", ((F.col("id") % 10) / 10.0).alias("activation"))
-    return R.hybrid(m, query_vector(spark, sf), act, boosts(spark, sf), resting(spark, sf))
+    # only what the search finds can be ranked, so only these texts are read for names
+    near = checkpointed(M.search(m, q, M.over_fetch(M.TOP_K)).select("id"))
+    return R.hybrid(m, q, act, boosts(spark, sf, near), resting(spark, sf, near))
 
 
 # similarity graph
