@@ -47,7 +47,12 @@ def bucket_count(groups: int) -> int:
 
 
 def dealt(df: DataFrame, key: str, count: int, each: int = 1) -> DataFrame:
-    """Partitions by a key of ``count`` values, about ``each`` of them in one; cogroups of frames dealt alike shuffle no more."""
+    """Partitions by a key from 0 to ``count`` - 1, about ``each`` of them in one; cogroups of frames dealt alike shuffle no more.
+
+    Single keys have a partition of their own, so no task gets several by chance.
+    """
+    if each == 1:
+        return df.repartitionById(max(1, count), F.col(key))
     return df.repartition(max(1, -(-count // each)), F.col(key))
 
 
