@@ -11,6 +11,8 @@ from palimpsest.operators import graph as G
 from palimpsest.operators import inference as I
 
 PAD, LENGTH = 0, 128
+#: Predicates that are counted even where there is none.
+COUNTED = ["brother", "sister", "son", "daughter"]
 MODES = ("single_hop", "boolean", "count", "multi_hop", "inverse")
 
 
@@ -33,8 +35,10 @@ def generated(entities: DataFrame, relations: DataFrame) -> DataFrame:
     count = counts.select(F.lit("count").alias("mode"), F.concat(F.lit("how many "), p, F.lit("s does "), F.col("subject"), F.lit(" have?")).alias("question"), F.col("n").cast("string").alias("answer"))
     a, b = rows.select("subject", F.col("predicate").alias("p1"), F.col("object_id").alias("mid")), rows.select(F.col("subject_id").alias("mid"), F.col("predicate").alias("p2"), "object")
     hop = a.join(b, "mid").where("subject <> object").select(F.lit("multi_hop").alias("mode"), F.concat(F.lit("who is "), F.col("subject"), F.lit("'s "), _spoken(F.col("p1")), F.lit("'s "), _spoken(F.col("p2")), F.lit("?")).alias("question"), F.col("object").alias("answer"))
+    none = rows.select("subject_id", "subject").distinct().withColumn("predicate", F.explode(T.literal_array(COUNTED))).join(counts.select("subject_id", "predicate"), ["subject_id", "predicate"], "left_anti")
+    zero = none.select(F.lit("count").alias("mode"), F.concat(F.lit("how many "), p, F.lit("s does "), F.col("subject"), F.lit(" have?")).alias("question"), F.lit("0").alias("answer"))
     inverse = rows.select(F.lit("inverse").alias("mode"), F.concat(F.lit("whose "), p, F.lit(" is "), F.col("object"), F.lit("?")).alias("question"), F.col("subject").alias("answer"))
-    return single.unionByName(yes).unionByName(no.join(truths, "question", "left_anti").select("mode", "question", "answer")).unionByName(count).unionByName(hop).unionByName(inverse)
+    return single.unionByName(yes).unionByName(no.join(truths, "question", "left_anti").select("mode", "question", "answer")).unionByName(count).unionByName(zero).unionByName(hop).unionByName(inverse)
 
 
 def counted(relations: DataFrame) -> DataFrame:
@@ -43,7 +47,7 @@ def counted(relations: DataFrame) -> DataFrame:
 
 
 def training_pairs(entities: DataFrame, relations: DataFrame) -> DataFrame:
-    """kind, question, answer for tuning a model: relations, inferences, denials of absent ones."""
+    """kind, question, answer for tuning a model: relations, inferences, denials of absent ones, and what is known of each subject."""
     rows = G.named(relations, entities).where(I.has_template(F.col("predicate")))
     fact = I.sentence(F.col("predicate"), F.col("subject"), F.col("object"))
     ask = F.concat(F.lit("What do you know about "), F.col("subject"), F.lit(" and "), F.col("object"), F.lit("?"))
@@ -52,7 +56,9 @@ def training_pairs(entities: DataFrame, relations: DataFrame) -> DataFrame:
     kinds = rows.sparkSession.createDataFrame([(p,) for p in ("wife", "husband", "brother", "sister")], "predicate string")
     absent = people.join(F.broadcast(kinds)).join(relations.select("subject_id", "predicate"), ["subject_id", "predicate"], "left_anti")
     denial = absent.select(F.lit("negation").alias("kind"), F.concat(F.lit("Who is "), F.col("subject"), F.lit("'s "), F.col("predicate"), F.lit("?")).alias("question"), F.concat(F.lit("I don't know of a "), F.col("predicate"), F.lit(" of "), F.col("subject"), F.lit(".")).alias("answer"))
-    return told.unionByName(denial)
+    world = I.world(entities, relations, people.select(F.col("subject_id").alias("id"))).join(people.select(F.col("subject_id").alias("id"), "subject"), "id")
+    summary = world.select(F.lit("summary").alias("kind"), F.concat(F.lit("What do you know about "), F.col("subject"), F.lit("?")).alias("question"), F.concat(F.lit("Based on what I remember: "), "summary").alias("answer"))
+    return told.unionByName(denial).unionByName(summary)
 
 
 def vocabulary(entities: DataFrame, relations: DataFrame) -> DataFrame:

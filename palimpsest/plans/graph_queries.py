@@ -329,7 +329,10 @@ def ctx_6(spark: Spark, sf: str) -> DF:
     return I.described(e, proper, e.where("id % 8 = 1").select("id"))
 
 
-@query(GR + ", n AS (SELECT subject_id AS id, relations.seq, predicate, coalesce(o.name, '?') AS o FROM relations LEFT JOIN entities o ON o.id = object_id), t AS (SELECT id, seq, CASE WHEN predicate IN ('father', 'mother', 'wife', 'sister') THEN 1 ELSE 4 END AS g, CASE WHEN predicate IN ('father', 'mother', 'wife', 'sister') THEN 'Your ' || predicate || ' is ' || o ELSE 'Your ' || predicate || ': ' || o END AS d FROM n) SELECT id, string_agg(d, '. ' ORDER BY g, seq) || '.' AS summary FROM t WHERE id % 8 = 0 GROUP BY id", "ctx_5_world_summary")
+_WORLD = ("n AS (SELECT subject_id AS id, relations.seq, predicate, coalesce(o.name, '?') AS o FROM relations LEFT JOIN entities o ON o.id = object_id), t AS (SELECT id, seq, CASE WHEN predicate IN ('father', 'mother', 'wife', 'sister') THEN 1 ELSE 4 END AS g, CASE WHEN predicate IN ('father', 'mother', 'wife', 'sister') THEN 'Your ' || predicate || ' is ' || o ELSE 'Your ' || predicate || ': ' || o END AS d FROM n), world AS (SELECT id, string_agg(d, '. ' ORDER BY g, seq) || '.' AS summary FROM t GROUP BY id)")
+
+
+@query(GR + f", {_WORLD} SELECT id, summary FROM world WHERE id % 8 = 0", "ctx_5_world_summary")
 def ctx_5(spark: Spark, sf: str) -> DF:
     e, r = graph(spark, sf)
     return I.world(e, r, e.where("id % 8 = 0").select("id"))
@@ -382,10 +385,21 @@ def jn_10(spark: Spark, sf: str) -> DF:
     return rows.select(F.col("question_id").alias("id"), F.regexp_extract("answer", r"^Your father's father is (.*)\.$", 1).alias("answer"))
 
 
-@query(GR + ", n AS (SELECT r.*, s.name AS s, o.name AS o FROM relations r JOIN entities s ON s.id = subject_id JOIN entities o ON o.id = object_id) SELECT 'single_hop' AS mode, 'who is ' || s || '''s ' || replace(predicate, '_', ' ') || '?' AS question, o AS answer FROM n UNION ALL SELECT 'inverse', 'whose ' || replace(predicate, '_', ' ') || ' is ' || o || '?', s FROM n UNION ALL SELECT 'count', 'how many ' || replace(predicate, '_', ' ') || 's does ' || s || ' have?', count(*)::VARCHAR FROM n GROUP BY subject_id, s, predicate", "qa_1_questions")
+_ASKED = (
+    ", n AS (SELECT r.*, s.name AS s, o.name AS o, replace(predicate, '_', ' ') AS p FROM relations r JOIN entities s ON s.id = subject_id JOIN entities o ON o.id = object_id), "
+    "yes AS (SELECT 'boolean' AS mode, 'is ' || o || ' ' || s || '''s ' || p || '?' AS question, 'yes' AS answer FROM n), other AS (SELECT *, lead(o) OVER (PARTITION BY predicate ORDER BY seq) AS x FROM n), "
+    "no AS (SELECT 'boolean' AS mode, 'is ' || x || ' ' || s || '''s ' || p || '?' AS question, 'no' AS answer FROM other WHERE x IS NOT NULL AND x <> o AND x <> s), "
+    "counts AS (SELECT subject_id, s, predicate, p, count(*) AS c FROM n GROUP BY ALL), kinds AS (SELECT unnest(['brother', 'sister', 'son', 'daughter']) AS k), "
+    "asked AS (SELECT 'single_hop' AS mode, 'who is ' || s || '''s ' || p || '?' AS question, o AS answer FROM n UNION ALL SELECT 'inverse', 'whose ' || p || ' is ' || o || '?', s FROM n UNION ALL SELECT * FROM yes UNION ALL SELECT * FROM no WHERE question NOT IN (SELECT question FROM yes) "
+    "UNION ALL SELECT 'count', 'how many ' || p || 's does ' || s || ' have?', c::VARCHAR FROM counts UNION ALL SELECT 'count', 'how many ' || k || 's does ' || s || ' have?', '0' FROM (SELECT DISTINCT subject_id, s FROM n) u, kinds WHERE NOT EXISTS (SELECT 1 FROM counts c WHERE c.subject_id = u.subject_id AND c.predicate = k) "
+    "UNION ALL SELECT 'multi_hop', 'who is ' || a.s || '''s ' || a.p || '''s ' || b.p || '?', b.o FROM n a JOIN n b ON b.subject_id = a.object_id WHERE a.s <> b.o)"
+)
+
+
+@query(GR + _ASKED + " SELECT mode, question, answer FROM asked", "qa_1_questions")
 def qa_1(spark: Spark, sf: str) -> DF:
     e, r = graph(spark, sf)
-    return Q.generated(e, G.without_dangling(r, e)).where("mode IN ('single_hop', 'inverse', 'count')")
+    return Q.generated(e, G.without_dangling(r, e))
 
 
 @query(GR + "SELECT subject_id, predicate, count(*) AS n FROM relations GROUP BY ALL", "agg_17_counts")
@@ -393,9 +407,15 @@ def agg_17(spark: Spark, sf: str) -> DF:
     return Q.counted(A.relations(spark, sf))
 
 
-@query(GR + ", people AS (SELECT DISTINCT subject_id, s.name AS s FROM relations JOIN entities s ON s.id = subject_id), kinds AS (SELECT unnest(['wife', 'husband', 'brother', 'sister']) AS p) SELECT 'negation' AS kind, 'Who is ' || s || '''s ' || p || '?' AS question, 'I don''t know of a ' || p || ' of ' || s || '.' AS answer FROM people, kinds WHERE NOT EXISTS (SELECT 1 FROM relations r WHERE r.subject_id = people.subject_id AND r.predicate = p)", "qa_2_denials")
+@query(
+    GR + f", {_SAID}, {_WORLD}, people AS (SELECT DISTINCT subject_id, s.name AS s FROM relations JOIN entities s ON s.id = subject_id), kinds AS (SELECT unnest(['wife', 'husband', 'brother', 'sister']) AS p) "
+    "SELECT 'negation' AS kind, 'Who is ' || s || '''s ' || p || '?' AS question, 'I don''t know of a ' || p || ' of ' || s || '.' AS answer FROM people, kinds WHERE NOT EXISTS (SELECT 1 FROM relations r WHERE r.subject_id = people.subject_id AND r.predicate = p) "
+    "UNION ALL SELECT CASE WHEN is_inferred THEN 'inference' ELSE 'relation' END, 'What do you know about ' || s || ' and ' || o || '?', d || '.' FROM told UNION ALL SELECT 'summary', 'What do you know about ' || s || '?', 'Based on what I remember: ' || summary FROM people JOIN world ON world.id = subject_id",
+    "qa_2_training_pairs",
+)
 def qa_2(spark: Spark, sf: str) -> DF:
-    return Q.training_pairs(*graph(spark, sf)).where("kind = 'negation'")
+    e, r = graph(spark, sf)
+    return Q.training_pairs(e, G.without_dangling(r, e))
 
 
 @query("WITH " + A.GRAPH + ", pairs AS (SELECT 'whose ' || replace(predicate, '_', ' ') || ' is ' || o.name || '?' AS question, s.name AS answer FROM relations JOIN entities s ON s.id = subject_id JOIN entities o ON o.id = object_id) SELECT '{\"messages\":[{\"role\":\"user\",\"content\":\"' || question || '\"},{\"role\":\"assistant\",\"content\":\"' || answer || '\"}]}' AS value FROM pairs", "snk_2_training_lines")

@@ -60,11 +60,11 @@ def sig_1_all(spark: Spark, sf: str) -> DF:
     return S.dopamine(every_turn(spark, sf)).select("session_id", "turn", "dopamine")
 
 
-@query(f"WITH {EVERY_SQL} SELECT session_id, turn, gaba, CASE WHEN gaba = 'user_denial' THEN 1 ELSE 0 END AS affected FROM observed WHERE gaba IS NOT NULL", "sig_2_gaba")
+@query(f"WITH {EVERY_SQL} SELECT session_id, turn, gaba, CASE WHEN gaba = 'user_denial' THEN 1 ELSE 0 END AS affected FROM observed", "sig_2_gaba")
 def sig_2(spark: Spark, sf: str) -> DF:
     turns = phrases(spark).withColumn("turn_id", -(F.col("session_id") * 1000 + F.col("turn"))).unionByName(A.turns(spark, sf).withColumns({"feedback": F.lit(None).cast("string"), "turn_id": F.col("session_id") * 1000 + F.col("turn")}))
     found = turns.select("turn_id", F.explode(F.array(F.struct(F.lit(1).alias("id"), F.lit(False).alias("is_priority")), F.struct(F.lit(2).alias("id"), F.lit(True).alias("is_priority")))).alias("m")).select("turn_id", "m.*")
-    events = S.gaba(turns).where("gaba IS NOT NULL")
+    events = S.gaba(turns)
     return events.join(S.denied(turns, found), "turn_id", "left").select("session_id", "turn", "gaba", F.coalesce(F.size("affected"), F.lit(0)).alias("affected"))
 
 

@@ -22,12 +22,12 @@ def test_context_takes_every_document(spark, tmp_path):
     sf = tables(spark, tmp_path, documents=("doc_id long, text string", [(i, f"w{i}") for i in range(1300)]))
     got = queries()["ctx_1_3_context"](spark, sf).collect()
     assert len(got) == 52 and sorted(w for r in got for w in r["context"].split() if w.startswith("w")) == sorted(f"w{i}" for i in range(1300))
-    assert sum(r["sections"] for r in queries()["ctx_2_budget_all_documents"](spark, sf).collect()) == 1300
+    assert sum(r["sections"] for r in queries()["ctx_2_budget"](spark, sf).collect()) == 1300
 
 
 def test_relevant_triples_of_any_entity(spark, tmp_path):
     sf = tables(spark, tmp_path, customer=("c_custkey long, c_name string", [(i, f"Customer {i}") for i in (900, 901)]))
-    assert {r["query_id"] for r in queries()["ctx_9_all_entities"](spark, sf).collect()} == {0, 1, 2}
+    assert {r["query_id"] for r in queries()["ctx_9_top_7_relevant_triples"](spark, sf).collect()} == {0, 1, 2}
 
 
 def test_links_are_predicted_in_every_chain_of_families(spark, tmp_path):
@@ -60,8 +60,8 @@ def test_the_cap_on_hops_is_each_user_s(spark, tmp_path):
     sf = tables(spark, tmp_path, customer=("c_custkey long, c_name string", [(i, f"Customer {i}") for i in range(1, 61)]))
     e, r = A.entities(spark, sf), A.relations(spark, sf)
     want = {tuple(x) for x in I.full(e, r, cap=None).collect()}
-    assert {tuple(x) for x in queries()["gr_4_inference_by_user"](spark, sf).collect()} == want
-    assert queries()["agg_2_graph_stats_by_user"](spark, sf).first()["inferred_relations"] == len(want)
+    assert {tuple(x) for x in queries()["gr_4_full_inference"](spark, sf).collect()} == want
+    assert queries()["agg_2_graph_stats"](spark, sf).first()["inferred_relations"] == len(want)
 
 
 def vectored(spark, folder, docs=900, vectors=700):
@@ -76,21 +76,21 @@ def test_upkeep_and_activation_of_every_memory(spark, tmp_path):
     rows = queries()["gr_5_11_upkeep"](spark, sf).collect()
     assert sorted(r["id"] for r in rows) == list(range(900))
     assert {r["id"] for r in rows if r["suppression_reason"] == "noise_detected"} == set(range(0, 900, 9))
-    assert sorted(r["id"] for r in queries()["gr_7_activations_all"](spark, sf).collect()) == list(range(900))
+    assert sorted(r["id"] for r in queries()["gr_7_activations"](spark, sf).collect()) == list(range(900))
 
 
 def test_searches_take_all_queries_and_vectors(spark, tmp_path):
     sf = vectored(spark, tmp_path)
-    rows = queries()["top_2_over_fetch_all"](spark, sf).collect()
+    rows = queries()["top_2_over_fetch"](spark, sf).collect()
     assert {r["query_id"] for r in rows} == set(range(0, 700, 50))
     assert all({q, q + 700} - set(range(900, 2000)) <= {r["id"] for r in rows if r["query_id"] == q} for q in range(0, 700, 50))
-    assert queries()["ctx_1_relevant_section_all"](spark, sf).count() == 14
+    assert queries()["ctx_1_relevant_section"](spark, sf).count() == 14
 
 
 def test_question_tokens_of_whole_texts_in_all_languages(spark, tmp_path):
     texts = {1: ("en", "Who's there? " * 15), 2: ("fr", "Les mots sont l\u00e0, et apr\u00e8s?"), 3: ("de", ""), 4: (None, " ".join(f"W{i}" for i in range(500)))}
     sf = tables(spark, tmp_path, documents=("doc_id long, lang string, text string", [(i, *v) for i, v in texts.items()]))
-    got = {r["id"]: r["tokens"] for r in queries()["fn_19_question_tokens_all"](spark, sf).collect()}
+    got = {r["id"]: r["tokens"] for r in queries()["fn_19_question_tokens"](spark, sf).collect()}
     assert got == {i: " ".join(re.findall(r"'s|[a-z0-9_]+|\?", t.lower())) for i, (_, t) in texts.items()}
 
 
@@ -98,6 +98,6 @@ def test_signals_of_every_user_turn(spark, tmp_path):
     said = [(50 + i, 1, role, "I never said that") for i, role in enumerate(["user", "assistant", "user"])] + [(60, 1, "user", "plain")]
     sf = tables(spark, tmp_path, conversations=("conv_id long, turn long, role string, text string", said))
     for name, column in (("sig_1_dopamine", "dopamine"), ("sig_2_gaba", "gaba"), ("sig_3_norepinephrine", "norepinephrine")):
-        rows = queries()[f"{name}_all_turns"](spark, sf).where("session_id >= 50").collect()
+        rows = queries()[name](spark, sf).where("session_id >= 50").collect()
         assert sorted(r["session_id"] for r in rows) == [50, 52, 60], name
         assert column != "gaba" or {r["session_id"] for r in rows if r["gaba"]} == {50, 52}
