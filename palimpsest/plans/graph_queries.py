@@ -173,8 +173,55 @@ def messy(spark: Spark, sf: str) -> tuple[DF, DF]:
     return e.unionByName(more_e), r.unionByName(more_r)
 
 
+#: Fixed values of the SQL, apart from the engine's own.
+_JUNK_WORDS = (
+    "? actually ai also and anyone anything assistant based bot but default everyone everything he her here him his however i if it just me my n/a no none nor nothing now null "
+    "ok or our really she so someone something sure their them then there therefore they today tomorrow topic undefined unknown us we well well-being yes yesterday yet you "
+    "your"
+).split() + ["", "feeding schedule", "feeding schedule care", "the user"]
+#: First words of junk.
+_JUNK_FIRST = (
+    "and but hello hey hi if no nor not ok or please so thank thanks yes yet"
+).split()
+#: Names that are refused.
+_INVALID_WORDS = (
+    "? a about absolutely acknowledged actually advice after ai all already also although always am an and another answer any anyone anything apologies apparently appreciate "
+    "are ask asked asking asks assistant at aunt bad based based-in based_in be became because become becomes becoming been before began begin beginning begins being big boss "
+    "bot bro brother brother-in-law brother_in_law but by call called calling calls came can care cat certainly child classmate colleague come comes coming concerning "
+    "condition confirmed context correct could cousin currently dad daughter daughter-in-law daughter_in_law default definitely details diagnosed-with diagnosed_with did do "
+    "doctor does dog doing done each else employee even every everyone everything exactly example examples father father-in-law father_in_law feeding feel feeling feels felt "
+    "few finally find finding finds first following for found friend from furthermore gave get gets getting give given gives giving glad go goes going gone good got "
+    "grandfather grandmother great had happy has has-condition has_condition have having he hear heard hearing hears hello help her here hers herself hey hi him himself his "
+    "hobby home hospital how however husband i if important in indeed information interested-in interested_in into is is-a is_a issue it its itself just keep keeping keeps "
+    "kept key knew know knowing known knows last least leave leaves leaving left less let lets letting live lived lives lives-in lives_in living look looked looking looks ma "
+    "made make makes making manager many married-to married_to may maybe me mean meaning means meant meanwhile mention mentioned might mine mom more moreover most mother "
+    "mother-in-law mother_in_law move moved moves moving much mum must my myself n/a named need needed needing needs neighbor never new next no nobody none nor not note noted "
+    "nothing now null of off office often oh ok okay old on only or other our ours ourselves out pa parent partner perhaps pet play played playing plays please point points "
+    "probably problem put puts putting question ran really recall recently regarding related remember right role run running runs said saw say saying says schedule school "
+    "second see seeing seen sees shall she should show showed showing shown shows sibling since sis sister sister-in-law sister_in_law small so some someone something "
+    "sometimes son son-in-law son_in_law sorry specifically specified step-father step-mother step_father step_mother stepfather stepmother still studies summary sure take "
+    "taken takes taking tell telling tells thank thanks that the their theirs them themselves then there therefore these they think thinking thinks third this those though "
+    "thought to today told tomorrow took tried tries try trying uncle undefined understood unknown unless until up us use used user uses using usually very want wanted wanting "
+    "wants was we well well-being went were what when where whether which while who whom whose why wife will with work worked working works works-at works_at would yes "
+    "yesterday yet you your yours yourself"
+).split() + ["", "based in", "brother in law", "daughter in law", "diagnosed with", "father in law", "has condition", "interested in", "is a", "lives in", "married to", "mother in law", "no one", "sister in law", "son in law", "step father", "step mother", "the user", "works at"]
+#: First words that no name has.
+_STARTERS = (
+    "actually also and because but did do does for furthermore hello hey hi how however if just moreover no nor not ok okay or please really since so thank thanks then "
+    "therefore what when where which while who why yes yet"
+).split()
+#: Second words that no name has.
+_FRAGMENTS = (
+    "did does gets goes had has have is lives makes says takes was were works"
+).split()
+
+
+def _in(words: list[str]) -> str:
+    return ", ".join(f"'{w}'" for w in words)
+
+
 _BARE = r"trim(regexp_replace(CASE WHEN name LIKE '%''s' THEN left(name, length(name) - 2) ELSE name END, '\s*\([^)]*\)\s*$', ''))"
-_JUNK = f"(lower({_BARE}) IN ({', '.join(chr(39) + w + chr(39) for w in L.JUNK_NAMES)}) OR length({_BARE}) < 2 OR regexp_matches({_BARE}, '^[\\d\\s.,:/-]+$') OR regexp_matches({_BARE}, '(?i)^\\d+\\s+(days?|weeks?|months?|years?|hours?|minutes?)\\s+ago$') OR (contains({_BARE}, ' ') AND lower(string_split({_BARE}, ' ')[1]) IN ({', '.join(chr(39) + w + chr(39) for w in L.JUNK_STARTERS)})))"
+_JUNK = f"(lower({_BARE}) IN ({_in(_JUNK_WORDS)}) OR length({_BARE}) < 2 OR regexp_matches({_BARE}, '^[\\d\\s.,:/-]+$') OR regexp_matches({_BARE}, '(?i)^\\d+\\s+(days?|weeks?|months?|years?|hours?|minutes?)\\s+ago$') OR (contains({_BARE}, ' ') AND lower(string_split({_BARE}, ' ')[1]) IN ({_in(_JUNK_FIRST)})))"
 
 
 @query(f"{MESSY}, every AS (SELECT id::BIGINT AS id, name FROM entities UNION ALL SELECT p_partkey + 100, p_name FROM part) SELECT id, name FROM every WHERE {_JUNK}", "fil_14_junk_names")
@@ -183,10 +230,9 @@ def fil_14(spark: Spark, sf: str) -> DF:
     return G.junk(every)
 
 
-_INVALID = ", ".join(f"'{w}'" for w in L.invalid_names())
 _VALID = (
-    f"NOT (length({_BARE}) < 2 OR lower({_BARE}) IN ({_INVALID}) OR regexp_matches({_BARE}, '^[\\d\\s.,:/-]+$') OR contains({_BARE}, '''s ') OR len(string_split({_BARE}, ' ')) > 3 OR regexp_matches(lower({_BARE}), '^(the|a|an|my|our|your) ') "
-    f"OR (contains({_BARE}, ' ') AND (lower(string_split({_BARE}, ' ')[1]) IN ({', '.join(chr(39) + w + chr(39) for w in L.SENTENCE_STARTERS)}) OR lower(string_split({_BARE}, ' ')[2]) IN ({', '.join(chr(39) + w + chr(39) for w in L.FRAGMENT_VERBS)}))))"
+    f"NOT (length({_BARE}) < 2 OR lower({_BARE}) IN ({_in(_INVALID_WORDS)}) OR regexp_matches({_BARE}, '^[\\d\\s.,:/-]+$') OR contains({_BARE}, '''s ') OR len(string_split({_BARE}, ' ')) > 3 OR regexp_matches(lower({_BARE}), '^(the|a|an|my|our|your) ') "
+    f"OR (contains({_BARE}, ' ') AND (lower(string_split({_BARE}, ' ')[1]) IN ({_in(_STARTERS)}) OR lower(string_split({_BARE}, ' ')[2]) IN ({_in(_FRAGMENTS)}))))"
 )
 
 
