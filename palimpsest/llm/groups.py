@@ -30,7 +30,7 @@ from palimpsest.llm.workers import tidy
 #: thirty times that in a worker's arrays.  Larger executors can do with fewer groups.
 GROUP_BYTES = 2 << 20
 #: Groups whose hashes a bucket can hold at once.
-GROUPS_PER_BUCKET = 4
+GROUPS_PER_BUCKET = 2
 #: Groups that one task works on, one after another.
 GROUPS_PER_TASK = 4
 GROUP = "__group__"

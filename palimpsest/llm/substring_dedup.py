@@ -47,7 +47,7 @@ WINDOW = 13
 GRAM = 7
 HOT = 4096
 #: Items that one automaton holds at most, unless one anchor alone has more.
-AUTOMATON_ITEMS = 100_000
+AUTOMATON_ITEMS = 50_000
 LAST_ID = np.iinfo(np.int64).max
 
 _ALONE = np.uint64(0x8CB92BA72F3D8DD7)
