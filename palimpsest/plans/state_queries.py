@@ -151,8 +151,8 @@ def name_links(spark: Spark) -> DF:
 _BOOSTS = f"{_MENTIONED}, {_LINKS}, near AS (SELECT unnest([subject_id, object_id]) AS id FROM links WHERE subject_id = 1 OR object_id = 1 UNION SELECT 1), boosts AS (SELECT text_id, least(1.0::DOUBLE, round(0.3::DOUBLE + count(DISTINCT id) * 0.25::DOUBLE, 6)) AS graph_boost FROM mentioned WHERE id IN (SELECT id FROM near) GROUP BY text_id)"
 
 
-def boosts(spark: Spark, sf: str, near: DF | None = None) -> DF:
-    return R.graph_boosts(spark.createDataFrame([(1,)], "id int"), name_links(spark), mentioned(spark, sf, near), names(spark, sf))
+def boosts(spark: Spark, sf: str, named: DF | None = None) -> DF:
+    return R.graph_boosts(spark.createDataFrame([(1,)], "id int"), name_links(spark), mentioned(spark, sf) if named is None else named, names(spark, sf))
 
 
 @query(f"WITH {_BOOSTS} SELECT text_id, graph_boost FROM boosts", "gr_9_agg_13_graph_boosts")
@@ -164,8 +164,8 @@ _ACTIVE = [(1, 0.5), (2, 0.005), (4, 1.5), (5, 0.25)]
 _RESTING = f"active AS (SELECT entity_id, x::DOUBLE AS x FROM (VALUES {', '.join(map(str, _ACTIVE))}) AS t(entity_id, x)), resting AS (SELECT text_id, least(1.0::DOUBLE, max(x)) AS resting_boost FROM mentioned JOIN active ON entity_id = id WHERE x > 0.01 GROUP BY text_id)"
 
 
-def resting(spark: Spark, sf: str, near: DF | None = None) -> DF:
-    return R.resting_boosts(spark.createDataFrame(_ACTIVE, "entity_id int, resting_activation double"), mentioned(spark, sf, near))
+def resting(spark: Spark, sf: str, named: DF | None = None) -> DF:
+    return R.resting_boosts(spark.createDataFrame(_ACTIVE, "entity_id int, resting_activation double"), mentioned(spark, sf) if named is None else named)
 
 
 @query(f"WITH {_MENTIONED}, {_RESTING} SELECT text_id, resting_boost FROM resting", "gr_8_agg_12_resting_boosts")
@@ -184,7 +184,8 @@ def hybrid_rank(spark: Spark, sf: str) -> DF:
     act = m.select("id", ((F.col("id") % 10) / 10.0).alias("activation"))
     # only what the search finds can be ranked, so only these texts are read for names
     near = checkpointed(M.search(m, q, M.over_fetch(M.TOP_K)).select("id"))
-    return R.hybrid(m, q, act, boosts(spark, sf, near), resting(spark, sf, near))
+    named = checkpointed(mentioned(spark, sf, near))
+    return R.hybrid(m, q, act, boosts(spark, sf, named), resting(spark, sf, named))
 
 
 # similarity graph
