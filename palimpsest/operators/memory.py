@@ -5,9 +5,15 @@ A transition takes a snapshot and gives the next one; nothing is changed in plac
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from palimpsest import lexicon as L
 from palimpsest.functions import text as T
@@ -146,14 +152,66 @@ def search(memories: DataFrame, query: Column, k: int = TOP_K) -> DataFrame:
     return rows.where("similarity > 0").orderBy(F.desc("similarity"), "id").limit(k)
 
 
-def search_many(memories: DataFrame, queries: DataFrame, k: int = TOP_K) -> DataFrame:
-    """The same for each row of ``queries`` (query_id, query): rank per query.
+#: Queries that are held against the memories at once.
+QUERY_BLOCK = 2048
+
+
+def search_many(memories: DataFrame, queries: DataFrame, k: int = TOP_K, block: int = QUERY_BLOCK) -> DataFrame:
+    """The same for each row of ``queries`` (query_id, query): the memories' columns with query_id, similarity and rank.
 
-    A batch of queries is small beside the memories and broadcast by size.
+    Queries are broadcast in blocks of a bounded size.  Memories are multiplied with a
+    block batch by batch, where they are read, and of each batch only the best k of each
+    query go on, so what is shuffled does not grow with the pairs.
     """
-    pairs = memories.where("NOT is_suppressed AND embedding IS NOT NULL").join(queries).withColumn("similarity", F.round(V.cosine(F.col("embedding"), F.col("query")), 6)).where("similarity > 0")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id"))
-    return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
+    live = memories.where("NOT is_suppressed AND embedding IS NOT NULL AND id IS NOT NULL").select("id", F.col("embedding").cast("array<double>").alias("embedding"))
+    schema = StructType.fromDDL(f"query_id {dict(queries.dtypes)['query_id']}, id {dict(memories.dtypes)['id']}, similarity double")
+    told = queries.where("query IS NOT NULL").select("query_id", F.col("query").cast("array<double>").alias("query"))
+    blocks = max(1, -(-told.count() // block))
+    hits = None
+    for b in range(blocks):
+        own = told.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) if blocks > 1 else told
+        found = _best(live, own, k, schema)
+        hits = found if hits is None else hits.unionByName(found)
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id"))
+    return memories.join(hits.withColumn("rank", place).where(F.col("rank") <= k), "id")
+
+
+def _best(live: DataFrame, queries: DataFrame, k: int, schema: StructType) -> DataFrame:
+    """query_id, id, similarity: of each batch of memories the best k of each query."""
+    told = queries.toArrow()
+    vectors = [np.array(v, float) for v in told["query"].to_pylist()]
+    by_width: dict[int, list[int]] = {}
+    for i, v in enumerate(vectors):
+        if np.linalg.norm(v) > 0:
+            by_width.setdefault(len(v), []).append(i)
+    groups = [(w, np.array(at), np.array([vectors[i] / np.linalg.norm(vectors[i]) for i in at]).T) for w, at in by_width.items()]
+    held = live.sparkSession.sparkContext.broadcast((told["query_id"].combine_chunks(), groups))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        to = to_arrow_schema(schema)
+        names, groups = held.value
+        for batch in batches:
+            ids, lists = batch.column(0), batch.column(1)
+            order = pc.rank(ids, sort_keys="ascending").to_numpy()
+            sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+            for width, at, unit in groups:
+                rows = np.flatnonzero(sizes == width)
+                if not len(rows):
+                    continue
+                m = lists.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+                norm = np.linalg.norm(m, axis=1)
+                sim = np.nan_to_num(np.round(m @ unit / np.where(norm > 0, norm, 1)[:, None], 6))
+                for j, q in enumerate(at.tolist()):
+                    own = np.flatnonzero(sim[:, j] > 0)
+                    if len(own) > k:  # all that are as good as the k-th best
+                        own = own[sim[own, j] >= np.partition(sim[own, j], len(own) - k)[len(own) - k]]
+                    own = own[np.lexsort((order[rows[own]], -sim[own, j]))[:k]]
+                    if len(own):
+                        yield pa.RecordBatch.from_arrays([pa.array([names[q].as_py()] * len(own), to[0].type), ids.take(pa.array(rows[own])).cast(to[1].type), pa.array(sim[own, j])], schema=to)
+
+    return live.mapInArrow(run, schema)
 
 
 def over_fetch(k: int) -> int:

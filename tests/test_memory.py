@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from palimpsest import schema as S
@@ -94,3 +95,28 @@ def test_profile_and_export(spark):
     small = spark.createDataFrame([(1, "k")], "id int, pattern_key string")
     row = ST.profile(small, small, small, small, small).first()
     assert [len(row[c]) for c in ("rules", "clusters", "priority_memories", "entities", "relations")] == [1] * 5
+
+
+@pytest.mark.parametrize("block", [2048, 2])
+def test_many_searches_against_loops(spark, block):
+    import numpy as np
+
+    from palimpsest.operators import memory as M
+
+    r = np.random.default_rng(4)
+    v = np.round(r.normal(size=(60, 3)), 1)
+    rows = [(i, [float(x) for x in v[i % 40]] if i % 9 else ([0.0, 0.0, 0.0] if i % 2 else None), i % 11 == 0) for i in range(60)] + [(70, [1.0], False)]
+    asked = [(q, [float(x) for x in v[q]]) for q in range(5)] + [(9, None), (10, [0.0, 0.0, 0.0]), (11, [2.0])]
+    m = spark.createDataFrame(rows, "id long, embedding array<float>, is_suppressed boolean").repartition(4)
+    got = M.search_many(m, spark.createDataFrame(asked, "query_id int, query array<float>"), 7, block).collect()
+    want = []
+    for q, x in asked:
+        hits = []
+        for i, y, gone in rows:
+            if not gone and x and y and len(x) == len(y) and np.linalg.norm(x) * np.linalg.norm(y) > 0:
+                a, b = np.float32(x).astype(float), np.float32(y).astype(float)
+                s = round(float(a @ b / np.linalg.norm(a) / np.linalg.norm(b)), 6)
+                if s > 0:
+                    hits.append((-s, i))
+        want += [(q, i, -s, n) for n, (s, i) in enumerate(sorted(hits)[:7], 1)]
+    assert sorted((r["query_id"], r["id"], r["similarity"], r["rank"]) for r in got) == sorted(want)
