@@ -1,8 +1,11 @@
 """Joins whose sides are estimated too small must not be left to a broadcast."""
 
+import numpy as np
 import pytest
 
+from palimpsest.functions import vector as V
 from palimpsest.operators import graph as G
+from palimpsest.operators import propagation as P
 from palimpsest.plans.registry import queries
 
 
@@ -20,3 +23,26 @@ def test_grams_are_not_broadcast(spark):
     pairs = G.similar_names(names)
     assert "Broadcast" not in plan(pairs)
     assert [tuple(r) for r in pairs.select("a", "b").collect()] == [(1, 2)]
+
+
+def test_activations_of_equal_vectors_write_no_pairs(spark, monkeypatch):
+    """Copies, a null, an empty and an odd vector, against the pairs written out."""
+    vectors = [[1.0, 0.0], [1.0, 0.0], [1.0, 0.0], [0.8, 0.6], [0.0, 1.0], [0.0, 0.0], [0.0, 0.0], [float("nan"), 1.0], None]
+    rows = [(i, v, 0.5 + i / 20, i % 3, i, i == 1, False) for i, v in enumerate(vectors)]
+    m = spark.createDataFrame(rows, "id long, embedding array<float>, confidence double, session_count int, access_count int, is_priority boolean, is_suppressed boolean")
+    live = m.where("embedding IS NOT NULL")
+    want = {r["id"]: r["activation"] for r in P.propagated(live.select("id", P.charge().alias("activation")), P.edges(m, 0.3)).collect()}
+    monkeypatch.setattr(P, "edges", None)
+    got = {r["id"]: r["activation"] for r in P.activations(m, 0.3).collect()}
+    assert len(want) == 8 and got == pytest.approx(want, abs=2e-6)
+
+
+def test_sums_in_blocks(spark):
+    r = np.random.default_rng(3).normal(size=(60, 4)).astype("float32")
+    rows = spark.createDataFrame([(i, v.tolist(), float(i)) for i, v in enumerate(r)], "id long, embedding array<float>, value double")
+    pairs = V.similar_pairs(rows, 0.2).collect()
+    want = dict.fromkeys(range(60), 0.0)
+    for p in pairs:
+        want[p["i"]] += p["sim"] * p["j"]
+        want[p["j"]] += p["sim"] * p["i"]
+    assert {x["id"]: x["total"] for x in V.similar_sums(rows, 0.2, 60, 13, 4).collect()} == pytest.approx(want)
