@@ -1,13 +1,17 @@
 """Joins whose sides are estimated too small must not be left to a broadcast."""
 
+import json
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from palimpsest.functions import vector as V
 from palimpsest.operators import graph as G
 from palimpsest.operators import learned as LE
 from palimpsest.operators import propagation as P
 from palimpsest.plans.registry import queries
+from palimpsest.sources import tables as ST
 
 
 def plan(df):
@@ -61,3 +65,12 @@ def test_links_in_blocks_are_those_of_the_two_steps(spark, monkeypatch):
     monkeypatch.setattr(LE, "transe", lambda *x: calls.append(x) or own(*x))
     part = LE._links_of(triples.toArrow())
     assert len(calls) == 2 and {tuple(x.values()) for x in part.to_pylist()} == got
+
+
+def test_profile_in_pieces(spark):
+    rows = spark.range(1, 2501).select("id", F.concat(F.lit("k"), F.lpad(F.col("id").cast("string"), 5, "0")).alias("pattern_key"))
+    pieces = ST.profile_pieces(rows, rows, rows.limit(0), rows, rows, 100).collect()
+    assert max(len(json.loads(x["items"])) for x in pieces) == 100
+    for name in ("rules", "clusters", "priority_memories", "entities", "relations"):
+        whole = [i["id"] for x in sorted((x for x in pieces if x["name"] == name), key=lambda x: x["piece"]) for i in json.loads(x["items"])]
+        assert whole == ([] if name == "priority_memories" else list(range(1, 2501)))
