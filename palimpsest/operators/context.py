@@ -71,8 +71,10 @@ def entity_context(queries: DataFrame, entities: DataFrame, relations: DataFrame
     """query_id, context: what is known of the entities that a query (query_id, query) names, the newest entity first."""
     from palimpsest.operators import inference as I
     from palimpsest.operators import retrieval as R
+    from palimpsest.sources.tables import checkpointed
 
-    hits = R.mentions(queries.select(F.col("query_id").alias("text_id"), F.col("query").alias("text")), entities, 2)
+    # read twice, found once
+    hits = checkpointed(R.mentions(queries.select(F.col("query_id").alias("text_id"), F.col("query").alias("text")), entities, 2)).hint("merge")
     told = I.described(entities, relations, hits.select("id")).join(entities.select("id", "seq"), "id")
     rows = hits.join(told, "id").groupBy(F.col("text_id").alias("query_id")).agg(F.reverse(F.array_sort(F.collect_list(F.struct("seq", "id", "description")))).alias("d"))
     return rows.select("query_id", F.array_join(F.transform("d", lambda x: x["description"]), " ").alias("context"))

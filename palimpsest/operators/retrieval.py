@@ -46,13 +46,17 @@ def mentions(texts: DataFrame, entities: DataFrame, least: int = 1, name_bytes:
     return out
 
 
+def _packed(told: pa.Table) -> bytes:
+    """A table as compressed bytes: the driver keeps those of every part of the names, and a table of lists takes ten times as much."""
+    to = pa.BufferOutputStream()
+    with pa.ipc.new_stream(to, told.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(told)
+    return to.getvalue().to_pybytes()
+
+
 def _named(texts: DataFrame, names: DataFrame, schema: str) -> DataFrame:
     """Texts (text_id, text) against names (id, name) that fit into one automaton, in lower case both."""
-    told = names.toArrow()
-    ids: dict[str, list] = {}
-    for i, n in zip(told["id"].to_pylist(), told["name"].to_pylist(), strict=True):
-        ids.setdefault(n, []).append(i)
-    held = texts.sparkSession.sparkContext.broadcast(ids)
+    held = texts.sparkSession.sparkContext.broadcast(_packed(names.toArrow()))
     fields = StructType.fromDDL(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -60,9 +64,13 @@ def _named(texts: DataFrame, names: DataFrame, schema: str) -> DataFrame:
         from pyspark.sql.pandas.types import to_arrow_schema
 
         to = to_arrow_schema(fields)
+        told = pa.ipc.open_stream(held.value).read_all()
+        ids: dict[str, list] = {}
+        for i, n in zip(told["id"].to_pylist(), told["name"].to_pylist(), strict=True):
+            ids.setdefault(n, []).append(i)
         automaton = ahocorasick.Automaton()
-        for name, own in held.value.items():
-            automaton.add_word(name, own)
+        while ids:
+            automaton.add_word(*ids.popitem())
         if len(automaton):
             automaton.make_automaton()
         for batch in batches:

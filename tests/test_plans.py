@@ -10,6 +10,7 @@ from palimpsest.functions import vector as V
 from palimpsest.operators import graph as G
 from palimpsest.operators import learned as LE
 from palimpsest.operators import propagation as P
+from palimpsest.operators import retrieval as R
 from palimpsest.plans.registry import queries
 from palimpsest.sources import tables as ST
 
@@ -74,3 +75,13 @@ def test_profile_in_pieces(spark):
     for name in ("rules", "clusters", "priority_memories", "entities", "relations"):
         whole = [i["id"] for x in sorted((x for x in pieces if x["name"] == name), key=lambda x: x["piece"]) for i in json.loads(x["items"])]
         assert whole == ([] if name == "priority_memories" else list(range(1, 2501)))
+
+
+def test_names_are_broadcast_packed(spark, monkeypatch):
+    """Several parts of names, each held by the driver as bytes."""
+    sent, own = [], spark.sparkContext.broadcast
+    monkeypatch.setattr(spark.sparkContext, "broadcast", lambda x: sent.append(x) or own(x))
+    names = spark.createDataFrame([(i, f"Name{i:03d}") for i in range(300)], "id long, name string")
+    texts = spark.createDataFrame([(1, "xNAME007y name299"), (2, None), (3, "name")], "text_id long, text string")
+    assert sorted(tuple(r) for r in R.mentions(texts, names, 1, 2000).collect()) == [(1, 7), (1, 299)]
+    assert len(sent) > 1 and all(isinstance(x, bytes) and len(x) < 3000 for x in sent)
