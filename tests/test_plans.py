@@ -19,7 +19,7 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["ctx_6_describe"])
+@pytest.mark.parametrize("name", ["ctx_6_describe", "gr_14_contexts"])
 def test_graph_tables_are_not_broadcast(spark, small, name):
     assert "Broadcast" not in plan(queries()[name](spark, small))
 
