@@ -24,6 +24,12 @@ def test_graph_tables_are_not_broadcast(spark, small, name):
     assert "Broadcast" not in plan(queries()[name](spark, small))
 
 
+@pytest.mark.parametrize("name", ["gr_14_candidates", "gr_14_scored"])
+def test_candidates_are_not_broadcast(spark, small, name):
+    """Neither entities with their predicates nor their vectors go to the driver, whatever Spark estimates."""
+    assert "Broadcast" not in plan(queries()[name](spark, small))
+
+
 def test_grams_are_not_broadcast(spark):
     names = spark.createDataFrame([(1, "Ann Lee", "person"), (2, "Anne Lee", "person"), (3, "Bob", "person")], "id long, name string, entity_type string")
     pairs = G.similar_names(names)
