@@ -49,6 +49,29 @@ def test_activations_of_equal_vectors_write_no_pairs(spark, monkeypatch):
     assert len(want) == 8 and got == pytest.approx(want, abs=2e-6)
 
 
+def test_merges_of_equal_vectors_write_no_pairs(spark, monkeypatch):
+    """Copies and near copies against a plain loop; only distinct vectors are paired."""
+    r = np.random.default_rng(4)
+    kinds = [[1.0, 0.0], [0.98, 0.2], [0.9, 0.44], [0.0, 1.0], [0.0, 0.0], [float("nan"), 1.0]]
+    which = [0] * 40 + r.integers(0, 6, 40).tolist()
+    rows = [(i, kinds[k], round(float(r.random()), 2), int(r.integers(0, 4)), bool(r.random() < 0.1), False, int(s)) for i, (k, s) in enumerate(zip(which, r.permutation(80), strict=True))]
+    v = np.array([x[1] for x in rows])
+    sim = np.nan_to_num(v @ v.T / np.maximum(np.linalg.norm(v, axis=1)[:, None] * np.linalg.norm(v, axis=1), 1e-9))
+    gone, kept, score = set(), {}, [x[2] * 10 + x[3] + 50 * x[4] for x in rows]
+    for i in sorted(range(80), key=lambda i: rows[i][6]):
+        group = [j for j in range(80) if rows[j][6] > rows[i][6] and j not in gone and round(sim[i, j], 9) >= 0.92]
+        if i not in gone and group:
+            best = max((i, *group), key=lambda k: (score[k], rows[k][6]))
+            kept[best] = kept.get(best, 0) + len(group)
+            gone |= {i, *group} - {best}
+    want = {(i, "drop", 0) for i in gone} | {(i, "keep", n) for i, n in kept.items() if i not in gone}
+    found, own = [], V.similar_pairs
+    monkeypatch.setattr(V, "similar_pairs", lambda *x, **y: found.append(own(*x, **y)) or found[-1])
+    m = spark.createDataFrame(rows, "id long, embedding array<float>, confidence double, access_count int, is_priority boolean, is_suppressed boolean, seq long")
+    assert {tuple(x) for x in P.merges(m).collect()} == want and len(gone) > 40
+    assert found[0].count() <= 6
+
+
 def test_sums_in_blocks(spark):
     r = np.random.default_rng(3).normal(size=(60, 4)).astype("float32")
     rows = spark.createDataFrame([(i, v.tolist(), float(i)) for i, v in enumerate(r)], "id long, embedding array<float>, value double")
